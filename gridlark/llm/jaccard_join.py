@@ -16,10 +16,12 @@ den * |A and B| >= num * |A or B|. No linked pair is missed:
 * The boundary between both is the one with the least expected cost on the
   histogram of set sizes.
 
-Keys travel as packed arrays, first reduced to one entry a key inside each task,
-so a very common key costs one entry a task. Texts with a common key form
-clusters; clusters are verified exactly with blocked matrix products, large ones
-by a grid of block pairs, and only spanning edges leave a block.
+Keys travel as packed arrays; a list that is long inside one task leaves a star
+there and goes on as a single entry. Members of a list that cannot link by their
+sizes or parity sketches (lower bounds of the difference, so nothing is lost) are
+parted; the others form clusters. Clusters are verified exactly with blocked
+matrix products, large ones by a grid of block pairs, and only spanning edges
+leave a block.
 
 Edge cases: null, empty and blank texts have the empty set and no link; null ids
 keep their row (component_id null unless another id of the class is known);
@@ -157,45 +159,64 @@ def _sets(batch: pa.RecordBatch, text: str, n: int):
             yield some, doc, h, size, node
 
 
+_BITS = 512
+_WIDE, _FEW, _MANY = 64, 8, 4096
+
+
+def _sketches(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
+    """Parities of the shingles in each of 512 hash cells, as eight words a set.
+    Two sets differ in at least as many shingles as their sketches in bits."""
+    cell = (tx.mix(h ^ _C2) >> U(55)).astype(np.int64)
+    odd = np.bincount(doc * _BITS + cell, minlength=n_docs * _BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n_docs, _BITS), axis=1).view(np.int64)
+
+
 def shingle_counts(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """`(doc_id, n_shingles, node)`; node null for the empty set."""
+    """`(doc_id, n_shingles, node, sketch)`; node null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some, _, _, size, node in _sets(batch, "text", n):
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0)], ["doc_id", "n_shingles", "node"])
+            for some, doc, h, size, node in _sets(batch, "text", n):
+                sketch = pa.FixedSizeListArray.from_arrays(pa.array(_sketches(doc, h, some.num_rows).ravel()), 8).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0), sketch], ["doc_id", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch array<long>")
 
 
-def _candidate_edges(docs: DataFrame, text_col: str, n: int, scheme: Scheme, ranges: int) -> DataFrame:
-    """Edges `(u, v)` between nodes that have a key in common, a star a key."""
+def _runs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, node) sorted by key, where each key begins and how often it comes."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[new], nodes[new]
+    s = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys, nodes, s, np.diff(np.append(s, len(keys)))
+
+
+def _lists(docs: DataFrame, text_col: str, n: int, scheme: Scheme, ranges: int) -> DataFrame:
+    """Inverted lists of two nodes or more: `(kind, a, b)`.
+
+    kind 0: nodes a and b are in a list of a few nodes; 1: list a has node b;
+    2: a and b are in a list that is too long to compare its nodes one by one.
+    """
 
-    def starred(keys: np.ndarray, nodes: np.ndarray):
-        order = np.argsort(keys, kind="stable")
-        keys, nodes = keys[order], nodes[order]
-        s = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        hub = np.minimum.reduceat(nodes, s)
-        each = np.repeat(hub, np.diff(np.append(s, len(keys))))
-        off = nodes != each
-        return keys[s], hub, keys[off], np.stack([each[off], nodes[off]], 1)
+    def ranges_of(x: np.ndarray) -> np.ndarray:
+        return ((x >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
 
     def emit(keys: list, nodes: list):
-        k, hub, ek, e = starred(np.concatenate(keys), np.concatenate(nodes))
-        if len(e):
-            e, at = np.unique(e, axis=0, return_index=True)
-            ek = ek[at]
-        of = lambda x: ((x >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
-        kr, er = of(k), of(ek)
-        order = np.argsort(er, kind="stable")
-        e, er = e[order], er[order]
-        present = np.unique(np.concatenate([kr, er]))
-        a, b = np.searchsorted(kr, present), np.searchsorted(kr, present, "right")
-        c, d = np.searchsorted(er, present), np.searchsorted(er, present, "right")
-        rows = [(int(r), k[i:j].tobytes(), hub[i:j].tobytes(), e[x:y].tobytes()) for r, i, j, x, y in zip(present, a, b, c, d, strict=True)]
-        return pa.RecordBatch.from_pylist([{"rng": r, "keys": x, "nodes": y, "edges": z} for r, x, y, z in rows], schema)
-
-    schema = pa.schema([("rng", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("edges", pa.binary())])
+        k, v, s, count = _runs(np.concatenate(keys), np.concatenate(nodes))
+        # lists that are long within one task leave a star and a wildcard there
+        long = np.repeat(count > _WIDE, count)
+        hub = np.repeat(v[s], count)
+        star = long & (hub != v)
+        wk, wide = k[star], np.stack([hub[star], v[star]], 1)
+        wild = k[s][count > _WIDE]
+        k, v = k[~star], v[~star]
+        cols = [(ranges_of(k), k), (ranges_of(k), v), (ranges_of(wk), wide), (ranges_of(wild), wild)]
+        present = np.unique(cols[0][0])
+        cut = [(np.searchsorted(r, present), np.searchsorted(r, present, "right"), x) for r, x in cols]
+        return pa.RecordBatch.from_arrays([pa.array(present, pa.int32())] + [pa.array([x[i:j].tobytes() for i, j in zip(a, b, strict=True)], pa.binary()) for a, b, x in cut], ["rng", "keys", "nodes", "wide", "wild"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held = [], [], 0
@@ -215,12 +236,67 @@ def _candidate_edges(docs: DataFrame, text_col: str, n: int, scheme: Scheme, ran
         def joined(name):
             return np.frombuffer(b"".join(x.as_py() for x in rows.column(name)), np.uint64)
 
-        _, _, _, e = starred(joined("keys"), joined("nodes"))
-        e = np.unique(np.concatenate([e, joined("edges").reshape(-1, 2)]), axis=0)
-        return pa.table({"u": pa.array(e[:, 0].copy().view(np.int64)), "v": pa.array(e[:, 1].copy().view(np.int64))})
+        k, v, s, count = _runs(joined("keys"), joined("nodes"))
+        wild = np.isin(k[s], joined("wild"))
+        out = [(2, np.unique(joined("wide").reshape(-1, 2), axis=0))]
+        long = wild | (count > _MANY)
+        at = np.repeat(long, count)
+        out.append((2, np.stack([np.repeat(v[s], count)[at], v[at]], 1)))
+        few = []
+        for m in range(2, _FEW + 1):
+            begin = s[(count == m) & ~long]
+            few += [np.stack([v[begin + i], v[begin + j]], 1) for i in range(m) for j in range(i + 1, m)]
+        out.append((0, np.unique(np.concatenate(few), axis=0) if few else np.zeros((0, 2), np.uint64)))
+        at = np.repeat((count > _FEW) & ~long, count)
+        out.append((1, np.stack([k[at], v[at]], 1)))
+        kind = np.concatenate([np.full(len(x), c, np.int32) for c, x in out])
+        ab = np.concatenate([x for _, x in out])
+        return pa.table({"kind": pa.array(kind), "a": pa.array(ab[:, 0].copy().view(np.int64)), "b": pa.array(ab[:, 1].copy().view(np.int64))})
+
+    packed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "rng int, keys binary, nodes binary, wide binary, wild binary")
+    return packed.groupBy("rng").applyInArrow(merge, "kind int, a long, b long")
+
+
+def _possible(scheme: Scheme):
+    """Edges of spanning forests of what can link in each list, by sketches."""
+    num, den = scheme.num, scheme.den
+
+    def run(rows: pa.Table) -> pa.Table:
+        key, node, size = (rows.column(x).to_numpy() for x in ("a", "node", "size"))
+        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 8)
+        order = np.lexsort((node, key))
+        cuts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
+        out = [np.zeros((0, 2), np.int64)]
+        for a, b in itertools.pairwise(cuts):
+            at = order[a:b]
+            k, z = sketch[at], size[at]
+            link = np.zeros((len(at), len(at)), bool)
+            for i in range(0, len(at), 256):
+                apart = np.bitwise_count(k[i : i + 256, None, :] ^ k[None, :, :]).sum(-1, dtype=np.int64)
+                s, t = z[i : i + 256, None], z[None, :]
+                link[i : i + 256] = (apart * (den + num) <= (s + t) * (den - num)) & (den * np.minimum(s, t) >= num * np.maximum(s, t))
+            pairs = _spanning(link)
+            if pairs:
+                out.append(node[at][np.array(pairs)])
+        e = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"u": pa.array(e[:, 0].copy()), "v": pa.array(e[:, 1].copy())})
 
-    packed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "rng int, keys binary, nodes binary, edges binary")
-    return packed.groupBy("rng").applyInArrow(merge, "u long, v long")
+    return run
+
+
+def _candidate_edges(docs: DataFrame, text_col: str, n: int, scheme: Scheme, ranges: int, nodes: DataFrame) -> DataFrame:
+    """Edges `(u, v)` that join all nodes which have a key in common and can link
+    by their sizes and sketches (lists too long for that: all their nodes)."""
+    lists = stable(_lists(docs, text_col, n, scheme, ranges).distinct())
+    num, den = scheme.num, scheme.den
+    of = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = (apart * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)) & (den * F.least("size_a", "size_b") >= num * F.greatest("size_a", "size_b"))
+    few = lists.where("kind = 0").join(of("a"), "a").join(of("b"), "b").where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    many = lists.where("kind = 1").select("a", F.col("b").alias("node")).join(nodes.select("node", "size", "sketch"), "node")
+    groups = max(8, math.ceil(lists.where("kind = 1").count() / 100_000))
+    many = many.withColumn("g", F.pmod(F.xxhash64("a"), F.lit(groups))).groupBy("g").applyInArrow(_possible(scheme), "u long, v long")
+    return few.unionByName(many).unionByName(lists.where("kind = 2").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -330,12 +406,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counted = stable(shingle_counts(docs, "doc_id", "text", n))
-    nodes = counted.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"))
+    nodes = counted.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     total = counted.agg(F.sum("n_shingles")).first()[0] or 0
     small = {r["n_shingles"]: r["n"] for r in counted.where("n_shingles between 1 and 64").groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
     scheme = Scheme.by_cost(num, den, small)
     ranges = max(8, math.ceil(total * 0.35 / 1_000_000))
-    cluster = components(_candidate_edges(docs, "text", n, scheme, ranges))
+    nodes = stable(nodes)
+    cluster = components(_candidate_edges(docs, "text", n, scheme, ranges, nodes))
+    nodes = nodes.drop("sketch")
     members = stable(cluster.join(nodes, "node"))
     stats = members.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("size").alias("shingles"))
     stats = stats.withColumn("nb", F.ceil(F.greatest(F.col("rows") / _BLOCK_ROWS, F.col("shingles") / _BLOCK_ITEMS)).cast("int"))
@@ -349,7 +427,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = linked.join(nodes, "node").groupBy("comp").agg(F.min("rep").alias("component_id"))
     weight = found.where("kind = 1").groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("w"))
     known = nodes.join(linked, "node", "left").join(least, "comp", "left").join(weight, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"))
-    return counted.join(known, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node")
+    return counted.drop("sketch").join(known, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node")
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from gridlark.llm.ann import op1_ann
+from gridlark.llm.bpe import op7_bpe
+from gridlark.llm.chat import op3_chat_format
 from gridlark.llm.jaccard_join import op5_jaccard_join
+from gridlark.llm.langid import op4_language_id
+from gridlark.llm.shard import op8_sharding
 
 QUERIES = {
+    "op1_ann": op1_ann,
+    "op3_chat_format": op3_chat_format,
+    "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
+    "op7_bpe": op7_bpe,
+    "op8_sharding": op8_sharding,
 }
 
 ORACLES: dict[str, str] = {}
