@@ -48,6 +48,18 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
+def unique(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which beats hashing here."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def unique_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = np.sort(x)
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[at], np.diff(np.append(at, len(x)))
+
+
 def chunks(batch: pa.RecordBatch, text: str, budget: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `budget` bytes of text, one row at least."""
     if not batch.num_rows:
@@ -140,5 +152,5 @@ def shingle_sets(h: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tuple[n
                     extra[i] += h[first[x] + k] * _SLOT[k]
                 extra[i] += U(int(count[x])) * _SLOT[63]
             g, d = np.concatenate([g, mix(extra)]), np.concatenate([d, short])
-        key = np.unique((d.astype(np.uint64) << U(52)) | (g & LOW52))
+        key = unique((d.astype(np.uint64) << U(52)) | (g & LOW52))
     return (key >> U(52)).astype(np.int64), key & LOW52

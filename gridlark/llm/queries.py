@@ -2,20 +2,62 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from gridlark.llm.ann import op1_ann
 from gridlark.llm.bpe import op7_bpe
 from gridlark.llm.chat import op3_chat_format
+from gridlark.llm.decontaminate import op2_decontaminate
 from gridlark.llm.jaccard_join import op5_jaccard_join
 from gridlark.llm.langid import op4_language_id
+from gridlark.llm.license_scan import op10_license_scan
+from gridlark.llm.line_dedup import op9_line_dedup
+from gridlark.llm.quality import op6_quality
 from gridlark.llm.shard import op8_sharding
 
 QUERIES = {
     "op1_ann": op1_ann,
+    "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_license_scan": op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+_OP3 = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+m as (select *, case when role = lag(role) over (partition by conv_id order by turn) then 0 else 1 end as fresh,
+             length(text) + len(regexp_extract_all(text, '<\\*\|')) as n from c)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+       (sum(n) + sum(fresh * (length(role) + 15)) + 7 * (count(*) - sum(fresh)))::bigint as formatted_chars
+from m group by conv_id
+"""
+
+_OP5 = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as a from documents),
+s as (select distinct doc_id, case when len(a) < 4 then array_to_string(a, ' ') else array_to_string(a[i:i+3], ' ') end as g
+      from (select doc_id, a, unnest(range(1, greatest(len(a) - 3, least(len(a), 1)) + 1)) as i from w)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 85 * (na.n + nb.n - c)),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+k as (select a, least(min(a), min(b)) as m from r group by a),
+d as (select a, count(*) as links from l group by a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(k.m, w.doc_id) as component_id, coalesce(d.links, 0) as n_links
+from w left join n using (doc_id) left join k on k.a = w.doc_id left join d on d.a = w.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op3_chat_format": _OP3, "op5_jaccard_join": _OP5}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
