@@ -64,13 +64,13 @@ class Scheme:
         self.k = [2 * r * (den - num) // (den + num) for r in self.high]
         self.spare, self.m = [], []
         for k, lo in zip(self.k, self.reach, strict=True):
-            spare = 0
-            while spare < k + 8:
-                m = k + 1 + spare
-                empty = m * math.exp(-lo / m)
-                if spare >= empty + 3 * math.sqrt(empty):
+            spare = need = 0
+            for _ in range(40):  # a fixed point: more ranges, more of them empty
+                empty = (k + 1 + spare) * math.exp(-lo / (k + 1 + spare))
+                need = math.ceil(empty + 3 * math.sqrt(empty))
+                if need <= spare:
                     break
-                spare += 1
+                spare = min(need, k + 8)
             self.spare.append(spare)
             self.m.append(k + 1 + spare if k else 0)  # without a difference sets are equal
 
