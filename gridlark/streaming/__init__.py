@@ -1,0 +1 @@
+"""The engine reads finished files; it has no streaming operators."""
