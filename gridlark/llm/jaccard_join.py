@@ -159,16 +159,26 @@ def _sets(batch: pa.RecordBatch, text: str, n: int):
             yield some, doc, h, size, node
 
 
-_BITS = 512
+_LEAST_BITS = 512
 _WIDE, _FEW, _MANY = 64, 8, 4096
 
 
-def _sketches(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
-    """Parities of the shingles in each of 512 hash cells, as eight words a set.
-    Two sets differ in at least as many shingles as their sketches in bits."""
-    cell = (tx.mix(h ^ _C2) >> U(55)).astype(np.int64)
-    odd = np.bincount(doc * _BITS + cell, minlength=n_docs * _BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n_docs, _BITS), axis=1).view(np.int64)
+def _sketches(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    """Parities of the shingles in each of 512 hash cells or more (twice the
+    shingles, up to a power of two), packed in words. Two sets differ in at least
+    as many shingles as their sketches in bits, the longer one folded."""
+    bits = np.maximum(_LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(size * 2, 1))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(bits)])
+    cell = (tx.mix(h ^ _C2)).astype(np.int64) & (bits[doc] - 1)
+    odd = np.bincount(first[doc] + cell, minlength=first[-1]) & 1
+    return pa.ListArray.from_arrays(pa.array(first // 64, pa.int32()), pa.array(np.packbits(odd.astype(np.uint8)).view(np.int64)))
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
 
 
 def shingle_counts(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -177,8 +187,7 @@ def shingle_counts(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some, doc, h, size, node in _sets(batch, "text", n):
-                sketch = pa.FixedSizeListArray.from_arrays(pa.array(_sketches(doc, h, some.num_rows).ravel()), 8).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0), sketch], ["doc_id", "n_shingles", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0), _sketches(doc, h, size)], ["doc_id", "n_shingles", "node", "sketch"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch array<long>")
 
@@ -263,18 +272,20 @@ def _possible(scheme: Scheme):
 
     def run(rows: pa.Table) -> pa.Table:
         key, node, size = (rows.column(x).to_numpy() for x in ("a", "node", "size"))
-        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 8)
+        sketch = [x.values.to_numpy().view(np.uint64) for x in rows.column("sketch")]
         order = np.lexsort((node, key))
         cuts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
         out = [np.zeros((0, 2), np.int64)]
         for a, b in itertools.pairwise(cuts):
             at = order[a:b]
-            k, z = sketch[at], size[at]
+            words = min(len(sketch[i]) for i in at)
+            k, z = np.stack([_folded(sketch[i], words) for i in at]), size[at]
             link = np.zeros((len(at), len(at)), bool)
-            for i in range(0, len(at), 256):
-                apart = np.bitwise_count(k[i : i + 256, None, :] ^ k[None, :, :]).sum(-1, dtype=np.int64)
-                s, t = z[i : i + 256, None], z[None, :]
-                link[i : i + 256] = (apart * (den + num) <= (s + t) * (den - num)) & (den * np.minimum(s, t) >= num * np.maximum(s, t))
+            some = max(1, (1 << 22) // (words * len(at)))
+            for i in range(0, len(at), some):
+                apart = np.bitwise_count(k[i : i + some, None, :] ^ k[None, :, :]).sum(-1, dtype=np.int64)
+                s, t = z[i : i + some, None], z[None, :]
+                link[i : i + some] = (apart * (den + num) <= (s + t) * (den - num)) & (den * np.minimum(s, t) >= num * np.maximum(s, t))
             pairs = _spanning(link)
             if pairs:
                 out.append(node[at][np.array(pairs)])
@@ -290,9 +301,19 @@ def _candidate_edges(docs: DataFrame, text_col: str, n: int, scheme: Scheme, ran
     lists = stable(_lists(docs, text_col, n, scheme, ranges).distinct())
     num, den = scheme.num, scheme.den
     of = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = (apart * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)) & (den * F.least("size_a", "size_b") >= num * F.greatest("size_a", "size_b"))
-    few = lists.where("kind = 0").join(of("a"), "a").join(of("b"), "b").where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            sizes = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+            for i, (x, y) in enumerate(zip(batch.column("sketch_a"), batch.column("sketch_b"), strict=True)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                words = min(len(x), len(y))
+                apart = int(np.bitwise_count((_folded(x, words) ^ _folded(y, words)).view(np.uint64)).sum())
+                keep[i] = apart * (den + num) <= int(sizes[i]) * (den - num)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["u", "v"])
+
+    alike = den * F.least("size_a", "size_b") >= num * F.greatest("size_a", "size_b")
+    few = lists.where("kind = 0").join(of("a"), "a").join(of("b"), "b").where(alike).mapInArrow(near, "u long, v long")
     many = lists.where("kind = 1").select("a", F.col("b").alias("node")).join(nodes.select("node", "size", "sketch"), "node")
     groups = max(8, math.ceil(lists.where("kind = 1").count() / 100_000))
     many = many.withColumn("g", F.pmod(F.xxhash64("a"), F.lit(groups))).groupBy("g").applyInArrow(_possible(scheme), "u long, v long")
