@@ -31,7 +31,7 @@ _LOWER[65:91] += 32
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("p", ())) < n + 1:
-        m = max(n + 1, 1 << 21)
+        m = max(n + 1, 1 << 20)
         with np.errstate(over="ignore"):
             for name, base in (("p", _BASE), ("i", _INVERSE)):
                 a = np.full(m, base, dtype=np.uint64)
@@ -60,7 +60,7 @@ def unique_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at], np.diff(np.append(at, len(x)))
 
 
-def chunks(batch: pa.RecordBatch, text: str, budget: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, text: str, budget: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `budget` bytes of text, one row at least."""
     if not batch.num_rows:
         return

@@ -34,7 +34,7 @@ from gridlark.llm import _text as tx
 
 #: Fixed pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 250_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -222,7 +222,7 @@ def bpe(df: DataFrame, path: str, text_col: str = "text", keep: Sequence[str] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         for batch in batches:
-            for part in tx.chunks(batch, "__text", 4 << 20):
+            for part in tx.chunks(batch, "__text", 1 << 20):
                 ids = coder.encode(part.column("__text").to_pylist())
                 decoded = [coder.decode(x) for x in ids] if {"decoded", "decoded_sha256"} & set(make) else []
                 of = {

@@ -235,7 +235,7 @@ def _lists(docs: DataFrame, text_col: str, n: int, scheme: Scheme, ranges: int)
                 keys.append(k)
                 nodes.append(node[owner])
                 held += len(k)
-                if held > 1_500_000:
+                if held > 1_000_000:
                     yield emit(keys, nodes)
                     keys, nodes, held = [], [], 0
         if held:

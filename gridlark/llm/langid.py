@@ -31,7 +31,7 @@ from gridlark.llm._linear import ftrl, softmax, temperature
 BITS = 16
 _DIM = 1 << BITS
 _LETTER: list[np.ndarray] = []
-_PIECE = 2 << 20
+_PIECE = 1 << 20
 
 
 def _letters() -> np.ndarray:

@@ -157,8 +157,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     marks = repeated_blocks(lines).select("did", "tk", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos"))
     gone = marks.groupBy("did", "tk").agg(F.sort_array(F.collect_set("pos")).alias("__gone"))
     joined = df.join(gone.select(F.col("did").alias("__did"), F.col("tk").alias("__tk"), "__gone"), (did == F.col("__did")) & (tk == F.col("__tk")), "left")
-    lines_of = F.split(text, "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), F.col("__gone")), lambda i: lines_of[i])
+    # the text is split once, as the array that is filtered; places inside a lambda
+    # would have it split for each of them
+    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__gone", i))
     clean = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns], F.coalesce("__gone", F.array().cast("array<int>")).alias("deleted_lines"))
 

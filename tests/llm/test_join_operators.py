@@ -341,7 +341,7 @@ def test_pipeline_stages(spark, tmp_path):
     page = lambda: "\n".join(line(rng.randint(6, 14)) for _ in range(8))
     item = line(30)
     texts = [page() for _ in range(60)]
-    texts += ["BUY!! THIS!! NOW!! " * 40] * 2 + [texts[0]] + [texts[1].replace(" ", "  ", 1)] + [page() + "\n" + item] * 1
+    texts += ["BUY!! THIS!! NOW!! " * 40] * 2 + [texts[0]] + [texts[1].replace(" ", "  ")] + [page() + "\n" + item] * 1
     df = docs(spark, texts).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
     df.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
