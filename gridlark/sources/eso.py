@@ -11,7 +11,9 @@ from __future__ import annotations
 import datetime as dt
 import os
 import re
+import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,13 +58,21 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("_metadata.file_block_start").alias("blk"), F.monotonically_increasing_id().alias("mid"), F.trim("value").alias("line"))
 
 
+def _before(at: tuple[int, int]) -> Column:
+    return (F.col("blk") < at[0]) | ((F.col("blk") == at[0]) & (F.col("mid") < at[1]))
+
+
+def _after(at: tuple[int, int]) -> Column:
+    return (F.col("blk") > at[0]) | ((F.col("blk") == at[0]) & (F.col("mid") > at[1]))
+
+
 def _read_head(spark: SparkSession, path: str, text: DataFrame) -> tuple[int, dt.datetime, list[tuple], tuple[int, int]]:
     """Version, time, dictionary and where it ends. The dictionary is metadata."""
     end = text.where(F.col("line") == _END_OF_HEADER).orderBy("blk", "mid").limit(1).collect()
     if not end:
         raise model.IncompleteFile(f"{path} ends in its dictionary")
     at = (end[0]["blk"], end[0]["mid"])
-    top = [r["line"] for r in text.where(F.struct("blk", "mid") < F.struct(F.lit(at[0]), F.lit(at[1]))).orderBy("blk", "mid").collect()]
+    top = [r["line"] for r in text.where(_before(at)).orderBy("blk", "mid").collect()]
     version, created = statement(top[0])
     skip = 6 if version >= 890 else 5
     return version, created, [header_entry(x) for x in top[1 + skip :]], at
@@ -139,13 +149,15 @@ def read_eso(spark: SparkSession, path: str, year: int | None = None, ignore_pea
     text = lines(spark, path)
     version, created, entries, at = _read_head(spark, path, text)
     highest = 6 if version >= 890 else 5
-    body = text.where((F.struct("blk", "mid") > F.struct(F.lit(at[0]), F.lit(at[1]))) & (F.col("line") != _END))
-    if text.where((F.col("line") == _END) & (F.struct("blk", "mid") > F.struct(F.lit(at[0]), F.lit(at[1])))).limit(1).count() == 0:
+    body = text.where(_after(at) & (F.col("line") != _END))
+    if text.where((F.col("line") == _END) & _after(at)).limit(1).count() == 0:
         raise model.IncompleteFile(f"{path} ends before its end mark")
     # what follows the end mark (counts of the program) is no data
     last = text.where(F.col("line") == _END).agg(F.min(F.struct("blk", "mid")).alias("m")).first()["m"]
-    body = body.where(F.struct("blk", "mid") < F.struct(F.lit(last["blk"]), F.lit(last["mid"])))
-    rows = with_steps(body, highest)
+    body = body.where(_before((last["blk"], last["mid"])))
+    # every part of the Dataset is made of these rows: parsed once, kept on executors;
+    # the mark keeps a file that has changed since from being taken for this one
+    rows = with_steps(body, highest).withColumn("read", F.lit(uuid.uuid4().hex)).persist(StorageLevel.MEMORY_AND_DISK)
     blank, bad = rows.agg(F.count_if(F.col("line") == ""), F.count_if((F.col("line") != "") & (F.col("no").isNull() | (F.size("f") < 2)))).first()
     if blank:
         raise model.BlankLineError(f"{path} has {blank} blank lines")
