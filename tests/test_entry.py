@@ -12,9 +12,10 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tabl
 
 
 def plain(df):
+    import numpy as np
     import pandas as pd
 
-    cell = lambda x: "~" if x is None or x is pd.NaT or x is pd.NA or x != x else repr(round(float(x), 6)) if isinstance(x, int | float) and not isinstance(x, bool) else str(x)
+    cell = lambda x: "~" if x is None or x is pd.NaT or x is pd.NA or x != x else repr(round(float(x), 6)) if isinstance(x, int | float | np.number) and not isinstance(x, bool) else str(x)
     return sorted(tuple(cell(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
 
 
