@@ -1,9 +1,12 @@
 """License scans by DataFrame expressions only.
 
-Each line of a file is compared with license templates as sparse TF-IDF vectors:
-terms of the templates are weighted by their document frequencies over all
-files, every other term counts in the line's norm as if it were as rare as can
-be. A file's own license is that of its best line with a cosine of `least` or
+Each line of a file, and each span of a line that is as long as a template, is
+compared with license templates as sparse TF-IDF vectors: terms of the templates
+are weighted by their document frequencies over all files, up to the weight of a
+term in a thousandth of them; every other term counts in the span's norm with that
+weight, whatever the number of files. Only spans around the heaviest terms of a
+template are looked at; no other can reach the cosine.
+A file's own license is that of its best span with a cosine of `least` or
 more. Files that are named like licence files speak for their directory: a file
 without a license of its own takes that of the nearest directory above it, found
 by an equi-join of its ancestor directories.
@@ -41,6 +44,7 @@ TEMPLATES = [
     ("CC0-1.0", "CC0 1.0 Universal public domain dedication"),
     ("GPL-2.0", "licensed under the GNU General Public License version 2"),
     ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-3.0", "licensed under the GNU General Public License version 3"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
@@ -52,6 +56,8 @@ TEMPLATES = [
     ("Proprietary", "Proprietary and confidential. All rights reserved"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
+#: Weight of a word that no template has, and the most that any term weighs: that of a term in a thousandth of all files.
+RARE = math.log(1_000) + 1
 _WORD = "[^a-z0-9]+"
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|unlicense|notice)([._-].*)?$"
 
@@ -70,30 +76,51 @@ def scan(df: DataFrame, path, text_col: str = "text", id_col: str = "doc_id", le
     known = files.select(F.explode(F.array_distinct(F.filter(F.split("text", _WORD), lambda t: t.isin(vocab)))).alias("term"))
     freq = {r["term"]: r["n"] for r in known.groupBy("term").agg(F.count("*").alias("n")).collect()}  # bounded by the templates
     n = files.count()
-    idf = {t: math.log((1 + n) / (1 + freq.get(t, 0))) + 1 for t in vocab}
-    rare = math.log(1 + n) + 1
-    weights = F.create_map(*[F.lit(x) for t in vocab for x in (t, idf[t])])
-    spark = df.sparkSession
+    idf = {t: min(RARE, math.log((1 + n) / (1 + freq.get(t, 0))) + 1) for t in vocab}
+    code = {t: k for k, t in enumerate(vocab, 1)}  # 0 is any word that no template has
     rows = []
     for k, (name, text) in enumerate(templates):
         count = {t: terms_of(text).count(t) for t in terms_of(text)}
         norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in count.items()))
-        rows += [(k, name, t, c * idf[t] / norm) for t, c in count.items()]
-    known_terms = spark.createDataFrame(rows, "template int, license string, term string, w double")
-    lines = files.select("doc_id", "path", F.posexplode(F.split("text", "\n")).alias("line", "s")).select("doc_id", "path", "line", words("s").alias("t"))
-    hits = lines.withColumn("hits", F.filter("t", lambda t: t.isin(vocab))).where(F.size("hits") > 0).withColumn("others", F.size("t") - F.size("hits"))
-    # no line below this bound can reach the cosine: its known terms are too light
-    mass = F.aggregate("hits", F.lit(0.0), lambda s, t: s + weights[t])
-    most = least * least / max(1e-9, 1 - least * least)
-    hits = hits.where(mass * mass >= most * F.col("others") * (rare * rare)).select("doc_id", "path", "line", "hits", "others").withColumn("row", F.monotonically_increasing_id())
-    hits = stable(hits)
-    terms = hits.select("row", "doc_id", "path", "others", F.explode("hits").alias("term")).groupBy("row", "doc_id", "path", "others", "term").agg(F.count("*").alias("tf"))
-    terms = terms.withColumn("v", F.col("tf") * weights[F.col("term")])
-    norms = terms.groupBy("row").agg((F.sum(F.col("v") * F.col("v")) + F.max("others") * (rare * rare)).alias("square"))
+        dots = [0.0] * (len(vocab) + 1)
+        for t, c in count.items():
+            dots[code[t]] = c * idf[t] * idf[t] / norm
+        # a span without any of these, the heaviest, can't reach the cosine
+        left = 1.0
+        for t in sorted(count, key=lambda t: (-count[t] * idf[t], t)):
+            if left < least * least - 1e-9:
+                break
+            left -= (count[t] * idf[t] / norm) ** 2
+            rows.append((code[t], k, name, len(terms_of(text)), dots))
+    spark = df.sparkSession
     # the templates' terms are fixed values, so this side is bounded
-    dots = terms.join(F.broadcast(known_terms), "term").groupBy("row", "doc_id", "path", "template", "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    cosine = F.round(F.least(F.lit(1.0), F.col("dot") / F.sqrt("square")), 9)
-    scored = dots.join(norms, "row").withColumn("score", cosine).where(F.col("score") >= least)
+    sought = F.broadcast(spark.createDataFrame(rows, "term int, template int, license string, length int, dots array<double>"))
+    terms = sorted({vocab[r[0] - 1] for r in rows})
+    sought_codes = [code[t] for t in terms]
+    longest = max((len(terms_of(x)) for _, x in templates), default=1)
+    weights, names = F.array(*[F.lit(x) for x in [RARE, *(idf[t] for t in vocab)]]), F.array(*[F.lit(t) for t in vocab])
+    coded = lambda c: F.transform(words(c), lambda t: F.when(t.isin(vocab), F.array_position(names, t).cast("int")).otherwise(0))
+    some = files.where(F.exists(F.split("text", _WORD), lambda t: t.isin(terms)))
+    lines = some.select("doc_id", "path", F.explode(F.split("text", "\n")).alias("s")).select("doc_id", "path", coded("s").alias("words"))
+    whole = lines.select("doc_id", "path", "words", F.explode(F.array_distinct(F.filter("words", lambda c: c.isin(sought_codes)))).alias("term"), F.lit(None).cast("int").alias("at"))
+    bodies = lines
+    places = F.filter(F.transform("words", lambda c, i: F.when(c.isin(sought_codes), i)), lambda i: i.isNotNull())
+    around = lambda i: F.struct(F.element_at("words", i + 1).alias("term"), F.least(i, F.lit(longest - 1)).alias("at"), F.slice("words", F.greatest(F.lit(1), i - longest + 2), 2 * longest - 1).alias("words"))
+    near = bodies.select("doc_id", "path", F.explode(F.transform(places, around)).alias("x")).select("doc_id", "path", "x.words", "x.term", "x.at")
+    size = F.size("words")
+    starts = F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("length") + 1), F.greatest(F.lit(0), F.least(F.col("at"), size - F.col("length"))))
+    spans = F.when(F.col("at").isNull(), F.array("words")).otherwise(F.transform(starts, lambda i: F.slice("words", i + 1, F.col("length"))))
+    total = lambda span, f: F.aggregate(span, F.lit(0.0), lambda s, c: s + f(c))
+    weight = lambda c: F.element_at(weights, c + 1)
+    dot = lambda span: total(span, lambda c: F.element_at(F.col("dots"), c + 1))
+    hits = lambda span: F.filter(span, lambda c: c > 0)
+    # counts of a term add to its square at least as often as it occurs: a bound without counting
+    possible = lambda span: dot(span) * dot(span) >= (least * least - 1e-9) * total(span, lambda c: weight(c) * weight(c))
+    others = lambda span: F.size(F.filter(span, lambda c: c == 0)) * (RARE * RARE)
+    square = lambda span: others(span) + total(F.array_distinct(hits(span)), lambda c: F.pow(F.size(F.filter(span, lambda x: x == c)) * weight(c), F.lit(2.0)))
+    cosine = lambda span: F.round(F.least(F.lit(1.0), dot(span) / F.sqrt(square(span))), 9)
+    scored = whole.select("doc_id", "path", "words", "term", "at").unionByName(near).join(sought, "term").select("doc_id", "path", "license", "dots", F.filter(spans, possible).alias("spans"))
+    scored = scored.select("doc_id", "path", "license", F.array_max(F.transform("spans", cosine)).alias("score")).where(F.col("score") >= least)
     best = F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))
     own = stable(scored.groupBy("doc_id", "path").agg(F.min(best).alias("b")).select("doc_id", "path", F.col("b.l").alias("own"), (-F.col("b.s")).alias("own_score")))
     base = files.select("doc_id", "path")

@@ -331,6 +331,19 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def licenses_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["license"] for r in license_scan.scan(df, F.concat(F.lit("f/"), F.col("doc_id").cast("string"))).collect()}
+
+
+def test_license_of_a_line_at_all_sizes(spark):
+    lines = ["Released under the MIT License x", "Copyright 2024 Foo Inc. Licensed under the Apache License, Version 2.0", "word " * 60 + "Released under the MIT License" + " word" * 60, "App is licensed under the GNU General Public License version 3 (see there)", "Released under the Foo License"]
+    for n in (1, 30, 600, 6000):
+        some = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0"]
+        got = licenses_of(spark, lines + [some[i // 10 % 2] if i % 10 == 0 else f"alpha beta {i}" for i in range(n)])
+        assert [got[i] for i in range(len(lines))] == ["MIT", "Apache-2.0", "MIT", "GPL-3.0", None], n
+
+
 # pipeline --------------------------------------------------------------------
 
 
