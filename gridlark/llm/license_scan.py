@@ -1,8 +1,8 @@
 """License scans by DataFrame expressions only.
 
-Each line of a file, and each span of a line that is as long as a template, is
-compared with license templates as sparse TF-IDF vectors: terms of the templates
-are weighted by their document frequencies over all files, up to the weight of a
+Each line of a file, and each span of words as long as a template, anywhere in the
+text and over line ends, is compared with license templates as sparse TF-IDF
+vectors: terms of the templates are weighted by their document frequencies over all files, up to the weight of a
 term in a thousandth of them; every other term counts in the span's norm with that
 weight, whatever the number of files. Only spans around the heaviest terms of a
 template are looked at; no other can reach the cosine.
@@ -103,7 +103,7 @@ def scan(df: DataFrame, path, text_col: str = "text", id_col: str = "doc_id", le
     some = files.where(F.exists(F.split("text", _WORD), lambda t: t.isin(terms)))
     lines = some.select("doc_id", "path", F.explode(F.split("text", "\n")).alias("s")).select("doc_id", "path", coded("s").alias("words"))
     whole = lines.select("doc_id", "path", "words", F.explode(F.array_distinct(F.filter("words", lambda c: c.isin(sought_codes)))).alias("term"), F.lit(None).cast("int").alias("at"))
-    bodies = lines
+    bodies = some.select("doc_id", "path", coded("text").alias("words"))
     places = F.filter(F.transform("words", lambda c, i: F.when(c.isin(sought_codes), i)), lambda i: i.isNotNull())
     around = lambda i: F.struct(F.element_at("words", i + 1).alias("term"), F.least(i, F.lit(longest - 1)).alias("at"), F.slice("words", F.greatest(F.lit(1), i - longest + 2), 2 * longest - 1).alias("words"))
     near = bodies.select("doc_id", "path", F.explode(F.transform(places, around)).alias("x")).select("doc_id", "path", "x.words", "x.term", "x.at")

@@ -344,6 +344,16 @@ def test_license_of_a_line_at_all_sizes(spark):
         assert [got[i] for i in range(len(lines))] == ["MIT", "Apache-2.0", "MIT", "GPL-3.0", None], n
 
 
+def test_license_over_lines_and_inline(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met"
+    long = "word " * 300 + "Licensed under the\nApache License, Version 2.0 " + "word " * 300
+    rows = [(1, "a/LICENSE", f"Foo 1.0\nCopyright 2024 Foo\n\n# {bsd}:\n# 1. one"), (2, "a/b/c.py", "x"), (3, "d/e.py", long), (4, "d/f.py", long.replace("\n", " ")), (5, "d/g.py", "/* This Source Code Form is subject to the terms of the\r\n * Mozilla Public License, v. 2.0. If a copy */")]
+    rows += [(10 + i, f"z/{i}.py", "Released under the MIT License." if i % 20 == 0 else f"alpha {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, file string, text string")
+    got = {r["doc_id"]: (r["license"], r["via"]) for r in license_scan.scan(df, F.col("file")).where("doc_id < 10").collect()}
+    assert got == {1: ("BSD-3-Clause", "file"), 2: ("BSD-3-Clause", "inherited"), 3: ("Apache-2.0", "header"), 4: ("Apache-2.0", "header"), 5: ("MPL-2.0", "header")}
+
+
 # pipeline --------------------------------------------------------------------
 
 
