@@ -13,7 +13,8 @@ by an equi-join of its ancestor directories.
 
 Edge cases: null and empty texts have no license of their own but inherit; null
 paths inherit nothing; ties go to the license first by name, and among licence
-files of a directory to the better score, then the first path; rows that repeat
+files of a directory to the better score, then the first path; rights that are
+only reserved count where nothing else is found; rows that repeat
 get equal results; extra columns are ignored; an empty table gives none.
 """
 
@@ -54,8 +55,11 @@ TEMPLATES = [
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Proprietary", "Proprietary and confidential. All rights reserved"),
+    ("Proprietary", "All rights reserved"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
+#: Stands beside many notices that grant something, so any other license of a text or a directory goes first.
+RESERVED = "All rights reserved"
 #: Weight of a word that no template has, and the most that any term weighs: that of a term in a thousandth of all files.
 RARE = math.log(1_000) + 1
 _WORD = "[^a-z0-9]+"
@@ -91,10 +95,10 @@ def scan(df: DataFrame, path, text_col: str = "text", id_col: str = "doc_id", le
             if left < least * least - 1e-9:
                 break
             left -= (count[t] * idf[t] / norm) ** 2
-            rows.append((code[t], k, name, len(terms_of(text)), dots))
+            rows.append((code[t], k, name, text == RESERVED, len(terms_of(text)), dots))
     spark = df.sparkSession
     # the templates' terms are fixed values, so this side is bounded
-    sought = F.broadcast(spark.createDataFrame(rows, "term int, template int, license string, length int, dots array<double>"))
+    sought = F.broadcast(spark.createDataFrame(rows, "term int, template int, license string, reserved boolean, length int, dots array<double>"))
     terms = sorted({vocab[r[0] - 1] for r in rows})
     sought_codes = [code[t] for t in terms]
     longest = max((len(terms_of(x)) for _, x in templates), default=1)
@@ -119,13 +123,13 @@ def scan(df: DataFrame, path, text_col: str = "text", id_col: str = "doc_id", le
     others = lambda span: F.size(F.filter(span, lambda c: c == 0)) * (RARE * RARE)
     square = lambda span: others(span) + total(F.array_distinct(hits(span)), lambda c: F.pow(F.size(F.filter(span, lambda x: x == c)) * weight(c), F.lit(2.0)))
     cosine = lambda span: F.round(F.least(F.lit(1.0), dot(span) / F.sqrt(square(span))), 9)
-    scored = whole.select("doc_id", "path", "words", "term", "at").unionByName(near).join(sought, "term").select("doc_id", "path", "license", "dots", F.filter(spans, possible).alias("spans"))
-    scored = scored.select("doc_id", "path", "license", F.array_max(F.transform("spans", cosine)).alias("score")).where(F.col("score") >= least)
-    best = F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))
-    own = stable(scored.groupBy("doc_id", "path").agg(F.min(best).alias("b")).select("doc_id", "path", F.col("b.l").alias("own"), (-F.col("b.s")).alias("own_score")))
+    scored = whole.select("doc_id", "path", "words", "term", "at").unionByName(near).join(sought, "term").select("doc_id", "path", "license", "reserved", "dots", F.filter(spans, possible).alias("spans"))
+    scored = scored.select("doc_id", "path", "license", "reserved", F.array_max(F.transform("spans", cosine)).alias("score")).where(F.col("score") >= least)
+    best = F.struct(F.col("reserved").alias("r"), (-F.col("score")).alias("s"), F.col("license").alias("l"))
+    own = stable(scored.groupBy("doc_id", "path").agg(F.min(best).alias("b")).select("doc_id", "path", F.col("b.l").alias("own"), (-F.col("b.s")).alias("own_score"), F.col("b.r").alias("reserved")))
     base = files.select("doc_id", "path")
     name, folder = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"/?[^/]*$", "")
-    speaks = own.where(name.rlike(LICENSE_FILE)).groupBy(folder.alias("dir")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("path").alias("p"), F.col("own").alias("l"))).alias("f"))
+    speaks = own.where(name.rlike(LICENSE_FILE)).groupBy(folder.alias("dir")).agg(F.min(F.struct(F.col("reserved").alias("r"), (-F.col("own_score")).alias("s"), F.col("path").alias("p"), F.col("own").alias("l"))).alias("f"))
     speaks = speaks.select("dir", F.col("f.l").alias("dir_license"), F.col("f.p").alias("dir_path"), (-F.col("f.s")).alias("dir_score"))
     wanting = base.where("path is not null").distinct().join(own.select("doc_id", "path"), ["doc_id", "path"], "left_anti")
     parts = F.split(folder, "/")

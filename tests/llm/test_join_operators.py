@@ -354,6 +354,17 @@ def test_license_over_lines_and_inline(spark):
     assert got == {1: ("BSD-3-Clause", "file"), 2: ("BSD-3-Clause", "inherited"), 3: ("Apache-2.0", "header"), 4: ("Apache-2.0", "header"), 5: ("MPL-2.0", "header")}
 
 
+def test_license_lines_of_the_tables(spark):
+    kinds = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    want = dict(enumerate([*kinds.values(), "BSD-3-Clause", "MIT", None, "Proprietary"]))
+    notice = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+    got = licenses_of(spark, [*kinds, f"Copyright Foo. All rights reserved.\n{notice}", "All rights reserved\nReleased under the MIT License", "No rights reserved", "Proprietary and confidential. All rights reserved"])
+    assert got == want
+    rows = [(1, "a/LICENSE", f"{notice} terms"), (2, "a/NOTICE", "All rights reserved."), (3, "a/x.py", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, file string, text string")
+    assert {r["license"] for r in license_scan.scan(df, F.col("file")).where("doc_id = 3").collect()} == {"BSD-3-Clause"}
+
+
 # pipeline --------------------------------------------------------------------
 
 
