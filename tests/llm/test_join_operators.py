@@ -161,6 +161,25 @@ def test_nearest_odd(spark):
     assert ann.nearest(df.where("false"), df.where("false")).count() == 0
 
 
+def test_nearest_of_an_id_with_many_rows(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((60, 16))
+    x[1:] = x[0] + 0.3 * x[1:]
+    rows = [(i, v) for i, v in enumerate(x)] + [(7, x[0] + 0.01 * j * x[7]) for j in range(12)] + [(9, x[0] * 2)] * 12
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id < 5")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in range(5):
+        best = defaultdict(lambda: -2.0)
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best[i], v @ x[q] / np.linalg.norm(v) / np.linalg.norm(x[q]))
+        want = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:5]
+        assert [i for i, _ in got[q]] == [i for i, _ in want]
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want], atol=1e-12)
+
+
 def test_hadamard_is_a_rotation():
     x = np.random.default_rng(1).standard_normal((5, 24))
     y = ann.turned(x, ann.rotations(24, 1)[0])
