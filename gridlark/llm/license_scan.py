@@ -4,7 +4,7 @@ Each line of a file, and each span of words as long as a template, anywhere in t
 text and over line ends, is compared with license templates as sparse TF-IDF
 vectors: terms of the templates are weighted by their document frequencies over all files, up to the weight of a
 term in a thousandth of them; every other term counts in the span's norm with that
-weight, whatever the number of files. Only spans around the heaviest terms of a
+weight at most, or, under a thousand files, as one that no file has. Only spans around the heaviest terms of a
 template are looked at; no other can reach the cosine.
 A file's own license is that of its best span with a cosine of `least` or
 more. Files that are named like licence files speak for their directory: a file
@@ -81,6 +81,7 @@ def scan(df: DataFrame, path, text_col: str = "text", id_col: str = "doc_id", le
     freq = {r["term"]: r["n"] for r in known.groupBy("term").agg(F.count("*").alias("n")).collect()}  # bounded by the templates
     n = files.count()
     idf = {t: min(RARE, math.log((1 + n) / (1 + freq.get(t, 0))) + 1) for t in vocab}
+    rare = min(RARE, math.log(1 + n) + 1)
     code = {t: k for k, t in enumerate(vocab, 1)}  # 0 is any word that no template has
     rows = []
     for k, (name, text) in enumerate(templates):
@@ -102,7 +103,7 @@ def scan(df: DataFrame, path, text_col: str = "text", id_col: str = "doc_id", le
     terms = sorted({vocab[r[0] - 1] for r in rows})
     sought_codes = [code[t] for t in terms]
     longest = max((len(terms_of(x)) for _, x in templates), default=1)
-    weights, names = F.array(*[F.lit(x) for x in [RARE, *(idf[t] for t in vocab)]]), F.array(*[F.lit(t) for t in vocab])
+    weights, names = F.array(*[F.lit(x) for x in [rare, *(idf[t] for t in vocab)]]), F.array(*[F.lit(t) for t in vocab])
     coded = lambda c: F.transform(words(c), lambda t: F.when(t.isin(vocab), F.array_position(names, t).cast("int")).otherwise(0))
     some = files.where(F.exists(F.split("text", _WORD), lambda t: t.isin(terms)))
     lines = some.select("doc_id", "path", F.explode(F.split("text", "\n")).alias("s")).select("doc_id", "path", coded("s").alias("words"))
@@ -120,7 +121,7 @@ def scan(df: DataFrame, path, text_col: str = "text", id_col: str = "doc_id", le
     hits = lambda span: F.filter(span, lambda c: c > 0)
     # counts of a term add to its square at least as often as it occurs: a bound without counting
     possible = lambda span: dot(span) * dot(span) >= (least * least - 1e-9) * total(span, lambda c: weight(c) * weight(c))
-    others = lambda span: F.size(F.filter(span, lambda c: c == 0)) * (RARE * RARE)
+    others = lambda span: F.size(F.filter(span, lambda c: c == 0)) * (rare * rare)
     square = lambda span: others(span) + total(F.array_distinct(hits(span)), lambda c: F.pow(F.size(F.filter(span, lambda x: x == c)) * weight(c), F.lit(2.0)))
     cosine = lambda span: F.round(F.least(F.lit(1.0), dot(span) / F.sqrt(square(span))), 9)
     scored = whole.select("doc_id", "path", "words", "term", "at").unionByName(near).join(sought, "term").select("doc_id", "path", "license", "reserved", "dots", F.filter(spans, possible).alias("spans"))

@@ -363,6 +363,10 @@ def test_license_of_a_line_at_all_sizes(spark):
         assert [got[i] for i in range(len(lines))] == ["MIT", "Apache-2.0", "MIT", "GPL-3.0", None], n
 
 
+def test_license_with_a_word_put_in(spark):
+    assert licenses_of(spark, ["Licensed under the new Apache License, Version 2.0", "alpha"]) == {0: "Apache-2.0", 1: None}
+
+
 def test_license_over_lines_and_inline(spark):
     bsd = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met"
     long = "word " * 300 + "Licensed under the\nApache License, Version 2.0 " + "word " * 300
