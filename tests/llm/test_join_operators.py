@@ -135,7 +135,7 @@ def test_nearest_recall_and_scores(spark):
     centre = rng.standard_normal((12, 48))
     x = (centre[rng.integers(0, 12, 1500)] + 0.7 * rng.standard_normal((1500, 48))).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = ann.nearest(df, df.where("vec_id % 50 = 0"), scan=100, block=64)
+    got = ann.nearest(df, df.where("vec_id % 50 = 0"), block=64)
     rows = defaultdict(list)
     for r in got.orderBy("query_id", "rank").collect():
         rows[r["query_id"]].append((r["vec_id"], r["score"], r["rank"]))
@@ -182,11 +182,47 @@ def test_nearest_of_an_id_with_many_rows(spark):
 
 def test_hadamard_is_a_rotation():
     x = np.random.default_rng(1).standard_normal((5, 24))
-    y = ann.turned(x, ann.rotations(24, 1)[0])
+    signs = ann.rotations(24, 1, 2)[0]
+    y = ann.turned(x, signs[0])
     assert y.shape == (5, 32) and np.allclose(x @ x.T, y @ y.T)
-    near = ann.axes(y, 4)
-    both = np.concatenate([y, -y], 1)
-    assert (near == np.argsort(-both, axis=1)[:, :4]).all()
+    gap = []
+    for s in signs:
+        both = np.concatenate([ann.turned(x, s), -ann.turned(x, s)], 1)
+        gap.append((both.max(1, keepdims=True) - both) ** 2)
+    whole = (gap[0][:, :, None] + gap[1][:, None, :]).reshape(5, -1)
+    near = ann.probed(x, signs, 9)
+    assert (np.sort(near, 1) == np.sort(np.argsort(whole, axis=1)[:, :9], 1)).all()
+    assert (ann.buckets(x, signs) == whole.argmin(1)).all()
+
+
+def test_nearest_recall_without_structure(spark):
+    """The query's own parameters on vectors that have no clusters at all, and a
+    part of the table looked at that falls as it grows."""
+    rng = np.random.default_rng(21)
+    shares = []
+    for n in (500, 6000):
+        x = rng.standard_normal((n, 64)).astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = defaultdict(dict)
+        for r in ann.nearest(df, df.where("vec_id % 25 = 0")).collect():
+            got[r["query_id"]][r["vec_id"]] = r["n_scored"]
+        hit = sum(len(got[q].keys() & {i for i, _ in brute_nearest(np.arange(n), x.astype(float), q, 5)}) for q in range(0, n, 25))
+        assert hit / (5 * len(range(0, n, 25))) >= 0.9
+        shares.append(np.mean([max(v.values()) for v in got.values()]) / n)
+    assert shares[1] < 0.75 * shares[0]
+
+
+def test_nearest_of_hot_vectors(spark):
+    """Copies of a vector fill a bucket of many cuts; the smallest ids answer."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((900, 16))
+    x[100:400] = x[100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(7)
+    got = defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id between 95 and 420"), block=32).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in range(100, 400):
+        assert got[q] == [i for i in range(100, 107) if i != q][:5]
 
 
 # line dedup ------------------------------------------------------------------
