@@ -197,12 +197,19 @@ _CODECS: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """The worker's codec of a file. The path must hold on every executor."""
+    """The worker's codec of a tokenizer file: a path, or the bare name of one of the
+    installed public tokenizers, which is found where the worker runs."""
     if path not in _CODECS:
-        _CODECS[path] = Codec(path)
+        _CODECS[path] = Codec(path if os.path.dirname(path) else _installed(path))
     return _CODECS[path]
 
 
+def _installed(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 #: Type of each column that `bpe` can make.
 KINDS = {"n_tokens": "long", "ids": "array<int>", "packed": "binary", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -216,14 +223,14 @@ def bpe(df: DataFrame, path: str, text_col: str = "text", keep: Sequence[str] =
     if clash:
         raise ValueError(f"columns made would clash: {sorted(clash)}")
     make = list(make)
-    source = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"`{m}` {KINDS[m]}" for m in make]
+    source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
+    fields = [f"`{c}` {f.dataType.simpleString()}" for c, f in zip(keep, source.schema.fields, strict=False)] + [f"`{m}` {KINDS[m]}" for m in make]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         for batch in batches:
-            for part in tx.chunks(batch, "__text", 1 << 20):
-                ids = coder.encode(part.column("__text").to_pylist())
+            for part in tx.chunks(batch, "text", 1 << 20):
+                ids = coder.encode(part.column("text").to_pylist())
                 decoded = [coder.decode(x) for x in ids] if {"decoded", "decoded_sha256"} & set(make) else []
                 of = {
                     "n_tokens": lambda: pa.array([len(x) for x in ids], pa.int64()),  # noqa: B023
@@ -241,26 +248,22 @@ def bpe(df: DataFrame, path: str, text_col: str = "text", keep: Sequence[str] =
 
 def unbpe(df: DataFrame, path: str, packed_col: str = "packed", keep: Sequence[str] = (), out: str = "text") -> DataFrame:
     """Decode packed ids (little-endian unsigned 32-bit); null gives the empty text."""
-    source = df.select(*keep, F.col(packed_col).alias("__packed"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"`{out}` string"]
+    source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{packed_col}`").alias("packed"))
+    fields = [f"`{c}` {f.dataType.simpleString()}" for c, f in zip(keep, source.schema.fields, strict=False)] + [f"`{out}` string"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         for batch in batches:
-            text = [coder.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column("__packed")]
+            text = [coder.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column("packed")]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(text, pa.string())], [*keep, out])
 
     return source.mapInArrow(run, ", ".join(fields))
 
 
-def default_tokenizer() -> str:
-    """`byte_bpe_50k.json` of the installed public tokenizers, unless TOKENIZER_DIR names another folder."""
-    import public_tokenizers
-
-    folder = os.environ.get("TOKENIZER_DIR")
-    return os.path.join(folder, "byte_bpe_50k.json") if folder else public_tokenizers.path("byte_bpe_50k.json")
+#: The tokenizer of the query and of the pipeline.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return bpe(docs, default_tokenizer(), keep=["doc_id"], make=["n_tokens", "ids_sha256", "decoded_sha256"])
+    return bpe(docs, TOKENIZER, keep=["doc_id"], make=["n_tokens", "ids_sha256", "decoded_sha256"])

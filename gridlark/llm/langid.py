@@ -2,17 +2,22 @@
 
 Texts are lower-cased, what is no letter becomes one space, and n-grams of one to
 three characters are hashed. Document frequencies come from all learning
-documents. The model is fitted on a bounded sample of them (`sample` documents,
-evenly over languages), trained with follow-the-regularised-leader and an
-elastic-net penalty, and its probabilities are calibrated by a temperature on a
-fifth of the sample that the training has not seen.
+documents. The model is fitted on a bounded sample of them: of each language the
+`sample / languages` rows whose texts come first by a hash, at most `sample` in
+all (with more languages than that, of the languages with the most rows). It is
+trained with follow-the-regularised-leader and an elastic-net penalty, and its
+probabilities are calibrated by a temperature on a fifth of the sample, chosen by
+the same hash, that the training has not seen. Nothing but text and language
+decides which rows these are.
 
 A prediction takes nothing but the text, the whole of it.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; rows
 without language teach nothing; with no learning rows all is `und`; with a
-single language its score is 1; repeated rows count each; very long texts are
-counted in pieces; extra columns are ignored.
+single language its score is 1; repeated rows count each in frequencies and once in
+the sample; ties between languages go to the first by name; ids take no part, so
+null and repeated ones are like any; very long texts are counted in pieces; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridlark.llm import _text as tx
 from gridlark.llm._linear import ftrl, softmax, temperature
@@ -123,12 +129,14 @@ class Model:
         return [self.langs[b] if s else "und" for b, s in zip(best, some, strict=True)], score
 
 
-def fit(learn: DataFrame, text_col: str = "text", lang_col: str = "lang", pick_col: str = "doc_id", sample: int = 4_000) -> Model:
+def fit(learn: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 4_000) -> Model:
     """Fit on rows of text and language. `sample` bounds the rows that come to the
-    driver; `pick_col` only decides which rows these are."""
-    learn = learn.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(pick_col)), F.lit(1_000_000)).alias("pick"))
-    sizes = {r["lang"]: r["n"] for r in learn.where("text is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(sizes)
+    driver, and the languages that are learnt."""
+    text = F.col(f"`{text_col}`").cast("string")
+    learn = learn.select(text.alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.xxhash64(text).alias("pick")).where("lang is not null and text is not null")
+    # bounded: the languages of the most rows
+    sizes = learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
+    langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return Model([], np.zeros(_DIM), np.zeros((_DIM, 0)), np.zeros(0), 1.0)
 
@@ -150,9 +158,20 @@ def fit(learn: DataFrame, text_col: str = "text", lang_col: str = "lang", pick_c
         else:
             df[r["bucket"]] = r["n"]
     idf = np.log((1 + docs) / (1 + df)) + 1
-    each = max(20, sample // len(langs))
-    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1_000_000, int(1_000_000 * each / v) + 1))])
-    picked = learn.where("text is not null").where(F.col("pick") < share[F.col("lang")])
+    each = max(1, sample // len(langs))
+    # the first texts of each language by their hash: a language's candidates are
+    # taken by a share that its count makes twice as many as are needed or more, so the
+    # ranking is of few rows; where copies leave too few distinct ones, of all rows
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(-(2**63) + min(2**64 - 1, 2**64 * 2 * (each + 50) // r["n"])))])
+    first = Window.partitionBy("lang").orderBy("pick")
+    ranked = lambda x: x.select("lang", "pick").distinct().withColumn("i", F.row_number().over(first)).where(F.col("i") <= each).groupBy("lang").agg(F.count("*").alias("n"), F.max("pick").alias("last"))
+    known = learn.where(F.col("lang").isin(langs))
+    last = {r["lang"]: (r["n"], r["last"]) for r in ranked(known.where(F.col("pick") <= share[F.col("lang")])).collect()}
+    few = [r["lang"] for r in sizes if last.get(r["lang"], (0, 0))[0] < min(each, r["n"])]
+    if few:
+        last |= {r["lang"]: (r["n"], r["last"]) for r in ranked(known.where(F.col("lang").isin(few))).collect()}
+    bound = F.create_map(*[x for k, (_, v) in last.items() for x in (F.lit(k), F.lit(v))])
+    picked = known.where(F.col("pick") <= bound[F.col("lang")]).dropDuplicates(["lang", "pick"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, texts in _slices(batches):
@@ -179,8 +198,8 @@ def fit(learn: DataFrame, text_col: str = "text", lang_col: str = "lang", pick_c
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, then lang_pred and score."""
-    source = df.select(*keep, F.col(text_col).cast("string").alias("text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
+    source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
+    kinds = [f"`{c}` {f.dataType.simpleString()}" for c, f in zip(keep, source.schema.fields, strict=False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, texts in _slices(batches):
@@ -192,6 +211,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    # a null id has no remainder: it is not 2
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = fit(docs.where(~held))
     return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")

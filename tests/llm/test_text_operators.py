@@ -63,7 +63,7 @@ def test_chat_odd(spark):
 def pair():
     from tokenizers import Tokenizer
 
-    return bpe.Codec(bpe.default_tokenizer()), Tokenizer.from_file(bpe.default_tokenizer())
+    return bpe.codec(bpe.TOKENIZER), Tokenizer.from_file(bpe._installed(bpe.TOKENIZER))
 
 
 @settings(max_examples=300, deadline=None)
@@ -91,18 +91,18 @@ def test_bpe_forgets_words(pair):
 def test_bpe_frames(spark, pair):
     df = odd(spark)
     made = ["n_tokens", "ids", "packed", "decoded", "ids_sha256", "decoded_sha256"]
-    out = bpe.bpe(df, bpe.default_tokenizer(), keep=["doc_id"], make=made)
+    out = bpe.bpe(df, bpe.TOKENIZER, keep=["doc_id"], make=made)
     rows = out.collect()
     assert len(rows) == df.count()
     assert sorted((r["decoded"] for r in rows)) == sorted((r["text"] or "" for r in df.collect()))
     for r in rows:
         assert r["n_tokens"] == len(r["ids"]) and np.frombuffer(r["packed"], "<u4").tolist() == r["ids"]
         assert r["ids_sha256"] == hashlib.sha256(r["packed"]).hexdigest() and r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
-    back = bpe.unbpe(out, bpe.default_tokenizer(), keep=["doc_id"])
+    back = bpe.unbpe(out, bpe.TOKENIZER, keep=["doc_id"])
     assert sorted(r["text"] for r in back.collect()) == sorted(r["decoded"] for r in rows)
-    assert bpe.bpe(nothing(spark), bpe.default_tokenizer()).count() == 0
+    assert bpe.bpe(nothing(spark), bpe.TOKENIZER).count() == 0
     with pytest.raises(ValueError):
-        bpe.bpe(df.withColumnRenamed("tk", "n_tokens"), bpe.default_tokenizer(), keep=["n_tokens"])
+        bpe.bpe(df.withColumnRenamed("tk", "n_tokens"), bpe.TOKENIZER, keep=["n_tokens"])
 
 
 # sharding --------------------------------------------------------------------
@@ -134,14 +134,44 @@ def test_shard_laws(spark):
 
 
 def test_shard_moves_little(spark):
-    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
     a, b = ({r["doc_id"]: r["shard"] for r in shard.shard(df, n).collect()} for n in (10, 11))
     assert sum(a[k] != b[k] for k in a) < 0.5 * len(a)  # dealing anew would move nine in ten
 
 
+def test_shard_keeps_copies_together(spark):
+    """Equal texts share a shard but where a shard is full; a group that is larger
+    than a shard goes on clockwise, into what room others have."""
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 500).cast("string"))).alias("text"), F.lit(1).alias("pos"), F.lit(2).alias("cell"))
+    for law in ("rows", "bytes"):
+        got = shard.shard(df, 12, law).withColumn("text", F.col("text_crc32")).groupBy("text").agg(F.countDistinct("shard").alias("shards"), F.count("*").alias("n")).collect()
+        some = [r for r in got if r["n"] < 100]
+        assert sum(r["shards"] == 1 for r in some) >= 0.95 * len(some)
+
+
+def test_shard_of_alike_rows(spark, monkeypatch):
+    monkeypatch.setattr(shard, "_PIECE", 7)
+    df = spark.createDataFrame([(1, "a")] * 100 + [(2, "b" * i) for i in range(20)], "doc_id long, text string")
+    for law in ("rows", "bytes", "key"):
+        got = shard.shard(df, 5, law).collect()
+        assert sorted((r["doc_id"], r["size"]) for r in got) == sorted([(1, 9)] * 100 + [(2, 8 + i) for i in range(20)])
+        for s in range(5):
+            assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 # language id -----------------------------------------------------------------
 
 
+def test_language_sample_is_of_texts(spark):
+    """A hot id, copies of a text and null ids neither fill the sample nor leave it."""
+    rows = [(1, f"ab{i % 40} cd ab", "aa") for i in range(3000)] + [(None, f"xy{i} zz xy", "bb") for i in range(10)] + [(2, None, "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, sample=40)
+    assert model.langs == ["aa", "bb"]
+    got = {r["text"]: r["lang_pred"] for r in langid.predict(df, model, keep=("doc_id", "text")).collect()}
+    assert got["ab3 cd ab"] == "aa" and got["xy7 zz xy"] == "bb"
+
+
 def test_language_id(spark):
     random.seed(4)
     alphabet = {"aa": "abcdeabc", "bb": "fghijfgh", "cc": "äöüßäxyz"}
