@@ -46,7 +46,7 @@ def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, packed as little-endian unsigned 32-bit integers."""
-    return bpe.bpe(docs, bpe.default_tokenizer(), keep=["doc_id"], make=["n_tokens", "packed"])
+    return bpe.bpe(docs, bpe.TOKENIZER, keep=["doc_id"], make=["n_tokens", "packed"])
 
 
 STAGES: list[tuple[str, Stage]] = [
