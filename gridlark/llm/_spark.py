@@ -26,6 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like `wanted` that no column of `df` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def has_rows_below(df: DataFrame, limit: int) -> bool:
     """Whether `df` has at most `limit` rows; counts no further than that."""
     return df.limit(limit + 1).count() <= limit

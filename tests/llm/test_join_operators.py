@@ -335,6 +335,52 @@ def test_decontaminate(spark):
     assert len(blocks) >= 0.95 * len(want) and blocks <= want
 
 
+@pytest.mark.parametrize("share", [0.01, 0.3, 0.6, 0.9])
+def test_leaks_at_any_share(spark, share):
+    """An item in however many texts is found, as it is or with words moved and put
+    in; against a search of every stretch of every text."""
+    rng = random.Random(int(share * 100))
+    words = [f"{a}{b}" for a in "bcdfg" for b in ("an", "ell", "ori", "um")] + [f"rare{i}" for i in range(3000)]
+    sentence = lambda n: " ".join(rng.choices(words, [60] * 20 + [1] * 3000, k=n))
+    items = [sentence(n) for n in (30, 15, 60)]
+    texts = []
+    for i in range(150):
+        t = sentence(rng.randint(1, 120))
+        if i == 0 or rng.random() < share:
+            w = items[0].split()
+            if i % 3 == 1:
+                w = w[:10] + ["more"] * 3 + w[10:]
+            if i % 3 == 2:
+                w = w[:12] + w[15:18] + w[12:15] + w[18:]
+            t = f"{t} {' '.join(w)} {sentence(rng.randint(0, 60))}"
+        texts.append(t)
+
+    def brute(text, item):
+        code = {}
+        a, b = ([code.setdefault(w, len(code)) for w in x.split()] for x in (item, text))
+        size = len(a) + len(a) // 2 + 1
+        return any(decontaminate.lcs(a, b[i : i + size]) >= 0.7 * len(a) for i in range(max(1, len(b) - size + 1)))
+
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if brute(t, x)}
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and want
+
+
+def test_leaks_odd(spark):
+    item = " ".join(f"w{i}" for i in range(25))
+    rows = [(None, f"head {item}"), (None, "clean text of no one"), (1, item), (1, "another text with this id"), (2, "x " * 200_000 + item + " y" * 1000), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("_key", F.lit(2)).withColumn("item_id", F.lit(3))
+    bench = spark.createDataFrame([(7, item), (None, "this has no id so nobody asks")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect()} == {(None, 7), (1, 7), (2, 7)}
+    kept = decontaminate.drop_leaks(df, bench)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, "clean text of no one"), (1, "another text with this id"), (3, "")]
+    one = docs(spark, [item])
+    assert decontaminate.leaks(one, bench).count() == 1
+    assert decontaminate.leaks(one.unionByName(one), bench).count() == 2
+
+
 def test_answers_count(spark):
     item = " ".join(f"w{i}" for i in range(30))
     bench = spark.createDataFrame([(1, item, "w28 w29")], "item_id long, text string, answer string")
