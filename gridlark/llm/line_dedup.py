@@ -1,43 +1,53 @@
-"""Line dedup by prefix doubling over sequences of line ids.
+"""Line dedup by a suffix array over sequences of line ids.
 
 Documents are sequences of line ids, one after another in the order (doc_id,
 text). A run of lines that occurs before, in an earlier document or earlier in
 its own, is deleted where it occurs later, if it has `min_words` words or more.
 
-Distributed prefix doubling ranks all blocks of 1, 2, 4, ... lines: the rank of a
-block is that of the sorted pair of its halves' ranks, made by a range-partitioned
-sort, so ranks order suffixes as a suffix array does. Only positions whose block
-repeats go on to the next round. A block of any length is named by the ranks of
-the two overlapping power-of-two blocks that cover it; the suffixes that share
-this name are a longest-common-prefix interval of the suffix array at that depth.
-
-It is enough to look at that depth in each position where a run reaches
-`min_words`: the shortest such run that begins there and the shortest one that
-ends there. A maximal repeated run of enough words is the union of the shortest
-ones that begin or end in it (from a line on which no more fits, the one that
-ends the run reaches back over that line), and each of those repeats too. So the
-deleted lines are those of all maximal repeated runs, but for first copies.
+* **Prefix doubling.** The rank of a suffix is the pair of its first line's hash
+  and the number of suffixes with this first line that are known to be smaller.
+  Round k sorts the suffixes whose first 2^k lines repeat by (own rank, rank 2^k
+  lines on), which ranks them by 2^(k+1) lines; a suffix whose rank is its own, or
+  that ends there, is done. This goes on until none is left. Sorts are range
+  partitioned and break ties by position, so a line that a third of all documents
+  has is spread over many tasks; ranks come from what is counted along the sorted
+  rows, for which partitions pass on a few numbers each.
+* **Common prefixes.** The suffixes whose first line repeats, sorted by rank, are
+  the suffix array. Of neighbours in it the longest common prefix is known where
+  they end alike or share one line only. Where the lines before both are the same, it
+  is one less than that of the suffixes one line earlier. The others, few and short in
+  sum, are compared line by line.
+* **Intervals.** A maximal repeated run is a longest-common-prefix interval. The
+  longest run at a suffix that began earlier belongs to the nearest neighbour in
+  either direction that is earlier in the corpus; it is found with a stack along the
+  array, of which partitions pass on what the next ones can still see (never more
+  than the lines of a common prefix).
 
 Edge cases: null texts stay null and have no lines; empty lines are lines of no
 words; rows that repeat (id and text) are one document and treated alike;
 documents of one id and other texts are ordered by a hash of the text; null ids
-come first; extra columns stay as they are, unless one is called like an output.
+come first; very long texts are one row in each step; an empty table gives no rows;
+extra columns stay as they are, whatever their names, but for `deleted_lines`,
+which takes the place of a column of that name.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm import _text as tx
-from gridlark.llm._spark import stable
+from gridlark.llm._spark import free_names, stable
 
 _BREAK = np.zeros(256, bool)
 _BREAK[10] = True
+_ROWS = 300_000  # of a partition or a bucket, about
 
 
 def line_arrays(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -77,91 +87,401 @@ def reach(doc: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, n
     return forward, backward
 
 
+_LINE = "did long, tk long, pos int, a long, f int, prev long, tail int"
+
+
 def _lines(df: DataFrame, min_words: int) -> DataFrame:
+    """A row a line: its hash `a`, the lines of the shortest run of enough words that
+    begins there `f`, the hash of the line before (of none, its own flipped) and how
+    many lines there are to the end of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.chunks(batch, "text"):
                 doc, pos, h, words = line_arrays(part.column("text"))
-                f, b = reach(doc, words, min_words)
+                f, _ = reach(doc, words, min_words)
+                prev = np.where(pos > 0, np.concatenate([h[:1], h[:-1]]), ~h)
+                tail = np.searchsorted(doc, doc, "right") - np.arange(len(doc))
                 at = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([part.column("did").take(at), part.column("tk").take(at), pa.array(pos, pa.int32()), pa.array(h.view(np.int64)), pa.array(f, pa.int32()), pa.array(b, pa.int32())], ["did", "tk", "pos", "r", "f", "b"])
-
-    return df.mapInArrow(run, "did long, tk long, pos int, r long, f int, b int")
-
-
-_KEY = ["did", "tk", "pos"]
-
-
-def double(cur: DataFrame, step: int) -> DataFrame:
-    """Ranks of blocks of 2 * step lines from those of step lines: positions
-    whose block occurs at least twice, with order-preserving ranks."""
-    right = cur.select("did", "tk", (F.col("pos") - step).alias("pos"), F.col("r").alias("r2"))
-    pairs = cur.join(right, _KEY)
-    # a range-partitioned sort: the id made from partition and place keeps the order
-    named = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1").orderBy("r", "r2").select("r", "r2", F.monotonically_increasing_id().alias("up"))
-    return pairs.join(stable(named), ["r", "r2"]).select(*_KEY, F.col("up").alias("r"))
-
-
-def repeated_blocks(lines: DataFrame) -> DataFrame:
-    """`(did, tk, start, len)` of the shortest runs with enough words that have
-    occurred before."""
-    seen = lines.groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r")
-    cur = stable(lines.join(seen, "r").dropDuplicates(_KEY))
-    blocks = cur.select("did", "tk", F.col("pos").alias("start"), F.col("f").alias("len")).unionByName(cur.select("did", "tk", (F.col("pos") - F.col("b") + 1).alias("start"), F.col("b").alias("len"))).where("len > 0").distinct()
-    blocks = stable(blocks.withColumn("k", F.floor(F.log2(F.col("len").cast("double") + 1e-9)).cast("int")))
-    longest = blocks.agg(F.max("len")).first()[0] or 0
-    out, cur, k = [], cur.select(*_KEY, "r"), 0
-    while 1 << k <= longest:
-        own = blocks.where(F.col("k") == k)
-        left = own.join(cur.withColumnRenamed("pos", "start"), ["did", "tk", "start"])
-        tail = cur.select("did", "tk", F.col("pos").alias("at"), F.col("r").alias("r2"))
-        both = left.withColumn("at", F.col("start") + F.col("len") - (1 << k)).join(tail, ["did", "tk", "at"])
-        out.append(both.select("did", "tk", "start", "len", F.lit(k).alias("k"), "r", "r2"))
-        k += 1
-        if 1 << k <= longest:
-            cur = stable(double(cur, 1 << (k - 1)))
-            if cur.limit(1).count() == 0:
-                break
-    if not out:
-        return blocks.where("false").select("did", "tk", "start", "len")
-    named = out[0]
-    for x in out[1:]:
-        named = named.unionByName(x)
-    named = stable(named)
-    first = named.groupBy("k", "len", "r", "r2").agg(F.min(F.struct("did", "tk", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return named.join(first, ["k", "len", "r", "r2"]).where(F.struct("did", "tk", "start") != F.col("first")).select("did", "tk", "start", "len")
+                yield pa.RecordBatch.from_arrays([part.column("did").take(at), part.column("tk").take(at), pa.array(pos, pa.int32()), pa.array(h.view(np.int64)), pa.array(f, pa.int32()), pa.array(prev.view(np.int64)), pa.array(tail, pa.int32())], _names(_LINE))
+
+    return df.mapInArrow(run, _LINE)
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _whole(batches: Iterator[pa.RecordBatch], schema: str) -> dict[str, np.ndarray]:
+    """All rows of a partition, which has about _ROWS."""
+    got = list(batches)
+    if not got:
+        return {c: np.zeros(0, np.int64) for c in _names(schema)}
+    t = pa.Table.from_batches(got)
+    return {c: t.column(c).to_numpy() for c in t.column_names}
+
+
+def _change(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it; the first one does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _table(schema: str, **columns) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.table({c: pa.array(columns[c], kinds[k]) for c, k in (x.split() for x in schema.split(", "))})
+
+
+def _sorted(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    n = max(8, -(-rows // _ROWS))
+    return stable(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
+
+
+_SUFFIX = f"{_LINE}, b long, k int, live boolean"
+_ASKING = f"{_SUFFIX}, a2 long, b2 long, role int"
+
+
+def _bucket(rows: int, did: str = "did", tk: str = "tk"):
+    """Documents are dealt to so many buckets, of about _ROWS lines each."""
+    return F.pmod(F.xxhash64(did, tk), F.lit(max(8, -(-rows // _ROWS)))).cast("int").alias("bucket")
+
+
+def _second(k: int):
+    """Of the documents of a bucket: suffixes with the rank 2^k lines on. role: 0 goes
+    on, 1 is done but may be asked by one that goes on, 2 its document is done."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        x = {c: rows.column(c).to_numpy() for c in _names(_SUFFIX)}
+        order = np.lexsort((x["pos"], x["tk"], x["did"]))
+        x = {c: v[order] for c, v in x.items()}
+        doc = np.cumsum(_change(x["did"], x["tk"])) - 1
+        to = np.minimum(np.arange(len(doc)) + (1 << k), max(0, len(doc) - 1))
+        inside = x["tail"] > 1 << k
+        # the end of a text is a line of its own kind, with rank (0, -1)
+        x["a2"], x["b2"] = np.where(inside, x["a"][to], 0), np.where(inside, x["b"][to], -1)
+        x["role"] = np.where(x["live"], 0, np.where(np.bincount(doc, x["live"])[doc] > 0, 1, 2))
+        return _table(_ASKING, **x)
+
+    return run
+
+
+_RANKED = f"{_LINE}, b long, live boolean, pid int, carried int, edge int"
+_ENDS = "pid int, n long, fa long, fb long, fa2 long, fb2 long, la long, lb long, la2 long, lb2 long, fg long, fs long, lg long, ls long"
+
+
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Along sorted suffixes: new ranks, but for what partitions before add.
+
+    carried: 1 where the group may begin in a partition before, 2 where the equal
+    suffixes may, too. edge: bits of a suffix that is alone here, but may have equal
+    ones in the partition before (1) or after (2).
+    """
+    x = _whole(batches, _ASKING)
+    n = len(x["a"])
+    if not n:
+        return
+    group, same = _change(x["a"], x["b"]), _change(x["a"], x["b"], x["a2"], x["b2"])
+    g0, s0 = (np.maximum.accumulate(np.where(new, np.arange(n), 0)) for new in (group, same))
+    alone = np.bincount(np.cumsum(same) - 1)[np.cumsum(same) - 1] == 1
+    ended = x["b2"] < 0
+    x["b"] = x["b"] + s0 - g0
+    edge = np.where(alone & ~ended, (s0 == 0) + 2 * (s0 == s0[-1]), 0)
+    yield from _table(_RANKED, **{c: x[c] for c in _names(_LINE)}, b=x["b"], live=~ended & (~alone | (edge > 0)), pid=np.full(n, TaskContext.get().partitionId()), carried=np.where(s0 == 0, 2, np.where(g0 == 0, 1, 0)), edge=edge).to_batches()
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's first and last ranks and the rows that have them."""
+    x = _whole(batches, _ASKING)
+    n = len(x["a"])
+    if n:
+        keys = {c: x[c] for c in ("a", "b", "a2", "b2")}
+        like = lambda m, at: [int(np.all([c == c[at] for c in list(keys.values())[:m]], axis=0).sum())]
+        yield from _table(_ENDS, pid=[TaskContext.get().partitionId()], n=[n], **{f"f{c}": v[:1] for c, v in keys.items()}, **{f"l{c}": v[-1:] for c, v in keys.items()}, fg=like(2, 0), fs=like(4, 0), lg=like(2, -1), ls=like(4, -1)).to_batches()
+
+
+def _carries(ends: list) -> list[tuple[int, int, int, bool, bool]]:
+    """For each partition, rows of its first group and of its first equal suffixes in
+    partitions before, and whether its first and last ones have equal ones there."""
+    out, g, s = [], 0, 0
+    ends = sorted(ends, key=lambda r: r["pid"])
+    key = lambda r, at: tuple(r[f"{at}{c}"] for c in ("a", "b", "a2", "b2"))
+    for j, r in enumerate(ends):
+        before = key(ends[j - 1], "l") if j else None
+        back = before == key(r, "f")
+        g, s = g if before and before[:2] == key(r, "f")[:2] else 0, s if back else 0
+        out.append((r["pid"], g, s, back, j + 1 < len(ends) and key(ends[j + 1], "f") == key(r, "l")))
+        g, s = (g if r["fg"] == r["n"] else 0) + r["lg"], (s if r["fs"] == r["n"] else 0) + r["ls"]
+    return out
 
 
 def suffix_array(lines: DataFrame) -> DataFrame:
-    """Rank of the suffix at each repeated line, by full doubling: `(did, tk, pos,
-    depth, r)`, where depth is the number of lines that r ranks."""
-    seen = lines.groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r")
-    cur = stable(lines.join(seen, "r").dropDuplicates(_KEY).select(*_KEY, "r"))
-    out, step = cur.withColumn("depth", F.lit(1)), 1
-    while True:
-        cur = stable(double(cur, step))
-        if cur.limit(1).count() == 0:
-            return out
-        step *= 2
-        out = stable(out.join(cur.withColumnRenamed("r", "up"), _KEY, "left").select(*_KEY, F.when(F.col("up").isNull(), F.col("depth")).otherwise(step).alias("depth"), F.coalesce("up", "r").alias("r")))
+    """The suffixes whose first line repeats, with their rank `(a, b)` and `k`: the
+    first 2^k lines repeat, twice as many don't (or the text ends). Equal ranks are
+    equal to the end of both texts."""
+    spark = lines.sparkSession
+    lines = stable(lines.dropDuplicates(["did", "tk", "pos"]))
+    often = lines.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a", F.lit(True).alias("live"))
+    live = F.coalesce("live", F.lit(False))
+    state = stable(lines.join(often, "a", "left").select(*_names(_LINE), F.lit(0).cast("long").alias("b"), F.when(live, 0).otherwise(-1).alias("k"), live.alias("live")))
+    done, k, n = [], 0, state.where("live").count()
+    total = state.count() if n else 0
+    while n:
+        asking = stable(state.groupBy(_bucket(total)).applyInArrow(_second(k), _ASKING))
+        done.append(asking.where("role = 2 and k >= 0").select(*_names(_SUFFIX)))
+        ordered = _sorted(asking.where("role = 0"), n, "a", "b", "a2", "b2", "did", "tk", "pos")
+        carry = _carries(ordered.mapInArrow(_ends, _ENDS).collect())  # a row a partition
+        near = F.broadcast(spark.createDataFrame(carry, "pid int, g long, s long, back boolean, on boolean"))
+        b = F.col("b") + F.when(F.col("carried") == 2, F.col("g") - F.col("s")).when(F.col("carried") == 1, F.col("g")).otherwise(0)
+        again = (F.col("edge") == 0) | (F.col("edge").bitwiseAND(1) > 0) & F.col("back") | (F.col("edge").bitwiseAND(2) > 0) & F.col("on")
+        live = F.col("live") & again
+        ranked = ordered.mapInArrow(_ranks, _RANKED).join(near, "pid").select(*_names(_LINE), b.alias("b"), F.when(live, k + 1).otherwise(k).alias("k"), live.alias("live"))
+        state = stable(ranked.unionByName(asking.where("role = 1").select(*_names(_SUFFIX))))
+        k, n, total = k + 1, state.where("live").count(), state.count()
+    done.append(state.where("k >= 0"))
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+_PLACED = "did long, tk long, pos int, a long, b long, f int, lcp int, qdid long, qtk long, qpos int, span int"
+_ASK, _LESS = -1, -2
+
+
+def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            last = batch.slice(batch.num_rows - 1)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([*last.columns, pa.array([TaskContext.get().partitionId()], pa.int32())], [*last.schema.names, "pid"])
+
+
+def _neighbours(before: dict[int, dict]):
+    """Each suffix with the one before it in the array and their common prefix where
+    it is known at once: none, one line, or all of equal suffixes. Else `_LESS`, one
+    less than that of the line before, or `_ASK`: it takes a comparison of up to span
+    lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = _whole(batches, _SUFFIX)
+        n = len(x["a"])
+        if not n:
+            return
+        p = before.get(TaskContext.get().partitionId())
+        q = {c: np.concatenate([np.array([p[c] if p else x[c][0]], x[c].dtype), x[c][:-1]]) for c in ("did", "tk", "pos", "a", "b", "k", "prev")}
+        alike = x["a"] == q["a"]
+        alike[0] &= p is not None
+        k = np.minimum(x["k"], q["k"])
+        less = (x["prev"] == q["prev"]) & (x["pos"] > 0) & (q["pos"] > 0)
+        lcp = np.where(~alike, 0, np.where(x["b"] == q["b"], x["tail"], np.where(k == 0, 1, np.where(less, _LESS, _ASK))))
+        yield from _table(_PLACED, **{c: x[c] for c in ("did", "tk", "pos", "a", "b", "f")}, lcp=lcp, qdid=q["did"], qtk=q["tk"], qpos=q["pos"], span=2 << k).to_batches()
+
+    return run
+
+
+def _places(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Numbers of lines, in order of document and position, alike in all tables."""
+    did, tk = (np.concatenate([d[i] for d in docs]) for i in (0, 1))
+    order = np.lexsort((tk, did))
+    number = np.empty(len(did), np.int64)
+    number[order] = np.cumsum(_change(did[order], tk[order])) - 1
+    cut = np.split(number, np.cumsum([len(d[0]) for d in docs])[:-1])
+    return [(n << 32) | d[2].astype(np.int64) for n, d in zip(cut, docs, strict=True)]
+
+
+def _columns(t: pa.Table, *names: str) -> list[np.ndarray]:
+    # the missing side of a cogroup has no columns
+    return [t.column(c).to_numpy() if t.num_rows else np.zeros(0, np.int64) for c in names]
+
+
+def _follows(key: np.ndarray) -> np.ndarray:
+    """End of the run of lines without a gap that each one is in."""
+    cut = np.flatnonzero(np.concatenate([key[1:] != key[:-1] + 1, [True]])) if len(key) else np.zeros(0, np.int64)
+    return cut[np.searchsorted(cut, np.arange(len(key)))] + 1
+
+
+_SEGMENT = "did long, tk long, pos int, seen binary"
+
+
+def _segments(lines: pa.Table, asked: pa.Table) -> pa.Table:
+    """For each comparison the lines of the neighbour; a line that never repeats ends it."""
+    mine, other = _places([tuple(_columns(lines, "did", "tk", "pos")), tuple(_columns(asked, "_qdid", "_qtk", "_qpos"))])
+    order = np.argsort(mine)
+    mine, a = mine[order], _columns(lines, "a")[0][order]
+    end = _follows(mine)
+    at, span = np.searchsorted(mine, other), _columns(asked, "_span")[0]
+    seen = [a[i : min(i + s, end[i])].tobytes() for i, s in zip(at, span, strict=True)] if len(mine) else []
+    did, tk, pos = _columns(asked, "_did", "_tk", "_pos")
+    return _table(_SEGMENT, did=did, tk=tk, pos=pos, seen=seen)
+
+
+_ARRAY = "a long, b long, did long, tk long, pos int, f int, lcp int"
+
+
+def _prefixes(lines: pa.Table, segments: pa.Table) -> pa.Table:
+    """All common prefixes of a bucket of documents."""
+    x = dict(zip(_names(_ARRAY), _columns(lines, *_names(_ARRAY)), strict=True))
+    mine, asked = _places([(x["did"], x["tk"], x["pos"]), tuple(_columns(segments, "did", "tk", "pos"))])
+    order = np.argsort(mine)
+    mine, x = mine[order], {c: v[order] for c, v in x.items()}
+    lcp, end = x["lcp"].astype(np.int64), _follows(mine)
+    for i, seen in zip(np.searchsorted(mine, asked), segments.column("seen") if len(asked) else [], strict=True):
+        theirs = np.frombuffer(seen.as_py(), np.int64)
+        own = x["a"][i : min(i + len(theirs), end[i])]
+        other = np.flatnonzero(own != theirs[: len(own)])
+        lcp[i] = other[0] if len(other) else len(own)
+    known = np.maximum.accumulate(np.where(lcp == _LESS, 0, np.arange(len(lcp))))
+    x["lcp"] = lcp[known] - (np.arange(len(lcp)) - known) if len(lcp) else lcp
+    return _table(_ARRAY, **x)
+
+
+_FAR = 1 << 40
+
+
+def _look(places: list[int], gaps: list[int], stack: list[list[int]]) -> list[int]:
+    """For each suffix the longest prefix that it shares with an earlier place among
+    those that came before in this direction; gaps are prefixes shared with the one
+    just before. The stack has what can still be seen: places and prefixes, which
+    both grow towards its top."""
+    out = []
+    for o, l in zip(places, gaps, strict=True):
+        if not l:
+            stack.clear()
+        elif stack and stack[-1][1] > l:
+            least = stack.pop()[0]
+            while stack and stack[-1][1] > l:
+                least = stack.pop()[0]
+            if not stack or stack[-1][1] < l:
+                stack.append([least, l])
+        while stack and stack[-1][0] > o:
+            stack.pop()
+        out.append(stack[-1][1] if stack else 0)
+        stack.append([o, _FAR])
+    return out
+
+
+_VIEW = "pid int, first int, least int, rest int, side int, did long, tk long, pos int, m long"
+
+
+def _scan(batches: Iterator[pa.RecordBatch], carried: dict | None = None):
+    x = _whole(batches, _ARRAY)
+    n = len(x["a"])
+    pid = TaskContext.get().partitionId()
+    left, right, after = carried.get(pid, ([], [], 0)) if carried else ([], [], 0)
+    extra = [*left, *right]
+    did, tk, pos = (np.concatenate([np.array([e[i] for e in extra], np.int64), x[c].astype(np.int64)]) for i, c in enumerate(("did", "tk", "pos")))
+    place = np.empty(len(did), np.int64)
+    place[np.lexsort((pos, tk, did))] = np.arange(len(did))
+    stacks = [[[int(place[i]), int(e[3])] for i, e in enumerate(extra[: len(left)])], [[int(place[len(left) + i]), int(e[3])] for i, e in enumerate(right)]]
+    mine, lcp = place[len(extra) :].tolist(), x["lcp"].tolist()
+    best = [_look(mine, lcp, stacks[0]), _look(mine[::-1], [after, *lcp[:0:-1]], stacks[1])[::-1]] if n else [[], []]
+    back = np.argsort(place)
+    return x, np.maximum(*map(np.array, best)) if n else np.zeros(0, np.int64), [[(int(did[back[o]]), int(tk[back[o]]), int(pos[back[o]]), m) for o, m in s] for s in stacks]
+
+
+def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the next partitions can see of this one, to either side."""
+    x, _, stacks = _scan(batches)
+    if len(x["a"]):
+        rows = [(side, *e) for side, s in enumerate(stacks) for e in s]
+        side, did, tk, pos, m = zip(*rows, strict=True)
+        same = lambda v: [int(v)] * len(rows)
+        yield from _table(_VIEW, pid=same(TaskContext.get().partitionId()), first=same(x["lcp"][0]), least=same(x["lcp"].min()), rest=same(x["lcp"][1:].min(initial=2**31 - 1)), side=side, did=did, tk=tk, pos=pos, m=m).to_batches()
+
+
+def _joined(views: list) -> dict[int, tuple[list, list, int]]:
+    """For each partition: what it sees to the left and to the right, and the prefix
+    shared with the first suffix of the next one."""
+    parts = [(pid, list(rows)) for pid, rows in itertools.groupby(sorted(views, key=lambda r: (r["pid"], r["side"], r["m"])), key=lambda r: r["pid"])]
+    seen: dict[int, list] = {pid: [[], [], 0] for pid, _ in parts}
+
+    def through(stack: list, least: int, rows: list, side: int) -> list:
+        out: list = []
+        for e in [[*e[:3], min(e[3], least)] for e in stack if least] + [[r["did"], r["tk"], r["pos"], r["m"]] for r in rows if r["side"] == side]:
+            while out and out[-1][:3] > e[:3]:
+                out.pop()
+            if not out or out[-1][3] < e[3]:
+                out.append(e)
+        return out
+
+    stack: list = []
+    for pid, rows in parts:
+        seen[pid][0] = stack
+        stack = through(stack, rows[0]["least"], rows, 0)
+    stack, after = [], 0
+    for pid, rows in reversed(parts):
+        seen[pid][1], seen[pid][2] = stack, after
+        stack = through(stack, min(rows[0]["rest"], after), rows, 1)
+        after = rows[0]["first"]
+    return {pid: tuple(v) for pid, v in seen.items()}
+
+
+_RUN = "did long, tk long, pos int, len int"
+
+
+def repeated_runs(lines: DataFrame) -> DataFrame:
+    """`(did, tk, pos, len)`: for each line the longest run that begins there and has
+    occurred before, if it has enough words."""
+    suffixes = stable(suffix_array(lines))
+    n = suffixes.count()
+    ordered = _sorted(suffixes, n, "a", "b", "did", "tk", "pos")
+    ends = sorted((r.asDict() for r in ordered.mapInArrow(_last, f"{_SUFFIX}, pid int").collect()), key=lambda r: r["pid"])  # a row a partition
+    before = {x["pid"]: y for y, x in itertools.pairwise(ends)}
+    placed = stable(ordered.mapInArrow(_neighbours(before), _PLACED))
+    # columns of their own, as a cogroup can't tell apart those that both sides have
+    asked = placed.where(F.col("lcp") == _ASK).select(*[F.col(c).alias(f"_{c}") for c in ("did", "tk", "pos", "qdid", "qtk", "qpos", "span")])
+    by = lambda df, *c: df.groupBy(_bucket(n, *c))
+    segments = by(placed.select("did", "tk", "pos", "a")).cogroup(by(asked, "_qdid", "_qtk")).applyInArrow(_segments, _SEGMENT)
+    array = by(placed.select(*_names(_ARRAY))).cogroup(by(segments)).applyInArrow(_prefixes, _ARRAY)
+    array = _sorted(stable(array), n, "a", "b", "did", "tk", "pos")
+    carried = _joined(array.mapInArrow(_views, _VIEW).collect())  # a common prefix a partition at most
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, longest, _ = _scan(batches, carried)
+        use = (x["f"] > 0) & (longest >= x["f"])
+        yield from _table(_RUN, did=x["did"][use], tk=x["tk"][use], pos=x["pos"][use], len=longest[use]).to_batches()
+
+    return array.mapInArrow(runs, _RUN)
+
+
+_GONE = "did long, tk long, gone array<int>"
+
+
+def _united(rows: pa.Table) -> pa.Table:
+    """Sorted lines of the runs of each document of a bucket."""
+    did, tk, pos, size = _columns(rows, "did", "tk", "pos", "len")
+    order = np.lexsort((pos, tk, did))
+    did, tk, pos, end = did[order], tk[order], pos[order].astype(np.int64), (pos + size)[order].astype(np.int64)
+    starts = np.flatnonzero(_change(did, tk))
+    gone = []
+    for a, b in itertools.pairwise([*starts, len(did)]):
+        mark = np.zeros(int(end[a:b].max()) + 1, np.int64)
+        np.add.at(mark, pos[a:b], 1)
+        np.add.at(mark, end[a:b], -1)
+        gone.append(np.flatnonzero(np.cumsum(mark)).astype(np.int32))
+    return pa.table({"did": pa.array(did[starts]), "tk": pa.array(tk[starts]), "gone": pa.array(gone, pa.list_(pa.int32()))})
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """All rows and columns of `df`, with later copies of repeated runs taken out
     of the text, and `deleted_lines` (sorted positions from 0)."""
-    if "deleted_lines" in df.columns:
-        raise ValueError("column deleted_lines would clash")
+    df = df.drop("deleted_lines")
     text = F.col(f"`{text_col}`")
     did, tk = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))), F.xxhash64(text)
     lines = _lines(df.where(text.isNotNull()).select(did.alias("did"), tk.alias("tk"), text.alias("text")), min_words)
-    marks = repeated_blocks(lines).select("did", "tk", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos"))
-    gone = marks.groupBy("did", "tk").agg(F.sort_array(F.collect_set("pos")).alias("__gone"))
-    joined = df.join(gone.select(F.col("did").alias("__did"), F.col("tk").alias("__tk"), "__gone"), (did == F.col("__did")) & (tk == F.col("__tk")), "left")
+    runs = stable(repeated_runs(lines))
+    marks = runs.groupBy(_bucket(runs.count())).applyInArrow(_united, _GONE)
+    d, t, g = free_names(df, "did", "tk", "gone")
+    joined = df.join(marks.toDF(d, t, g), (did == F.col(d)) & (tk == F.col(t)), "left")
     # the text is split once, as the array that is filtered; places inside a lambda
     # would have it split for each of them
-    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__gone", i))
-    clean = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns], F.coalesce("__gone", F.array().cast("array<int>")).alias("deleted_lines"))
+    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(g, i))
+    clean = F.when(F.col(g).isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns], F.coalesce(g, F.array().cast("array<int>")).alias("deleted_lines"))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -270,21 +270,54 @@ def test_line_dedup_odd(spark):
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
 
 
-def test_suffix_array(spark):
+def test_line_dedup_clashing_columns(spark):
+    names = ["doc_id", "text", "did", "tk", "gone", "pos", "_did", "deleted_lines"]
+    df = spark.createDataFrame([(1, "a b c d e f", *[str(i)] * 6) for i in range(3)] + [(2, "a b c d e f\nmore", *["9"] * 6)], names)
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == names
+    assert sorted((r["doc_id"], r["text"], r["did"], r["deleted_lines"]) for r in out.collect()) == [(1, "a b c d e f", str(i), []) for i in range(3)] + [(2, "more", "9", [0])]
+
+
+@pytest.mark.parametrize("rows", [8, 40])
+def test_suffix_array(spark, monkeypatch, rows):
+    """Ranks order suffixes as their lines do, over any number of partitions."""
+    monkeypatch.setattr(line_dedup, "_ROWS", rows)
     rng = random.Random(2)
-    rows = [(i, "\n".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))) for i in range(20)]
-    lines = line_dedup._lines(spark.createDataFrame([(i, i, t) for i, t in rows], "did long, tk long, text string"), 1)
-    got = {(r["did"], r["pos"]): (r["depth"], r["r"]) for r in line_dedup.suffix_array(lines).collect()}
-    text = {i: t.split("\n") for i, t in rows}
-    rank = {r: x for r, x in ((r["r"], r["line"]) for r in lines.join(spark.createDataFrame([(i, k, x) for i, t in text.items() for k, x in enumerate(t)], "did long, pos int, line string"), ["did", "pos"]).collect())}
-    order = {x: n for n, (_, x) in enumerate(sorted(rank.items()))}
-    by_depth = defaultdict(list)
-    for (d, p), (depth, r) in got.items():
-        by_depth[depth].append((r, [order[x] for x in text[d][p : p + depth]]))
-    for found in by_depth.values():
-        found.sort()
-        assert all(a[1] <= b[1] for a, b in itertools.pairwise(found))
-        assert all((a[0] == b[0]) == (a[1] == b[1]) for a, b in itertools.pairwise(found))
+    text = {i: [rng.choice("aaabc") for _ in range(rng.randint(1, 9))] for i in range(30)}
+    text[30] = text[31] = text[3] + ["only"] + text[4]
+    lines = line_dedup._lines(spark.createDataFrame([(i, i, "\n".join(t)) for i, t in text.items()], "did long, tk long, text string"), 1)
+    code = {(r["did"], r["pos"]): r["a"] for r in lines.collect()}
+    # the end of a text ranks as line 0 does, before all that follow one of that hash
+    key = lambda d, p: [(code[d, i], 0) for i in range(p, len(text[d]))] + [(0, -1)]
+    got = sorted((r["a"], r["b"], key(r["did"], r["pos"])) for r in line_dedup.suffix_array(lines).collect())
+    assert len(got) == sum(map(len, text.values()))
+    assert all(x[2] <= y[2] and (x[:2] == y[:2]) == (x[2] == y[2]) for x, y in itertools.pairwise(got))
+
+
+@pytest.mark.parametrize("rows", [8, 60])
+def test_longest_earlier_runs(spark, monkeypatch, rows):
+    """The longest run at each line that has been before, against a search of all."""
+    monkeypatch.setattr(line_dedup, "_ROWS", rows)
+    rng = random.Random(rows)
+    text = {i: [rng.choice("aab") for _ in range(rng.randint(1, 14))] for i in range(25)}
+    base = [f"line {i}" for i in range(40)]
+    for i in range(25, 40):  # near copies of a long text
+        text[i] = [x for x in base if rng.random() > 0.04][rng.randrange(3) :]
+    text[40] = text[39] = text[38]
+    lines = line_dedup._lines(spark.createDataFrame([(i, i, "\n".join(t)) for i, t in text.items()], "did long, tk long, text string"), 1)
+    got = {(r["did"], r["pos"]): r["len"] for r in line_dedup.repeated_runs(lines).collect()}
+    want = {}
+    places = [(d, p) for d in sorted(text) for p in range(len(text[d]))]
+    for n, (d, p) in enumerate(places):
+        best = 0
+        for e, q in places[:n]:
+            k = 0
+            while p + k < len(text[d]) and q + k < len(text[e]) and text[d][p + k] == text[e][q + k]:
+                k += 1
+            best = max(best, k)
+        if best:
+            want[d, p] = best
+    assert got == want
 
 
 # decontamination -------------------------------------------------------------
