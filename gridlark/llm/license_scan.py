@@ -1,21 +1,26 @@
 """License scans by DataFrame expressions only.
 
-Each line of a file, and each span of words as long as a template, anywhere in the
-text and over line ends, is compared with license templates as sparse TF-IDF
-vectors: terms of the templates are weighted by their document frequencies over all files, up to the weight of a
-term in a thousandth of them; every other term counts in the span's norm with that
-weight at most, or, under a thousand files, as one that no file has. Only spans around the heaviest terms of a
-template are looked at; no other can reach the cosine.
-A file's own license is that of its best span with a cosine of `least` or
-more. Files that are named like licence files speak for their directory: a file
-without a license of its own takes that of the nearest directory above it, found
-by an equi-join of its ancestor directories.
+Texts are compared with license templates as sparse TF-IDF vectors, by their cosine:
+
+* notices and headers (`TEMPLATES`): each line of a file, and each span of words as
+  long as the template, anywhere in the text and over line ends. Only spans around
+  the rarest terms of a template are looked at; no other can reach the cosine.
+* license texts (`TEXTS`): the whole of a file that is named like a license file.
+
+Terms of the templates are weighted by their document frequencies over all files, up
+to the weight of a term in a thousandth of them; every other term counts in the norm
+with that weight at most, or, under a thousand files, as one that no file has.
+A file's own license is the best with a cosine of `least` or more. Files that are
+named like license files speak for their directory: a file without a license of its
+own takes that of the nearest directory above it, found by an equi-join of its
+ancestor directories.
 
 Edge cases: null and empty texts have no license of their own but inherit; null
-paths inherit nothing; ties go to the license first by name, and among licence
-files of a directory to the better score, then the first path; rights that are
-only reserved count where nothing else is found; rows that repeat
-get equal results; extra columns are ignored; an empty table gives none.
+paths inherit nothing; null ids are ids like any other; ties go to the license first
+by name, and among license files of a directory to the better score, then the first
+path; a license's whole text goes before a notice, which it may hold; rights that are only reserved count where nothing else is found; rows that
+repeat get equal results; very long texts are looked at to their end; extra columns
+are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm._spark import stable
+from gridlark.llm._spark import has_rows_below, stable
 
 #: Notices by license; a license has as many templates as it has usual forms.
 TEMPLATES = [
@@ -48,6 +53,20 @@ TEMPLATES = [
     ("GPL-3.0", "licensed under the GNU General Public License version 3"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License version 3"),
     ("MIT", "Released under the MIT License"),
@@ -58,6 +77,27 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Whole license texts, compared with whole files that are named like license files.
+TEXTS = [
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n" + _BSD_END),
+    (
+        "ISC",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "MIT",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+]
 #: Stands beside many notices that grant something, so any other license of a text or a directory goes first.
 RESERVED = "All rights reserved"
 #: Weight of a word that no template has, and the most that any term weighs: that of a term in a thousandth of all files.
@@ -70,11 +110,12 @@ def terms_of(text: str) -> list[str]:
     return [t for t in re.split(_WORD, text.lower()) if t]
 
 
-def scan(df: DataFrame, path, text_col: str = "text", id_col: str = "doc_id", least: float = 0.75, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan(df: DataFrame, path, text_col: str = "text", id_col: str = "doc_id", least: float = 0.75, templates: list[tuple[str, str]] | None = None, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """`(doc_id, path, license, via, score, source_path)`: via is `header`, `file`
     (a licence file itself), `inherited` or null."""
     templates = TEMPLATES if templates is None else templates
-    vocab = sorted({t for _, x in templates for t in terms_of(x)})
+    texts = TEXTS if texts is None else texts
+    vocab = sorted({t for _, x in [*templates, *texts] for t in terms_of(x)})
     files = df.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
     words = lambda c: F.filter(F.split(c, _WORD), lambda t: t != "")
     known = files.select(F.explode(F.array_distinct(F.filter(F.split("text", _WORD), lambda t: t.isin(vocab)))).alias("term"))
@@ -83,23 +124,30 @@ def scan(df: DataFrame, path, text_col: str = "text", id_col: str = "doc_id", le
     idf = {t: min(RARE, math.log((1 + n) / (1 + freq.get(t, 0))) + 1) for t in vocab}
     rare = min(RARE, math.log(1 + n) + 1)
     code = {t: k for k, t in enumerate(vocab, 1)}  # 0 is any word that no template has
-    rows = []
-    for k, (name, text) in enumerate(templates):
+
+    def vector(text: str) -> tuple[dict[str, int], float, list[float]]:
+        """Counts of a template's terms, its norm, and what each term of the
+        vocabulary adds to a product with its unit vector."""
         count = {t: terms_of(text).count(t) for t in terms_of(text)}
         norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in count.items()))
         dots = [0.0] * (len(vocab) + 1)
         for t, c in count.items():
             dots[code[t]] = c * idf[t] * idf[t] / norm
-        # a span without any of these, the heaviest, can't reach the cosine
+        return count, norm, dots
+
+    rows = []
+    for k, (name, text) in enumerate(templates):
+        count, norm, dots = vector(text)
+        # a span without any of these, the rarest, can't reach the cosine
         left = 1.0
-        for t in sorted(count, key=lambda t: (-count[t] * idf[t], t)):
+        for t in sorted(count, key=lambda t: (-idf[t], t)):
             if left < least * least - 1e-9:
                 break
             left -= (count[t] * idf[t] / norm) ** 2
-            rows.append((code[t], k, name, text == RESERVED, len(terms_of(text)), dots))
+            rows.append((code[t], k, name, 2 if text == RESERVED else 1, len(terms_of(text)), dots))
     spark = df.sparkSession
     # the templates' terms are fixed values, so this side is bounded
-    sought = F.broadcast(spark.createDataFrame(rows, "term int, template int, license string, reserved boolean, length int, dots array<double>"))
+    sought = F.broadcast(spark.createDataFrame(rows, "term int, template int, license string, grade int, length int, dots array<double>"))
     terms = sorted({vocab[r[0] - 1] for r in rows})
     sought_codes = [code[t] for t in terms]
     longest = max((len(terms_of(x)) for _, x in templates), default=1)
@@ -124,15 +172,25 @@ def scan(df: DataFrame, path, text_col: str = "text", id_col: str = "doc_id", le
     others = lambda span: F.size(F.filter(span, lambda c: c == 0)) * (rare * rare)
     square = lambda span: others(span) + total(F.array_distinct(hits(span)), lambda c: F.pow(F.size(F.filter(span, lambda x: x == c)) * weight(c), F.lit(2.0)))
     cosine = lambda span: F.round(F.least(F.lit(1.0), dot(span) / F.sqrt(square(span))), 9)
-    scored = whole.select("doc_id", "path", "words", "term", "at").unionByName(near).join(sought, "term").select("doc_id", "path", "license", "reserved", "dots", F.filter(spans, possible).alias("spans"))
-    scored = scored.select("doc_id", "path", "license", "reserved", F.array_max(F.transform("spans", cosine)).alias("score")).where(F.col("score") >= least)
-    best = F.struct(F.col("reserved").alias("r"), (-F.col("score")).alias("s"), F.col("license").alias("l"))
-    own = stable(scored.groupBy("doc_id", "path").agg(F.min(best).alias("b")).select("doc_id", "path", F.col("b.l").alias("own"), (-F.col("b.s")).alias("own_score"), F.col("b.r").alias("reserved")))
-    base = files.select("doc_id", "path")
+    scored = whole.select("doc_id", "path", "words", "term", "at").unionByName(near).join(sought, "term").select("doc_id", "path", "license", "grade", "dots", F.filter(spans, possible).alias("spans"))
+    scored = scored.select("doc_id", "path", "license", "grade", F.array_max(F.transform("spans", cosine)).alias("score")).where(F.col("score") >= least)
     name, folder = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"/?[^/]*$", "")
-    speaks = own.where(name.rlike(LICENSE_FILE)).groupBy(folder.alias("dir")).agg(F.min(F.struct(F.col("reserved").alias("r"), (-F.col("own_score")).alias("s"), F.col("path").alias("p"), F.col("own").alias("l"))).alias("f"))
+    speaking = files.where(name.rlike(LICENSE_FILE)).select("doc_id", "path", coded("text").alias("words")).withColumn("square", square(F.col("words")))
+    product = lambda d: total(F.col("words"), lambda c: F.element_at(F.array(*[F.lit(x) for x in d]), c + 1))
+    alike = lambda x: F.round(F.least(F.lit(1.0), product(vector(x)[2]) / F.sqrt("square")), 9)
+    whole_texts = speaking.select("doc_id", "path", F.explode(F.array(*[F.struct(F.lit(n).alias("license"), F.lit(0).alias("grade"), alike(x).alias("score")) for n, x in texts])).alias("x")).select("doc_id", "path", "x.license", "x.grade", "x.score") if texts else None
+    if whole_texts is not None:
+        scored = scored.unionByName(whole_texts.where(F.col("score") >= least))
+    best = F.struct(F.col("grade").alias("r"), (-F.col("score")).alias("s"), F.col("license").alias("l"))
+    own = stable(scored.groupBy("doc_id", "path").agg(F.min(best).alias("b")).select("doc_id", "path", F.col("b.l").alias("own"), (-F.col("b.s")).alias("own_score"), F.col("b.r").alias("grade")))
+    base = files.select("doc_id", "path")
+    speaks = own.where(name.rlike(LICENSE_FILE)).groupBy(folder.alias("dir")).agg(F.min(F.struct(F.col("grade").alias("r"), (-F.col("own_score")).alias("s"), F.col("path").alias("p"), F.col("own").alias("l"))).alias("f"))
     speaks = speaks.select("dir", F.col("f.l").alias("dir_license"), F.col("f.p").alias("dir_path"), (-F.col("f.s")).alias("dir_score"))
-    wanting = base.where("path is not null").distinct().join(own.select("doc_id", "path"), ["doc_id", "path"], "left_anti")
+    same = lambda d, p: F.col("doc_id").eqNullSafe(F.col(d)) & F.col("path").eqNullSafe(F.col(p))
+    wanting = base.where("path is not null").distinct().join(own.select(F.col("doc_id").alias("d"), F.col("path").alias("p")), same("d", "p"), "left_anti")
+    speaks = stable(speaks)
+    if has_rows_below(speaks, 1_000_000):  # else the root, which is above all files, is one task's
+        speaks = F.broadcast(speaks)
     parts = F.split(folder, "/")
     above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
     up = wanting.select("doc_id", "path", F.posexplode(F.array_distinct(above)).alias("depth", "dir")).join(speaks, "dir")
@@ -140,9 +198,12 @@ def scan(df: DataFrame, path, text_col: str = "text", id_col: str = "doc_id", le
     found = own.select("doc_id", "path", F.col("own").alias("license"), F.when(name.rlike(LICENSE_FILE), "file").otherwise("header").alias("via"), F.col("own_score").alias("score"), F.col("path").alias("source_path"))
     found = found.unionByName(taken.select("doc_id", "path", F.col("d.dir_license").alias("license"), F.lit("inherited").alias("via"), F.col("d.dir_score").alias("score"), F.col("d.dir_path").alias("source_path")))
     found = found.withColumnRenamed("doc_id", "d").withColumnRenamed("path", "p")
-    return base.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("path").eqNullSafe(F.col("p")), "left").select("doc_id", "path", "license", "via", "score", "source_path")
+    return base.join(found, same("d", "p"), "left").select("doc_id", "path", "license", "via", "score", "source_path")
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
+    """Documents as files: a directory of each source has a hundred ids, of which the
+    first is its license file, so the others inherit what that one says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scan(docs, F.concat_ws("/", "source", "doc_id"))
+    name = F.when(F.pmod("doc_id", F.lit(100)) == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan(docs, F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string"), name))

@@ -503,6 +503,38 @@ def test_license_lines_of_the_tables(spark):
     assert {r["license"] for r in license_scan.scan(df, F.col("file")).where("doc_id = 3").collect()} == {"BSD-3-Clause"}
 
 
+def test_license_headers_and_texts(spark):
+    """Usual headers as they wrap in comments, heads of license texts and whole ones."""
+    gpl = "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version."
+    wrapped = lambda t: "\n".join(t[i : i + 65] for i in range(0, len(t), 65))
+    want = {
+        "x/gpl3.py": ("# Foo\n#\n# " + gpl.format("", 3), "GPL-3.0"),
+        "x/gpl2.py": ("# " + gpl.format("", 2), "GPL-2.0"),
+        "x/agpl.py": ("# " + gpl.format("Affero ", 3), "AGPL-3.0"),
+        "x/lgpl.py": ("# " + gpl.format("Lesser ", 3).replace("program", "library"), "LGPL-3.0"),
+        "x/apache.py": ("/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n */", "Apache-2.0"),
+        "g/COPYING": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation", "GPL-3.0"),
+        "m/LICENSE": ("Copyright 2020 Some One\n\n" + dict(license_scan.TEXTS)["MIT"].replace(" the ", "\nthe "), "MIT"),
+        "b/LICENSE": ("Copyright 2020 Some One\n\n" + dict(license_scan.TEXTS)["BSD-3-Clause"], "BSD-3-Clause"),
+        "c/LICENSE": ("Copyright 2020 Some One\n\n" + dict(license_scan.TEXTS)["BSD-2-Clause"], "BSD-2-Clause"),
+        "m/src/a.py": ("x = 1", "MIT"),
+        "c/src/a.py": ("", "BSD-2-Clause"),
+    }
+    rows = [(i, k, t) for i, (k, (t, _)) in enumerate(want.items())] + [(100 + i, f"z/{i}.py", f"alpha the of and {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, file string, text string")
+    got = {r["path"]: r["license"] for r in license_scan.scan(df, F.col("file")).collect()}
+    assert {k: got[k] for k in want} == {k: v for k, (_, v) in want.items()}
+    assert {v for k, v in got.items() if k.startswith("z/")} == {None}
+
+
+def test_license_of_null_ids(spark):
+    """A file with its own notice is one row, whatever its id, also beside a license file."""
+    rows = [(None, "a/x.py", "Released under the MIT License."), (None, "a/y.py", ""), (1, "a/LICENSE", "Licensed under CC BY-NC 4.0."), (None, None, "Released under the MIT License.")]
+    df = spark.createDataFrame(rows, "doc_id long, file string, text string")
+    got = sorted((str(r["path"]), r["license"], r["via"]) for r in license_scan.scan(df, F.col("file")).collect())
+    assert got == [("None", "MIT", "header"), ("a/LICENSE", "CC-BY-NC-4.0", "file"), ("a/x.py", "MIT", "header"), ("a/y.py", "CC-BY-NC-4.0", "inherited")]
+
+
 # pipeline --------------------------------------------------------------------
 
 
