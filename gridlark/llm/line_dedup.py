@@ -43,11 +43,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm import _text as tx
-from gridlark.llm._spark import free_names, stable
+from gridlark.llm._spark import free_names, stable, written
 
 _BREAK = np.zeros(256, bool)
 _BREAK[10] = True
-_ROWS = 300_000  # of a partition or a bucket, about
+_ROWS = 150_000  # of a partition or a bucket, about
 
 
 def line_arrays(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -222,10 +222,15 @@ def suffix_array(lines: DataFrame) -> DataFrame:
     first 2^k lines repeat, twice as many don't (or the text ends). Equal ranks are
     equal to the end of both texts."""
     spark = lines.sparkSession
-    lines = stable(lines.dropDuplicates(["did", "tk", "pos"]))
-    often = lines.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a", F.lit(True).alias("live"))
+    lines = written(lines.dropDuplicates(["did", "tk", "pos"]))
+    often = stable(lines.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
+    # lines that so many texts have are known to all tasks (2,000 of them at most)
+    many = (often.agg(F.sum("n")).first()[0] or 0) // 2_000
+    common = F.col("a").isin([r["a"] for r in often.where(F.col("n") > many).select("a").collect()] if many else [])
+    rare = lines.where(~common).join(often.select("a", F.lit(True).alias("live")), "a", "left")
+    lines = rare.unionByName(lines.where(common).withColumn("live", F.lit(True)))
     live = F.coalesce("live", F.lit(False))
-    state = stable(lines.join(often, "a", "left").select(*_names(_LINE), F.lit(0).cast("long").alias("b"), F.when(live, 0).otherwise(-1).alias("k"), live.alias("live")))
+    state = stable(lines.select(*_names(_LINE), F.lit(0).cast("long").alias("b"), F.when(live, 0).otherwise(-1).alias("k"), live.alias("live")))
     done, k, n = [], 0, state.where("live").count()
     total = state.count() if n else 0
     while n:
@@ -426,7 +431,7 @@ _RUN = "did long, tk long, pos int, len int"
 def repeated_runs(lines: DataFrame) -> DataFrame:
     """`(did, tk, pos, len)`: for each line the longest run that begins there and has
     occurred before, if it has enough words."""
-    suffixes = stable(suffix_array(lines))
+    suffixes = suffix_array(lines)  # of checkpoints only
     n = suffixes.count()
     ordered = _sorted(suffixes, n, "a", "b", "did", "tk", "pos")
     ends = sorted((r.asDict() for r in ordered.mapInArrow(_last, f"{_SUFFIX}, pid int").collect()), key=lambda r: r["pid"])  # a row a partition
