@@ -54,12 +54,33 @@ class Dataset:
     def union(self, other: Dataset) -> Dataset:
         return Dataset(*(getattr(self, k).unionByName(getattr(other, k), allowMissingColumns=True) for k in ("files", "variables", "steps", "results", "texts", "peaks")))
 
+    # what a file is asked for directly ---------------------------------------
+
+    def get_results(self, variables, *args, **options) -> DataFrame | None:
+        from gridlark.plans import results
+
+        return results.get_results(self, variables, *args, **options)
+
+    def aggregate_variables(self, variables, func, **options):
+        from gridlark.operators import aggregate
+
+        return aggregate.aggregate_variables(self, variables, func, **options)
+
+    def copy(self) -> Dataset:
+        """Another Dataset of the same rows; changes of either leave the other alone."""
+        return replace(self)
+
     # catalog -----------------------------------------------------------------
 
     def header(self) -> list[Row]:
         """Header entries in order of files, tables and columns."""
         return self.variables.orderBy("file_id", "table_pos", "table", "pos", "id").collect()
 
+    def sorted_header(self, table: str, *by: str) -> list[Row]:
+        """Columns of a table in the order of header levels, ids last."""
+        rows = [r for r in self.header() if r["table"] == table]
+        return sorted(rows, key=lambda r: ([(r[c] is not None, r[c]) for c in by], r["id"]))
+
     def table_names(self) -> list[str]:
         return list(dict.fromkeys(r["table"] for r in self.header()))
 

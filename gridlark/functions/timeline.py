@@ -60,9 +60,9 @@ def days_of_year(ts: Column) -> Column:
     return F.dayofyear(F.make_date(F.year(ts), F.lit(12), F.lit(31)))
 
 
-def annual_days(ts: Column, cumulative: Column) -> Column:
-    """Whole days a year of a count of days that runs over years."""
-    return F.floor(cumulative / (F.year(ts) - F.min(F.year(ts)).over(Window.partitionBy()) + 1))
+def annual_days(ts: Column, cumulative: Column, by: list[str]) -> Column:
+    """Whole days a year of a count of days that runs over years, in each of `by`."""
+    return F.floor(cumulative / (F.year(ts) - F.min(F.year(ts)).over(Window.partitionBy(*by)) + 1))
 
 
 def n_days(table: Column, ts: Column, cumulative: Column, order: Window) -> Column:

@@ -284,18 +284,11 @@ def forward_fill_parse(spark, sf_dir):
     return eso.with_steps(rows, 6).select(F.col("mid").alias("event_id"), F.col("step.mid").alias("step"), "env")
 
 
-@query("select n_nationkey as id, n_name as key, 'Zone Mean Air Temperature' as type, 'C' as units, 'hourly' as \"table\" from nation", model_sql=False)
-def header_parse(spark, sf_dir):
-    lines = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(",1,"), F.col("n_name"), F.lit(",Zone Mean Air Temperature [C] !Hourly")).alias("line"))
-    # dictionary entries are metadata and parsed on the driver
-    return spark.createDataFrame([eso.header_entry(r["line"]) for r in lines.collect()], "id int, key string, type string, units string, table string")
-
-
-@query("""select l_orderkey, l_linenumber, cast(cast(l_shipdate as date) as timestamp) + to_minutes(cast(case when mi = 60 then h * 60 else (h - 1) * 60 + mi end as int)) as ts
- from (select *, 1 + l_partkey % 24 as h, 1 + l_suppkey % 60 as mi from lineitem)""", model_sql=False)
+@query("""select l_orderkey, l_linenumber, cast(cast(l_shipdate as date) as timestamp) + to_minutes(cast(case when h = 0 then mi when mi = 60 then h * 60 else (h - 1) * 60 + mi end as int)) as ts
+ from (select *, l_partkey % 25 as h, 1 + l_suppkey % 60 as mi from lineitem)""", model_sql=False)
 def interval_timestamp(spark, sf_dir):
     d = F.col("l_shipdate")
-    ts = tl.interval_stamp(F.year(d), F.month(d), F.dayofmonth(d), 1 + F.col("l_partkey") % 24, 1 + F.col("l_suppkey") % 60)
+    ts = tl.interval_stamp(F.year(d), F.month(d), F.dayofmonth(d), F.col("l_partkey") % 25, 1 + F.col("l_suppkey") % 60)
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", ts.alias("ts"))
 
 

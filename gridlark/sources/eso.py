@@ -22,6 +22,7 @@ from gridlark import model
 from gridlark.dataset import Dataset
 from gridlark.functions.timeline import occurrence_stamp
 from gridlark.sources.assemble import assemble, is_sizing, stamped
+from gridlark.sources.progress import StatusTracker
 
 _END_OF_HEADER, _END = "End of Data Dictionary", "End of Data"
 _ENTRY = re.compile(r"^(\d+),(\d+),(.*?) ?\[(.*?)\] ?!(Each Call|\w+)")
@@ -52,10 +53,33 @@ def header_entry(line: str) -> tuple[int, str, str, str, str]:
     return int(number), key, kind.strip(), units, interval.lower()
 
 
+def header_entries(df: DataFrame, line: str = "line") -> DataFrame:
+    """The same as `header_entry` for a column of lines, by expressions: `id, key, type,
+    units, table`; null where a line is no entry."""
+    part = lambda i: F.regexp_extract(line, _ENTRY.pattern, i)
+    name, called = part(3), part(5)
+    meter = ~name.contains(",")
+    key = F.when(meter, F.when(name.contains("Cumulative"), "Cumulative Meter").otherwise("Meter")).otherwise(F.regexp_extract(name, "^(.*),", 1))
+    kind = F.when(meter, name).otherwise(F.trim(F.substring_index(name, ",", -1)))
+    call = called == "Each Call"
+    ok = F.trim(F.col(line)).rlike(_ENTRY.pattern)
+    made = {"id": F.expr("try_cast(__id as int)"), "key": key, "type": F.when(call, F.concat(F.lit("System - "), kind)).otherwise(kind), "units": part(4), "table": F.when(call, "timestep").otherwise(F.lower(called))}
+    rows = df.withColumn(line, F.trim(F.col(line))).withColumn("__id", part(1))
+    return rows.select(*[c for c in df.columns if c != line], *[F.when(ok, v).alias(k) for k, v in made.items()])
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """`(blk, mid, line)`: split, place in it and text."""
+    """`(blk, mid, line)`: split, place in it and text. The parts of a folder follow
+    each other in the order of their names."""
     text = spark.read.text(path)
-    return text.select(F.col("_metadata.file_block_start").alias("blk"), F.monotonically_increasing_id().alias("mid"), F.trim("value").alias("line"))
+    blk = F.col("_metadata.file_block_start")
+    parts = sorted(text.inputFiles())
+    if len(parts) > 1:
+        # metadata: a row a file; a split's place is below 2^40
+        number = F.broadcast(spark.createDataFrame([(f.rsplit("/", 1)[-1], n) for n, f in enumerate(parts)], "part string, n long"))
+        text = text.select("value", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("part"), blk.alias("at")).join(number, "part")
+        blk = F.col("n") * F.lit(1 << 40) + F.col("at")
+    return text.select(blk.alias("blk"), F.monotonically_increasing_id().alias("mid"), F.trim("value").alias("line"))
 
 
 def _before(at: tuple[int, int]) -> Column:
@@ -143,9 +167,11 @@ def peak_rows(values: DataFrame, steps: DataFrame) -> DataFrame:
     return rows.select("file_id", "table", "id", "ts", *[c.alias(n) for n, c in out.items()])
 
 
-def read_eso(spark: SparkSession, path: str, year: int | None = None, ignore_peaks: bool = True) -> list[Dataset]:
+def read_eso(spark: SparkSession, path: str, year: int | None = None, ignore_peaks: bool = True, tracker: StatusTracker | None = None) -> list[Dataset]:
     """A Dataset of each environment, the last first; it has the bare file name,
     the others `name - environment`."""
+    tracker = tracker or StatusTracker("eso")
+    tracker.section("read lines")
     text = lines(spark, path)
     version, created, entries, at = _read_head(spark, path, text)
     highest = 6 if version >= 890 else 5
@@ -173,6 +199,8 @@ def read_eso(spark: SparkSession, path: str, year: int | None = None, ignore_pea
     if values.where(F.col("of").isNull() | F.col("table").isNull() | (F.col("of") != F.col("table"))).limit(1).count():
         raise model.InvalidLineSyntax(f"{path} has values outside of their interval")
     out = []
+    tracker.section("assemble environments")
+    tracker.set_maximum(len(envs))
     name = os.path.splitext(os.path.basename(path))[0]
     for n, env in enumerate(sorted(envs, reverse=True)):
         own = steps.where(F.col("env") == env).withColumn("file_id", F.lit(0))
@@ -183,5 +211,6 @@ def read_eso(spark: SparkSession, path: str, year: int | None = None, ignore_pea
         result = mine.select("file_id", "table", "id", "row_ix", _number(F.get("f", F.lit(1))).alias("value"))
         files = spark.createDataFrame([(0, path, name if n == 0 else f"{name} - {envs[env]}", created, "eso")], model.FILES)
         header = head.select(F.lit(0).alias("file_id"), "table", "id", "pos", F.lit(False).alias("is_simple"), "key", "type", "units")
+        tracker.increment()
         out.append(assemble(spark, files, header, dated, result, None if ignore_peaks else peak_rows(mine, dated)))
     return out

@@ -10,6 +10,7 @@ from gridlark.dataset import Dataset
 from gridlark.model import FormatNotSupported, MultiEnvFileRequired
 from gridlark.operators import derive
 from gridlark.sources import eso, sheet, sqlite, store
+from gridlark.sources.progress import StatusTracker
 
 SUFFIXES = (".eso", ".sql", ".xlsx", ".csv", ".cff")
 
@@ -26,9 +27,17 @@ def load_all(spark: SparkSession, path: str, **options) -> list[Dataset]:
     raise FormatNotSupported(f"{suffix} is no simulation's format")
 
 
-def load(spark: SparkSession, path: str, **options) -> Dataset:
-    """A Dataset of one file; several environments need `load_all`."""
+def load(spark: SparkSession, path: str, tracker: StatusTracker | None = None, **options) -> Dataset:
+    """A Dataset of one file; several environments need `load_all`. A tracker is told of
+    the sections of the work."""
+    with (tracker or StatusTracker("load")).task(f"load {os.path.basename(path)}"):
+        return _load(spark, path, tracker, **options)
+
+
+def _load(spark: SparkSession, path: str, tracker: StatusTracker | None, **options) -> Dataset:
     suffix = os.path.splitext(path)[1].lower()
+    if suffix == ".eso":
+        options["tracker"] = tracker
     if suffix in (".eso", ".sql"):
         found = load_all(spark, path, **options)
         if len(found) != 1:

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from gridlark import model
 from gridlark.dataset import Dataset
 from gridlark.functions.naming import unique_name
+from gridlark.sources.files import Files
 
 INDEX = ("timestamp", "range", "index")
 LEVELS = ("id", "table", "key", "type", "units")
@@ -112,8 +113,18 @@ def infer(rows: Sequence[Sequence], force_index: bool = False, limit: int = 10)
     return validate_levels([h[1:] if index else h for h in head]), index, begin
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Adds the place of each row, from 0, in the order of `__blk` and `__mid`. Blocks are
+    numbered by themselves; only their sizes, a row a block, meet in one place."""
+    sizes = df.groupBy("__blk").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__blk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    first = F.broadcast(sizes.select("__blk", before.alias("__first")))
+    here = F.row_number().over(Window.partitionBy("__blk").orderBy("__mid")) - 1
+    return df.withColumn("__here", here).join(first, "__blk").withColumn(name, (F.col("__first") + F.col("__here")).cast("long")).drop("__here", "__first")
+
+
 def _build(spark: SparkSession, body: DataFrame, levels: dict[str, list], index: str | None, sheet: str, taken: set[str], first_id: int) -> tuple[dict[str, DataFrame], int] | None:
-    """body: `__row` and strings c0, c1, ...; tables of the sheet and the next id."""
+    """body: `__blk`, `__mid` and strings c0, c1, ...; tables of the sheet and the next id."""
     shift = 1 if index else 0
     entries, seen = [], set()
     width = max(len(v) for v in levels.values())
@@ -143,8 +154,7 @@ def _build(spark: SparkSession, body: DataFrame, levels: dict[str, list], index:
         is_ts = n > 0 and stamps == n and whole < n
     else:
         is_ts, n, whole = False, 0, 0
-    w = Window.partitionBy(F.lit(0)).orderBy("__row")
-    rows = body.withColumn("row_ix", (F.row_number().over(w) - 1).cast("long"))
+    rows = numbered(body, "row_ix")
     if is_ts:
         rounded = F.date_trunc("second", F.try_to_timestamp("c0") + F.expr("interval 500 milliseconds")).cast("timestamp_ntz")
         rows = rows.withColumn("ts", rounded).withColumn("range_ix", F.lit(None).cast("long")).withColumn("label", F.lit(None).cast("string"))
@@ -152,8 +162,10 @@ def _build(spark: SparkSession, body: DataFrame, levels: dict[str, list], index:
         is_range = not index
         if index and n and whole == n:
             number = F.expr("try_cast(c0 as bigint)")
-            lo, hi, count = rows.select((number - F.lag(number).over(w)).alias("d")).agg(F.min("d"), F.max("d"), F.count("*")).first()
-            is_range = count > 1 and lo == hi and lo != 0
+            # a range's values lie on a line over their places
+            ends = rows.agg(F.count("*").alias("n"), F.min_by(number, "row_ix").alias("a"), F.max_by(number, "row_ix").alias("z")).first()
+            step, rest = divmod(ends["z"] - ends["a"], max(1, ends["n"] - 1))
+            is_range = ends["n"] > 1 and step != 0 and not rest and rows.where(number != F.lit(ends["a"]) + F.col("row_ix") * step).limit(1).isEmpty()
         value = F.expr("try_cast(c0 as bigint)") if index and is_range else F.col("row_ix")
         rows = rows.withColumn("ts", F.lit(None).cast("timestamp_ntz")).withColumn("range_ix", value if is_range else F.lit(None).cast("long")).withColumn("label", F.col("c0") if index and not is_range else F.lit(None).cast("string"))
     out = {"variables": [], "steps": [], "results": [], "texts": []}
@@ -181,6 +193,13 @@ def _build(spark: SparkSession, body: DataFrame, levels: dict[str, list], index:
     return made, first_id
 
 
+def _changed(spark: SparkSession, path: str) -> dt.datetime:
+    """When a file was changed; now, of frames that have no file."""
+    files = Files(spark)
+    at = dt.datetime.fromtimestamp(files.time(path), dt.timezone.utc) if files.exists(path) else dt.datetime.now(dt.timezone.utc)
+    return at.replace(tzinfo=None)
+
+
 def _dataset(spark: SparkSession, path: str, kind: str, sheets: list[tuple[str, list[list], DataFrame]], force_index: bool, limit: int) -> Dataset:
     taken: set[str] = set()
     whole, first_id = None, 1
@@ -188,8 +207,9 @@ def _dataset(spark: SparkSession, path: str, kind: str, sheets: list[tuple[str,
         if all(_cell(c) is None for row in top for c in row):
             continue
         levels, index, begin = infer(top, force_index, limit)
-        live = frame.where(F.col("__row") >= begin).where(F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in frame.columns if c != "__row"]).isNotNull())
-        live = live.select("__row", *[F.when(F.trim(c) != "", F.trim(c)).alias(c) for c in frame.columns if c != "__row"])
+        cells = [c for c in frame.columns if not c.startswith("__")]
+        live = frame.where(F.col("__row") >= begin).where(F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in cells]).isNotNull())
+        live = live.select("__blk", "__mid", *[F.when(F.trim(c) != "", F.trim(c)).alias(c) for c in cells])
         built = _build(spark, live, levels, index, sheet, taken, first_id)
         if built is None:
             continue
@@ -199,13 +219,15 @@ def _dataset(spark: SparkSession, path: str, kind: str, sheets: list[tuple[str,
     if whole is None:
         raise model.NoResults(f"{path} has no results")
     name = os.path.splitext(os.path.basename(path))[0]
-    files = spark.createDataFrame([(0, path, name, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), kind)], model.FILES)
+    files = spark.createDataFrame([(0, path, name, _changed(spark, path), kind)], model.FILES)
     return Dataset(files, whole.variables, whole.steps, whole.results, whole.texts, whole.peaks)
 
 
 def read_csv(spark: SparkSession, path: str, force_index: bool = False, header_limit: int = 10) -> Dataset:
     """A sheet called like the file. The delimiter is found from the first lines."""
-    lines = [r["value"] for r in spark.read.text(path).limit(header_limit + 20).collect()]
+    text = spark.read.text(path)
+    first = min(text.inputFiles(), default=path)  # a folder's header is in its first part
+    lines = [r["value"] for r in spark.read.text(first).limit(header_limit + 20).collect()]
     filled = [x for x in lines if x.strip(" ,;\t")]
     if not filled:
         raise model.NoResults(f"{path} is empty")
@@ -219,8 +241,9 @@ def read_csv(spark: SparkSession, path: str, force_index: bool = False, header_l
     frame = spark.read.csv(path, schema=schema, sep=sep, header=False, enforceSchema=True)
     # Spark's reader passes over blank lines, and so does what the header is found in
     top = [r for r in top if r]
-    order = Window.partitionBy(F.lit(0)).orderBy("__id")
-    frame = frame.withColumn("__id", F.monotonically_increasing_id()).withColumn("__row", F.row_number().over(order) - 1).drop("__id")
+    # parts of a folder follow each other by name, splits of a part by their place
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    frame = numbered(frame.select("*", at.alias("__blk"), F.monotonically_increasing_id().alias("__mid")), "__row")
     name = os.path.splitext(os.path.basename(path))[0]
     return _dataset(spark, path, "csv", [(name, top, frame)], force_index, header_limit)
 
@@ -243,8 +266,8 @@ def from_frames(spark: SparkSession, path: str, book: dict, force_index: bool =
         if pdf.empty:
             continue
         rows = [[_cell(c) for c in r] for r in pdf.itertuples(index=False, name=None)]
-        text = [(i, *[None if c is None else str(c) for c in r]) for i, r in enumerate(rows)]
-        schema = "__row int, " + ", ".join(f"c{i} string" for i in range(pdf.shape[1]))
+        text = [(i, 0, i, *[None if c is None else str(c) for c in r]) for i, r in enumerate(rows)]
+        schema = "__row long, __blk int, __mid long, " + ", ".join(f"c{i} string" for i in range(pdf.shape[1]))
         sheets.append((str(name), rows[: header_limit + 20], spark.createDataFrame(text, schema)))
     if not sheets:
         raise model.NoResults(f"{path} has no results")

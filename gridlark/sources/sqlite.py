@@ -7,6 +7,7 @@ import os
 import sqlite3
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -16,6 +17,7 @@ from gridlark import model
 from gridlark.dataset import Dataset
 from gridlark.functions import timeline as tl
 from gridlark.sources.assemble import assemble
+from gridlark.sources.files import Files
 
 # Columns that are read, and codes of the database.
 TABLES = {
@@ -36,6 +38,14 @@ FREQUENCIES = {
 }
 
 
+def _local(path: str) -> str:
+    """Where a database lies on this machine: the path itself or, of other file systems,
+    the copy that Spark has brought to each executor."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    return SparkFiles.get(os.path.basename(path)) if "://" in path else path
+
+
 class _Rows(InputPartition):
     def __init__(self, low: int, high: int):
         self.low, self.high = low, high
@@ -47,7 +57,7 @@ class _Reader(DataSourceReader):
         self.rows = int(options.get("rows", 1_000_000))
 
     def _open(self):
-        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+        return sqlite3.connect(f"file:{_local(self.path)}?mode=ro", uri=True)
 
     def partitions(self):
         with self._open() as db:
@@ -89,7 +99,9 @@ class SqliteTable(DataSource):
 
 def read_sqlite(spark: SparkSession, path: str, warmup: bool = True) -> list[Dataset]:
     """A Dataset of each environment, the last first."""
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+    if "://" in path and not path.startswith("file:"):
+        spark.sparkContext.addFile(path)
+    with sqlite3.connect(f"file:{_local(path)}?mode=ro", uri=True) as db:
         there = {r[0] for r in db.execute("select name from sqlite_master where type = 'table'")}
     if missing := {"Time", "ReportData", "ReportDataDictionary"} - there:
         raise model.NoResults(f"{path} lacks {sorted(missing)}")
@@ -116,7 +128,7 @@ def read_sqlite(spark: SparkSession, path: str, warmup: bool = True) -> list[Dat
     rows = rows.withColumn("ts", ts)
     out = []
     name = os.path.splitext(os.path.basename(path))[0]
-    created = dt.datetime.fromtimestamp(os.path.getmtime(path), dt.timezone.utc).replace(tzinfo=None)
+    created = dt.datetime.fromtimestamp(Files(spark).time(path), dt.timezone.utc).replace(tzinfo=None)
     for n, env in enumerate(sorted(envs, key=lambda e: (e is not None, e), reverse=True)):
         own = rows.where(F.col("EnvironmentPeriodIndex").eqNullSafe(F.lit(env)))
         w = Window.partitionBy("table").orderBy("TimeIndex")
