@@ -24,8 +24,10 @@ matrix products, large ones by a grid of block pairs, and only spanning edges
 leave a block.
 
 Edge cases: null, empty and blank texts have the empty set and no link; null ids
-keep their row (component_id null unless another id of the class is known);
-repeated rows are copies of each other; extra columns are ignored. Shingle
+keep their row and their links (component_id null unless another id of the class is
+known); repeated rows are copies of each other; very long texts are sets like any,
+with a sketch that grows with them (a quarter byte a shingle); extra columns are
+ignored, whatever their names; an empty table gives no rows. Shingle
 identity is by a 52-bit hash within a pair of sets and 64 bits for whole sets.
 """
 
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm import _text as tx
-from gridlark.llm._spark import components, semi_join, stable
+from gridlark.llm._spark import components, free_names, semi_join, stable
 
 U = np.uint64
 _C1, _C2, _C3, _C4 = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
@@ -182,14 +184,15 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
 
 
 def shingle_counts(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """`(doc_id, n_shingles, node, sketch)`; node null for the empty set."""
+    """`(doc_id, rk, n_shingles, node, sketch)`; rk is a hash of id and text, node null
+    for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some, doc, h, size, node in _sets(batch, "text", n):
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0), _sketches(doc, h, size)], ["doc_id", "n_shingles", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("rk"), pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0), _sketches(doc, h, size)], ["doc_id", "rk", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, rk long, n_shingles long, node long, sketch array<long>")
 
 
 def _runs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -315,7 +318,7 @@ def _candidate_edges(docs: DataFrame, text_col: str, n: int, scheme: Scheme, ran
     alike = den * F.least("size_a", "size_b") >= num * F.greatest("size_a", "size_b")
     few = lists.where("kind = 0").join(of("a"), "a").join(of("b"), "b").where(alike).mapInArrow(near, "u long, v long")
     many = lists.where("kind = 1").select("a", F.col("b").alias("node")).join(nodes.select("node", "size", "sketch"), "node")
-    groups = max(8, math.ceil(lists.where("kind = 1").count() / 100_000))
+    groups = max(512, math.ceil(lists.where("kind = 1").count() / 20_000))
     many = many.withColumn("g", F.pmod(F.xxhash64("a"), F.lit(groups))).groupBy("g").applyInArrow(_possible(scheme), "u long, v long")
     return few.unionByName(many).unionByName(lists.where("kind = 2").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
@@ -423,11 +426,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Returns one row a row of `docs`: doc_id, n_shingles, component_id (smallest
     doc_id reachable by links), n_links (other rows that link with it, copies
-    included), node (id of the distinct set, null for the empty one).
+    included), node (id of the distinct set, null for the empty one), cluster (the
+    smallest node reachable) and rk (a hash of id and text).
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     counted = stable(shingle_counts(docs, "doc_id", "text", n))
-    nodes = counted.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    nodes = counted.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("rk").alias("rk"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     total = counted.agg(F.sum("n_shingles")).first()[0] or 0
     small = {r["n_shingles"]: r["n"] for r in counted.where("n_shingles between 1 and 64").groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
     scheme = Scheme.by_cost(num, den, small)
@@ -442,13 +446,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = members.join(stats.select("comp", "nb"), "comp").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     single = placed.where("nb = 1").select(F.pmod(F.xxhash64("comp"), F.lit(groups)).alias("g"), F.lit(-1).alias("bi"), F.lit(-1).alias("bj"), "comp", "node", "blk", "copies")
     grid = placed.where("nb > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(F.col("comp").alias("g"), F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "comp", "node", "blk", "copies")
-    items = _items(semi_join(docs, members.select(F.col("rep").alias("doc_id")), "doc_id"), n)
+    # one row of each set is read again, also where no row of it has an id
+    items = _items(semi_join(docs.withColumn("rk", F.xxhash64("doc_id", "text")), members.select("rk"), "rk"), n)
     found = stable(single.unionByName(grid).join(items, "node").groupBy("g", "bi", "bj").applyInArrow(_verify(scheme), "kind int, u long, v long, w long"))
     linked = components(found.where("kind = 0").select("u", "v"))
     least = linked.join(nodes, "node").groupBy("comp").agg(F.min("rep").alias("component_id"))
     weight = found.where("kind = 1").groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("w"))
-    known = nodes.join(linked, "node", "left").join(least, "comp", "left").join(weight, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"))
-    return counted.drop("sketch").join(known, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node")
+    known = nodes.join(linked, "node", "left").join(least, "comp", "left").join(weight, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), F.coalesce("comp", "node").alias("cluster"))
+    return counted.drop("sketch").join(known, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node", "cluster", "rk")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Rows of `df`, with all their columns, of which linked ones are left out but for
+    the one with the smallest id (rows with ids go before those without, equal ids
+    by a hash of the text); of rows that share id and text one stays. Texts without
+    words link with nothing and stay.
+    """
+    found = stable(jaccard_components(df, id_col, text_col, n, num, den).select("doc_id", "rk", "cluster"))
+    best = found.where("cluster is not null").groupBy("cluster").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk")).alias("best"))
+    key, = free_names(df, "rk")
+    own = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
+    losers = stable(found.join(best, "cluster").where(F.col("rk") != F.col("best.rk")).select(F.col("rk").alias(key)).distinct())
+    repeated = stable(found.groupBy(F.col("rk").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    out = df.withColumn(key, own).join(losers, key, "left_anti")
+    if repeated.isEmpty():
+        return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    # only rows of the same id and text have to meet
+    again = out.join(repeated, key, "left_semi").dropDuplicates([key])
+    return out.join(repeated, key, "left_anti").unionByName(again).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

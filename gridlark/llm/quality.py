@@ -11,7 +11,8 @@ Votes of all documents are counted (at most 3^labellers patterns reach the
 driver); `sample` bounds the documents that the scorer is trained on.
 
 Edge cases: null texts and texts without a word get quality 0 and are not kept;
-very long texts are read whole; repeated rows count each; an empty table gives an
+very long texts are read whole; repeated rows count each when votes are counted and
+once in the sample; a quality of exactly one half is kept; an empty table gives an
 empty result; in `keep_good` all columns of the input stay as they are, whatever
 their names.
 """
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from gridlark.llm import _text as tx
 from gridlark.llm._linear import ftrl, softmax
+from gridlark.llm._spark import free_names
 
 _DIM = 1 << 14
 RATES = ("symbol", "upper", "repeat", "again", "pipe", "bang", "digit", "common", "stop", "length")
@@ -219,11 +221,16 @@ def fit(df: DataFrame, text_col: str = "text", sample: int = 6_000) -> Scorer:
     share = [min(1.0, sample / 2 / max(1.0, total[c])) for c in (0, 1)]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for every in _slices(batches):
+            # the hash is known before anything else: most texts are not looked at
+            data, off = tx.raw(every.column("text"))
+            whole = tx.span_hashes(data, off[:-1], off[1:], lower=False)
+            some = np.flatnonzero((whole >> np.uint64(11)).astype(np.float64) / 2**53 < max(share))
+            if not len(some):
+                continue
+            part, whole = every.take(pa.array(some)), whole[some]
             words, x, doc, bucket, times = describe(part.column("text"))
             p = np.array([bad.get(c, 0.5) for c in _codes(votes(words, x)).tolist()])
-            data, off = tx.raw(part.column("text"))
-            whole = tx.span_hashes(data, off[:-1], off[1:], lower=False)
             pick = (whole >> np.uint64(11)).astype(np.float64) / 2**53 < np.where(p > 0.5, share[1], share[0])
             at = np.flatnonzero(pick & (words > 0) & (np.abs(p - 0.5) > 0.2))
             cut = np.searchsorted(doc, np.arange(len(words) + 1))
@@ -250,11 +257,11 @@ def score(df: DataFrame, model: Scorer, text_col: str = "text", keep: tuple[str,
     keep = tuple(df.columns if keep is None else keep)
     if name in keep:
         raise ValueError(f"column {name} would clash")
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("__text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
+    source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
+    kinds = [f"`{c}` {f.dataType.simpleString()}" for c, f in zip(keep, source.schema.fields, strict=False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches, "__text"):
+        for part in _slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(part.num_columns - 1)] + [pa.array(model.score(part.column(part.num_columns - 1)))], [*keep, name])
 
     return source.mapInArrow(run, ", ".join([*kinds, f"`{name}` double"]))
@@ -262,9 +269,7 @@ def score(df: DataFrame, model: Scorer, text_col: str = "text", keep: tuple[str,
 
 def keep_good(df: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """Rows whose text the scorer, fitted on `df` itself, finds good."""
-    name = "__quality"
-    while name in df.columns:
-        name = f"_{name}"
+    name, = free_names(df, "quality")
     return score(df, fit(df, text_col), text_col, name=name).where(F.col(name) >= least).drop(name)
 
 

@@ -538,6 +538,60 @@ def test_license_of_null_ids(spark):
 # pipeline --------------------------------------------------------------------
 
 
+ODD_NAMES = ["__id", "__did", "__gone", "__text", "deleted_lines", "did", "tk", "gone", "key", "rk", "rep", "node", "quality", "k0", "item_id", "component_id", "cluster"]
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_stage_on_odd_rows(spark, tmp_path, place):
+    """Each stage alone: nulls, empty and very long texts, repeated rows, columns of any
+    name, and no rows at all. No stage drops a clean text or changes other columns."""
+    name, stage = corpus_pipeline.STAGES[place]
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne") for b in ("ra", "so", "ti", "vu", "we")]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    page = lambda: "\n".join(line(rng.randint(6, 14)) for _ in range(8))
+    same, item = page(), line(30)
+    texts = [page() for _ in range(40)]
+    rows = [*enumerate(texts), (None, page()), (None, same), (50, same), (51, same), (51, same), (52, None), (53, ""), (54, " \n "), (55, "\n".join(page() for _ in range(300))), (None, f"{page()}\n{item}"), (56, f"{page()}\n{item}")]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.withColumns({c: F.lit(c) for c in ODD_NAMES})
+    spark.createDataFrame([(0, item), (None, "no id here at all"), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = stage(spark, df, str(tmp_path))
+    assert stage(spark, df.where("false"), str(tmp_path)).count() == 0
+    got = out.collect()
+    if name == "bpe":
+        assert len(got) == len(rows) and {r["n_tokens"] for r in got if r["doc_id"] in (52, 53)} == {0}
+        return
+    assert out.columns == df.columns and all(r[c] == c for r in got for c in ODD_NAMES)
+    kept = [(r["doc_id"], r["text"]) for r in got]
+    assert {(i, t) for i, t, *_ in rows if i is not None and (i < 40 or i == 55)} <= set(kept)
+    if name == "quality_classifier":
+        assert not {i for i, _ in kept} & {52, 53, 54} and len(kept) == len(rows) - 3
+    if name == "line_dedup":
+        # of one text under three ids the null one comes first; equal rows are one document
+        assert sorted(str(i) for i, t in kept if t == same) == ["None"] and (52, None) in kept and (53, "") in kept
+    if name == "jaccard_join":
+        assert [i for i, t in kept if t == same] == [50] and {52, 53, 54} <= {i for i, _ in kept}
+        assert len(kept) == len(rows) - 3
+    if name == "decontaminate":
+        assert not any(item in (t or "") for _, t in kept) and len(kept) == len(rows) - 2
+
+
+def test_one_of_each_without_ids(spark):
+    """Near copies without ids go like others; links through a text that only rows
+    without id have are kept."""
+    base = [f"w{i}" for i in range(120)]
+    near = lambda k: " ".join(base[:k] + ["other"] + base[k:])
+    rows = [(None, " ".join(base)), (None, near(30)), (None, near(30)), (7, near(60)), (3, near(90)), (None, "of its own"), (None, "of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(df).collect()
+    assert {r["component_id"] for r in got if r["n_shingles"] > 5} == {3}
+    assert sorted(map(str, (tuple(r) for r in jaccard_join.one_of_each(df).collect()))) == sorted(map(str, [(3, near(90)), (None, "of its own")]))
+    nameless = df.where("doc_id is null")
+    assert jaccard_join.one_of_each(nameless).count() == 2
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(9)
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne") for b in ("ra", "so", "ti", "vu", "we")]
