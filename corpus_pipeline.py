@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.llm import bpe, decontaminate, jaccard_join, line_dedup, quality
-from gridlark.llm._spark import stable
+from gridlark.llm._spark import free_names, shared_folder
+from gridlark.sources.files import Files
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -22,21 +23,22 @@ def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go; so do texts of which no word is left.
-    n_chars is brought up to date."""
-    out = line_dedup.dedup_lines(docs)
-    gone = (F.size("deleted_lines") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
-    out = out.where(~F.coalesce(gone, F.lit(False)))
+    n_chars is brought up to date. A column `deleted_lines` of the documents stays."""
+    mark, = free_names(docs, "gone")
+    own = docs.withColumnRenamed("deleted_lines", mark) if "deleted_lines" in docs.columns else docs
+    out = line_dedup.dedup_lines(own)
+    cut = F.size("deleted_lines") > 0
+    out = out.where(~F.coalesce(cut & (F.trim(F.regexp_replace("text", r"\s+", " ")) == ""), F.lit(False)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("deleted_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    out = out.drop("deleted_lines")
+    return (out.withColumnRenamed(mark, "deleted_lines") if mark in out.columns else out).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents (five-word shingles, similarity 0.8) the one with the
     smallest id stays; of rows that share id and text, one."""
-    found = jaccard_join.jaccard_components(docs, n=5, num=80, den=100)
-    copies = stable(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(copies, F.col("doc_id").cast("long") == F.col("__id"), "left_anti").dropDuplicates(["doc_id", "text"])
+    return jaccard_join.one_of_each(docs, n=5, num=80, den=100)
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +64,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written as Parquet and read again."""
-    stable(spark.range(1))  # sets a checkpoint folder where there is none
-    shared = spark.sparkContext.getCheckpointDir()
+    """All stages over `documents`, each written as Parquet and read again. What a
+    stage has written goes as soon as the next one is done; the last one's rows stay."""
+    shared = shared_folder(spark)
+    files = Files(spark)
+    before = None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            files.delete(before)
+        before = path
     return docs
