@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -73,9 +74,22 @@ class Dataset:
     # catalog -----------------------------------------------------------------
 
     def header(self) -> list[Row]:
-        """Header entries in order of files, tables and columns."""
+        """Header entries in order of files, tables and columns; read once."""
+        return list(self._header)
+
+    @cached_property
+    def _header(self) -> list[Row]:
         return self.variables.orderBy("file_id", "table_pos", "table", "pos", "id").collect()
 
+    @cached_property
+    def _dated(self) -> set[str]:
+        """Tables whose rows have stamps."""
+        return {r["table"] for r in self.steps.groupBy("table").agg(F.count("ts").alias("n")).where("n > 0").collect()}
+
+    def with_size(self, head: DataFrame, bound: int = 1_000_000) -> DataFrame:
+        """A part of the header, to be broadcast if the whole is within the bound."""
+        return F.broadcast(head) if len(self._header) <= bound else head
+
     def sorted_header(self, table: str, *by: str) -> list[Row]:
         """Columns of a table in the order of header levels, ids last."""
         rows = [r for r in self.header() if r["table"] == table]
@@ -91,7 +105,7 @@ class Dataset:
         return ("id", "table", "key", "units") if self.is_simple(table) else ("id", "table", "key", "type", "units")
 
     def is_datetime(self, table: str) -> bool:
-        return self.steps.where((F.col("table") == table) & F.col("ts").isNotNull()).limit(1).count() > 0
+        return table in self._dated
 
     def datetime_index(self, table: str) -> DataFrame | None:
         """Stamps of a table's rows, in order of row_ix; None if it has none."""
@@ -130,12 +144,7 @@ class Dataset:
         head = self.variables.where(F.col("table") == table).select("file_id", "table", "id", "key", "type", "units")
         value = self.results.where(F.col("table") == table).select("file_id", "table", "id", "row_ix", "value", F.lit(None).cast("string").alias("text"))
         text = self.texts.where(F.col("table") == table).select("file_id", "table", "id", "row_ix", F.lit(None).cast("double").alias("value"), F.col("value").alias("text"))
-        return self.steps.where(F.col("table") == table).join(value.unionByName(text), ["file_id", "table", "row_ix"]).join(F.broadcast(head) if self._small(head) else head, ["file_id", "table", "id"])
-
-    @staticmethod
-    def _small(head: DataFrame, bound: int = 1_000_000) -> bool:
-        """Whether a header is within the bound for a broadcast; checked by counting."""
-        return head.limit(bound + 1).count() <= bound
+        return self.steps.where(F.col("table") == table).join(value.unionByName(text), ["file_id", "table", "row_ix"]).join(self.with_size(head), ["file_id", "table", "id"])
 
     def __repr__(self) -> str:
         rows = self.header()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridlark import model
 from gridlark.dataset import Dataset
 from gridlark.model import NoResults
 
@@ -118,7 +119,7 @@ def totals(ds: Dataset) -> Dataset:
         raise NoResults("no variables to make totals of")
     of = head.select("file_id", "table", "id", *keys[2:]).join(groups.select(*keys, "new_id"), keys)
     averaged = F.col("units").isin(*AVERAGED_UNITS)
-    made = ds.results.join(F.broadcast(of) if ds._small(of) else of, ["file_id", "table", "id"]).groupBy("file_id", "table", "new_id", "row_ix", "ts").agg(F.avg("value").alias("mean"), F.sum("value").alias("sum"), F.max(averaged).alias("averaged"))
+    made = ds.results.join(ds.with_size(of), ["file_id", "table", "id"]).groupBy("file_id", "table", "new_id", "row_ix", "ts").agg(F.avg("value").alias("mean"), F.sum("value").alias("sum"), F.max(averaged).alias("averaged"))
     results = made.select("file_id", "table", F.col("new_id").alias("id"), "row_ix", "ts", F.when(F.col("averaged"), F.col("mean")).otherwise(F.coalesce("sum", F.lit(0.0))).alias("value"))
     variables = groups.select("file_id", "table", "table_pos", F.col("new_id").alias("id"), F.col("pos").cast("int").alias("pos"), F.lit(False).alias("is_simple"), F.col("group_key").alias("key"), F.col("group_type").alias("type"), "units")
     live = variables.select("file_id", "table").distinct()
@@ -131,31 +132,29 @@ def diff(ds: Dataset, first: int, second: int, file_id: int = 0) -> Dataset:
     one kind; variables without a difference left go. Ids run from 0. Special
     columns stay if both files have them equal on the shared rows."""
     a, b = ds.file(first), ds.file(second)
-    level = ["table", "is_simple", "key", "type", "units"]
-    ha = a.variables.select("id", "table_pos", "pos", *level)
-    hb = b.variables.select(F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in level])
-    cond = F.lit(True)
-    for c in level:
-        cond &= F.col(c).eqNullSafe(F.col(f"{c}_b"))
-    pairs = ha.join(hb, cond).select("id", "id_b", "table_pos", "pos", *level)
-    ra = a.results.select("table", "id", "row_ix", "ts", F.col("value").alias("x"))
-    rb = b.results.select(F.col("table").alias("table_b"), F.col("id").alias("id_b"), F.col("row_ix").alias("row_b"), F.col("ts").alias("ts_b"), F.col("value").alias("y"))
-    small = F.broadcast(pairs.select("table", "id", "id_b")) if ds._small(pairs) else pairs.select("table", "id", "id_b")
-    left = ra.join(small, ["table", "id"]).withColumn("at", _row_key("ts", "row_ix"))
-    right = rb.withColumn("at_b", _row_key("ts_b", "row_b"))
-    rows = left.join(right, (left["table"] == right["table_b"]) & (left["id_b"] == right["id_b"]) & (left["at"] == right["at_b"])).select("table", "id", "row_ix", "ts", (F.col("x") - F.col("y")).alias("value"))
-    live = rows.where("value is not null").select("table", "id").distinct()
-    kept = pairs.join(live, ["table", "id"])
-    kept = kept.withColumn("new_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("table_pos", "table", "pos")) - 1)  # metadata: a row a variable
-    if kept.limit(1).count() == 0:
+    level = ("table", "is_simple", "key", "type", "units")
+    # headers are metadata; pairs and ids are made of what has been read
+    other: dict[tuple, list[int]] = {}
+    for r in b.header():
+        other.setdefault(tuple(r[c] for c in level), []).append(r["id"])
+    pairs = [(r, i) for r in a.header() for i in other.get(tuple(r[c] for c in level), [])]
+    small = len(pairs) <= 1_000_000
+    ids = ds.spark.createDataFrame([(r["table"], r["id"], i) for r, i in pairs], "table string, id int, id_b int")
+    ra = a.results.select("table", "id", "row_ix", "ts", F.col("value").alias("x")).withColumn("at", _row_key("ts", "row_ix"))
+    rb = b.results.select("table", F.col("id").alias("id_b"), _row_key("ts", "row_ix").alias("at"), F.col("value").alias("y"))
+    rows = ra.join(F.broadcast(ids) if small else ids, ["table", "id"]).join(rb, ["table", "id_b", "at"]).select("table", "id", "id_b", "row_ix", "ts", (F.col("x") - F.col("y")).alias("value"))
+    live = {(r["table"], r["id"], r["id_b"]) for r in rows.where("value is not null").select("table", "id", "id_b").distinct().collect()}
+    kept = [(n, r, i) for n, (r, i) in enumerate((r, i) for r, i in pairs if (r["table"], r["id"], i) in live)]
+    if not kept:
         raise NoResults("the files share no variables and rows")
-    ids = kept.select("table", "id", "new_id")
-    results = rows.join(F.broadcast(ids) if ds._small(ids) else ids, ["table", "id"]).select(F.lit(file_id).alias("file_id"), "table", F.col("new_id").alias("id"), "row_ix", "ts", "value")
-    variables = kept.select(F.lit(file_id).alias("file_id"), "table", "table_pos", F.col("new_id").alias("id"), "pos", "is_simple", "key", "type", "units")
+    new = ds.spark.createDataFrame([(r["table"], r["id"], i, n) for n, r, i in kept], "table string, id int, id_b int, new_id int")
+    results = rows.join(F.broadcast(new) if small else new, ["table", "id", "id_b"]).select(F.lit(file_id).alias("file_id"), "table", F.col("new_id").alias("id"), "row_ix", "ts", "value")
+    variables = ds.spark.createDataFrame([(file_id, r["table"], r["table_pos"], n, r["pos"], r["is_simple"], r["key"], r["type"], r["units"]) for n, r, _ in kept], model.VARIABLES)
+    tables = ds.spark.createDataFrame([(t,) for t in sorted({r["table"] for _, r, _ in kept})], "table string")
     named = {r["file_id"]: r["file_name"] for r in ds.files.where(F.col("file_id").isin(first, second)).collect()}
     name = f"{named.get(first)} - {named.get(second)} - diff"
     files = ds.files.where(F.col("file_id") == first).withColumn("file_id", F.lit(file_id)).withColumn("file_name", F.lit(name)).withColumn("file_type", F.lit("diff"))
-    return Dataset.of(ds.spark, files=files, variables=variables, results=results, steps=shared_steps(a, b, kept.select("table").distinct(), file_id))
+    return Dataset.of(ds.spark, files=files, variables=variables, results=results, steps=shared_steps(a, b, tables, file_id))
 
 
 def _row_key(ts: str, row_ix: str) -> Column:

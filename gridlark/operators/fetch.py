@@ -30,24 +30,24 @@ def values(ds: Dataset, table: str, ids: Sequence[int] | None = None, start: Sta
     if ids is not None:
         rows, head = rows.where(F.col("id").isin(list(ids))), head.where(F.col("id").isin(list(ids)))
     head = head.select("file_id", "id", "key", "type", "units", "pos")
-    out = rows.join(F.broadcast(head) if ds._small(head) else head, ["file_id", "id"])
+    out = rows.join(ds.with_size(head), ["file_id", "id"])
     if ids is not None and ordered:
         return out.withColumn("ord", F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("id")).cast("int") - 1).drop("pos")
     return out.withColumnRenamed("pos", "ord")
 
 
 def global_peak(df: DataFrame, largest: bool = True, by: Sequence[str] = ("file_id", "table", "id")) -> DataFrame:
-    """Largest or smallest value of each variable and the stamp of its first
-    occurrence; a variable without values keeps a row of nulls."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    """Largest or smallest value of each variable, the stamp of its first occurrence and
+    its row; a variable without values keeps a row of nulls."""
+    micros = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.col("row_ix"))
     value = F.nanvl("value", F.lit(None).cast("double"))
     if largest:
         key = F.when(value.isNotNull(), F.struct(value.alias("v"), (-micros).alias("m")))
-        pair = (F.max(value).alias("value"), F.max_by(F.col("ts"), key).alias("ts"))
+        pair = (F.max(value).alias("value"), F.max_by(F.struct("ts", "row_ix"), key).alias("at"))
     else:
         key = F.when(value.isNotNull(), F.struct(value.alias("v"), micros.alias("m")))
-        pair = (F.min(value).alias("value"), F.min_by(F.col("ts"), key).alias("ts"))
-    return df.groupBy(*by).agg(*pair)
+        pair = (F.min(value).alias("value"), F.min_by(F.struct("ts", "row_ix"), key).alias("at"))
+    return df.groupBy(*by).agg(*pair).select(*by, "value", F.col("at.ts").alias("ts"), F.col("at.row_ix").alias("peak_row"))
 
 
 def local_peaks(ds: Dataset, table: str, ids: Sequence[int] | None, largest: bool, start: Stamp = None, end: Stamp = None) -> DataFrame:
@@ -63,7 +63,7 @@ def filled(ds: Dataset, table: str) -> DataFrame:
     """A row for each variable and step of a table, null where there is no value."""
     steps = ds.steps.where(F.col("table") == table).select("file_id", "table", "row_ix", "ts")
     head = ds.variables.where(F.col("table") == table).select("file_id", "table", "id")
-    grid = steps.join(F.broadcast(head) if ds._small(head) else head, ["file_id", "table"])
+    grid = steps.join(ds.with_size(head), ["file_id", "table"])
     rows = ds.results.where(F.col("table") == table).select("file_id", "table", "id", "row_ix", "value")
     return grid.join(rows, ["file_id", "table", "id", "row_ix"], "left").select("file_id", "table", "id", "row_ix", "ts", "value")
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,6 +29,14 @@ def matches(request: Request, part_match: bool = False) -> Column:
     return out
 
 
+def hit(request: Request, row: Row, part_match: bool = False) -> bool:
+    """The same condition on an entry that has been read."""
+    if row["is_simple"] != isinstance(request, SimpleVariable):
+        return False
+    asked = [(str(v).lower(), (row[level] or "").lower()) for level, v in request._asdict().items() if v is not None]
+    return all(text in low if part_match else text == low for text, low in asked)
+
+
 def find(ds: Dataset, requests: Sequence[Request], part_match: bool = False) -> DataFrame:
     """`variables` rows of all requests with `req_no`; a row is given once for
     each request that it matches. To be ordered by req_no and id."""
@@ -58,10 +65,11 @@ def table_ids(ds: Dataset, wanted: Sequence[Request | int] | Request | int, part
         return with_ids(by_id[w] for w in wanted)
     if not all(isinstance(w, Variable | SimpleVariable) for w in wanted):
         raise TypeError("variables are asked for by Variable, SimpleVariable or id, all of one kind")
-    found = find(ds, wanted, part_match).orderBy("req_no", "id").collect()
-    for i in sorted(set(range(len(wanted))) - {r["req_no"] for r in found}):
+    head = sorted(ds.header(), key=lambda r: r["id"])
+    found = [(i, r) for i, w in enumerate(wanted) for r in head if hit(w, r, part_match)]
+    for i in sorted(set(range(len(wanted))) - {i for i, _ in found}):
         log.warning("not found: %s", wanted[i])
-    return with_ids(found)
+    return with_ids(r for _, r in found)
 
 
 def renamed_duplicates(variables: DataFrame) -> DataFrame:
@@ -107,7 +115,3 @@ def without_empty(ds: Dataset) -> Dataset:
     live = some.unionByName(texts)
     on = ["file_id", "table", "id"]
     return Dataset(ds.files, ds.variables.join(live, on, "left_semi"), ds.steps, ds.results.join(live, on, "left_semi"), ds.texts.join(live, on, "left_semi"), ds.peaks.join(live, on, "left_semi"))
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -149,7 +149,7 @@ def equal(a: Dataset, b: Dataset, relative: float = 1e-5, absolute: float = 1e-8
         head = x.variables.select("table", "id", F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in level]).alias("name"))
         at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.col("row_ix"))
         rows = x.results.where("value is not null").select("table", "id", at.alias("at"), F.col("value").alias(side))
-        return rows.join(F.broadcast(head) if x._small(head) else head, ["table", "id"]).select("name", "at", side)
+        return rows.join(x.with_size(head), ["table", "id"]).select("name", "at", side)
 
     both = named(a, "x").join(named(b, "y"), ["name", "at"], "full")
     apart = F.col("x").isNull() | F.col("y").isNull() | (F.abs(F.col("x") - F.col("y")) > absolute + relative * F.abs("y"))

@@ -37,7 +37,15 @@ d1 as (select cast(d as timestamp) as ts, cast(100 + b * 3 + f as int) as id, ca
 d2 as (select cast(d as timestamp) as ts, cast(100 + b * 3 + f as int) as id, cast(sum(p) as double) as value from li where s = 'O' group by 1, 2),
 h as (select cast(date_trunc('hour', ts) as timestamp) as ts, case event_type when 'click' then 201 when 'error' then 202 when 'purchase' then 203 when 'signup' then 204 else 205 end as id,
              cast(sum(cast(value as decimal(18,2))) as double) as value from events group by 1, 2),
-o as (select cast(cast(o_orderdate as date) as timestamp) as ts, 300 + cast(substr(o_orderpriority, 1, 1) as int) as id, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as value from orders group by 1, 2)
+o as (select cast(cast(o_orderdate as date) as timestamp) as ts, 300 + cast(substr(o_orderpriority, 1, 1) as int) as id, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as value from orders group by 1, 2),
+mi as (select 1 + unnest(range(12)) as id), di as (select 101 + unnest(range(12)) as id), hi as (select 201 + unnest(range(5)) as id), oi as (select 301 + unnest(range(5)) as id),
+m1t as (select cast(unnest(generate_series(min(ts), max(ts), interval 1 month)) as timestamp) as ts from m1), m2t as (select cast(unnest(generate_series(min(ts), max(ts), interval 1 month)) as timestamp) as ts from m2),
+d1t as (select cast(unnest(generate_series(min(ts), max(ts), interval 1 day)) as timestamp) as ts from d1), d2t as (select cast(unnest(generate_series(min(ts), max(ts), interval 1 day)) as timestamp) as ts from d2),
+ht as (select cast(unnest(generate_series(min(ts), max(ts), interval 1 hour)) as timestamp) as ts from h), ot as (select cast(unnest(generate_series(min(ts), max(ts), interval 1 day)) as timestamp) as ts from o),
+m1g as (select ts, cast(id as int) as id, value from m1t cross join mi left join m1 using (ts, id)), m2g as (select ts, cast(id as int) as id, value from m2t cross join mi left join m2 using (ts, id)),
+d1g as (select ts, cast(id as int) as id, value from d1t cross join di left join d1 using (ts, id)), d2g as (select ts, cast(id as int) as id, value from d2t cross join di left join d2 using (ts, id)),
+hg as (select ts, cast(id as int) as id, value from ht cross join hi left join h using (ts, id)), og as (select ts, cast(id as int) as id, value from ot cross join oi left join o using (ts, id)),
+pg as (select p_partkey as row_ix, 402 as id, cast(p_size as double) as value from part union all select p_partkey, 403, p_retailprice from part)
 """
 
 
@@ -85,16 +93,16 @@ def table_id_map(spark, sf_dir):
     return spark.createDataFrame([(t, n, i) for t, ids in found.items() for n, i in enumerate(ids)], "table string, pos int, id int")
 
 
-@query("""select ts, key, type, 'kWh' as units, value * cast('0.000277777777777778e-3' as double) as value from m1 join v using (id)
+@query("""select ts, key, type, 'kWh' as units, value * cast('0.000277777777777778e-3' as double) as value from m1g join v using (id)
  where file_id = 1 and "table" = 'monthly' and contains(key, 'BLOCK1') and units = 'J' and ts between timestamp '1996-04-10' and timestamp '1996-08-10'""")
 def date_slice(spark, sf_dir):
     out = get_results(_one(spark, sf_dir), [Variable("monthly", "block1", None, "J")], "1996-04-10", "1996-08-10", part_match=True, energy_units="kWh", layout="long")
-    return out.where("value is not null").select("ts", "key", "type", "units", "value")
+    return out.select("ts", "key", "type", "units", "value")
 
 
-@query("select cast(list_position([7, 1, 4], id) - 1 as int) as ord, id, ts, value from m1 where id in (7, 1, 4)")
+@query("select cast(list_position([7, 1, 4], id) - 1 as int) as ord, id, ts, value from m1g where id in (7, 1, 4)")
 def select_ids_ordered(spark, sf_dir):
-    return fetch.values(_one(spark, sf_dir), "monthly", [7, 1, 4]).where("value is not null").select("ord", "id", "ts", "value")
+    return fetch.values(_one(spark, sf_dir), "monthly", [7, 1, 4]).select("ord", "id", "ts", "value")
 
 
 @query("select ts, cast(day(last_day(ts)) as int) as n_days from (select cast(unnest(generate_series(min(ts), max(ts), interval 1 month)) as timestamp) as ts from m1)")
@@ -102,20 +110,22 @@ def special_columns(spark, sf_dir):
     return _one(spark, sf_dir).special_column("monthly", "n_days").select("ts", "n_days")
 
 
-_ALL = """, a as (select 'monthly' as "table", * from m1 union all select 'daily', * from d1 union all select 'hourly', * from h union all select 'orders', * from o)"""
+_ALL = """, a as (select 'monthly' as "table", *, cast(null as bigint) as row_ix from m1 union all select 'daily', *, null from d1 union all select 'hourly', *, null from h union all select 'orders', *, null from o
+ union all select 'parts', cast(null as timestamp), id, value, row_ix from pg)"""
 
 
 def _global(spark, sf_dir, largest):
-    rows = _one(spark, sf_dir).results.where("table <> 'parts'")
-    return fetch.global_peak(rows, largest).select("table", "id", "value", "ts")
+    peaks = fetch.global_peak(_one(spark, sf_dir).results, largest)
+    # tables without stamps have the place of a peak in their index
+    return peaks.select("table", "id", "value", "ts", F.when(F.col("ts").isNull(), F.col("peak_row")).alias("peak_row"))
 
 
-@query(_ALL + """ select "table", id, value, ts from (select *, row_number() over (partition by "table", id order by value desc, ts) as n from a) where n = 1""")
+@query(_ALL + """ select "table", id, value, ts, row_ix as peak_row from (select *, row_number() over (partition by "table", id order by value desc, ts, row_ix) as n from a) where n = 1""")
 def global_max(spark, sf_dir):
     return _global(spark, sf_dir, True)
 
 
-@query(_ALL + """ select "table", id, value, ts from (select *, row_number() over (partition by "table", id order by value, ts) as n from a) where n = 1""")
+@query(_ALL + """ select "table", id, value, ts, row_ix as peak_row from (select *, row_number() over (partition by "table", id order by value, ts, row_ix) as n from a) where n = 1""")
 def global_min(spark, sf_dir):
     return _global(spark, sf_dir, False)
 
@@ -128,107 +138,109 @@ def local_peaks(spark, sf_dir):
 
 
 def _hourly(spark, sf_dir, **options):
-    return get_results(_one(spark, sf_dir), [Variable("hourly", None, None, None)], layout="long", **options).where("value is not null").select("id", "ts", "units", "value")
+    return get_results(_one(spark, sf_dir), [Variable("hourly", None, None, None)], layout="long", **options).select("id", "ts", "units", "value")
 
 
 @query("""select id, ts, case units when 'J' then 'MJ' else units end as units, case units when 'J' then value * cast('1e-6' as double) else value end as value
- from h join v using (id)""")
+ from hg join v using (id)""")
 def convert_energy(spark, sf_dir):
     return _hourly(spark, sf_dir, energy_units="MJ")
 
 
 @query("""select id, ts, case units when 'W' then 'kBtu/h' when 'W/m2' then 'kBtu/h-ft2' else units end as units,
- case units when 'W' then value * cast('3.4121412858518e-3' as double) when 'W/m2' then value * (cast('3.4121412858518e-3' as double) / cast('10.7639104167097' as double)) else value end as value from h join v using (id)""")
+ case units when 'W' then value * cast('3.4121412858518e-3' as double) when 'W/m2' then value * (cast('3.4121412858518e-3' as double) / cast('10.7639104167097' as double)) else value end as value from hg join v using (id)""")
 def convert_rate(spark, sf_dir):
     return _hourly(spark, sf_dir, rate_units="kBtu/h")
 
 
 @query("""select id, ts, case units when 'C' then 'F' when 'W/m2' then 'W/sqf' else units end as units,
- case units when 'C' then value * cast('1.8' as double) + 32 when 'W/m2' then value * (cast(1 as double) / cast('10.7639104167097' as double)) else value end as value from h join v using (id)""")
+ case units when 'C' then value * cast('1.8' as double) + 32 when 'W/m2' then value * (cast(1 as double) / cast('10.7639104167097' as double)) else value end as value from hg join v using (id)""")
 def convert_ip(spark, sf_dir):
     return _hourly(spark, sf_dir, units_system="IP")
 
 
 @query("""select id, ts, case units when 'W' then 'J' when 'W/m2' then 'J/m2' else units end as units, case when units in ('W', 'W/m2') then value * 3600 else value end as value
- from h join v using (id)""")
+ from hg join v using (id)""")
 def rate_to_energy_hourly(spark, sf_dir):
     return _hourly(spark, sf_dir, rate_to_energy=True)
 
 
 @query("""select id, ts, case units when 'W' then 'J' else units end as units, case when units = 'W' then value * (day(last_day(ts)) * cast(86400 as double)) else value end as value
- from m1 join v using (id) where file_id = 1 and "table" = 'monthly'""")
+ from m1g join v using (id) where file_id = 1 and "table" = 'monthly'""")
 def rate_to_energy_monthly(spark, sf_dir):
     out = get_results(_one(spark, sf_dir), [Variable("monthly", None, None, None)], rate_to_energy=True, layout="long")
-    return out.where("value is not null").select("id", "ts", "units", "value")
+    return out.select("id", "ts", "units", "value")
 
 
 @query("""select coalesce(a.ts, b.ts) as ts, a.value as monthly_value, b.value as daily_value from
- (select unnest(generate_series(min(ts), max(ts), interval 1 day)) as ts from d1) g left join (select * from d1 where id = 101) b on b.ts = g.ts
- full join (select * from m1 where id = 1) a on a.ts = g.ts where coalesce(a.value, b.value) is not null""")
+ (select * from d1g where id = 101) b
+ full join (select * from m1g where id = 1) a on a.ts = b.ts""")
 def align_tables(spark, sf_dir):
     out = get_results(_one(spark, sf_dir), [Variable("monthly", "BLOCK0:ZONE1", "A", "J"), Variable("daily", "BLOCK0:ZONE1", "A", "J")], table_formatter=TableFormatter(None, include_table_name=True))
     a, b = (F.col(f"`{t}|BLOCK0:ZONE1|A|J`") for t in ("monthly", "daily"))
-    return out.select(F.col("timestamp").alias("ts"), a.alias("monthly_value"), b.alias("daily_value")).where("coalesce(monthly_value, daily_value) is not null")
+    return out.select(F.col("timestamp").alias("ts"), a.alias("monthly_value"), b.alias("daily_value"))
 
 
-@query("select coalesce(a.ts, b.ts) as ts, a.value as value1, b.value as value2 from (select * from m1 where id = 5) a full join (select * from m2 where id = 5) b on a.ts = b.ts")
+@query("select coalesce(a.ts, b.ts) as ts, a.value as value1, b.value as value2 from (select * from m1g where id = 5) a full join (select * from m2g where id = 5) b on a.ts = b.ts")
 def align_files(spark, sf_dir):
     ds = load(spark, sf_dir)
     out = get_results([ds.file(1), ds.file(2)], [Variable("monthly", "BLOCK1:ZONE1", "N", "W")], table_formatter=TableFormatter("column"))
     out = out.select(F.col("timestamp").alias("ts"), F.col("`file1|BLOCK1:ZONE1|N|W`").alias("value1"), F.col("`file2|BLOCK1:ZONE1|N|W`").alias("value2"))
-    return out.where("value1 is not null or value2 is not null")
+    return out
 
 
-@query("select ts, case when day(ts) = 1 then 'Holiday' else dayname(ts) end as day, value from d1 where id = 102")
+@query("select ts, case when day(ts) = 1 then 'Holiday' else dayname(ts) end as day, value from d1g where id = 102")
 def include_day(spark, sf_dir):
     ds = _one(spark, sf_dir)
-    return fetch.with_day(ds, fetch.values(ds, "daily", [102])).where("value is not null").select("ts", "day", "value")
+    return fetch.with_day(ds, fetch.values(ds, "daily", [102])).select("ts", "day", "value")
 
 
-@query("select strftime(ts, '%d/%m/%Y at %H:%M') as at, value from h where id = 201")
+@query("select strftime(ts, '%d/%m/%Y at %H:%M') as at, value from hg where id = 201")
 def timestamp_format(spark, sf_dir):
     out = get_results(_one(spark, sf_dir), [Variable("hourly", "SITE", "click", "W")], table_formatter=TableFormatter(None, timestamp_format="%d/%m/%Y at %H:%M"))
-    return out.select(F.col("timestamp").alias("at"), F.col("`SITE|click|W`").alias("value")).where("value is not null")
+    return out.select(F.col("timestamp").alias("at"), F.col("`SITE|click|W`").alias("value"))
 
 
-@query("select 'file1' as file, ts, value from m1 where id = 3 union all select 'file2', ts, value from m2 where id = 3")
+@query("select 'file1' as file, ts, value from m1g where id = 3 union all select 'file2', ts, value from m2g where id = 3")
 def file_name_row(spark, sf_dir):
     ds = load(spark, sf_dir)
     out = get_results([ds.file(1), ds.file(2)], [Variable("monthly", "BLOCK0:ZONE1", "R", "C")])
-    return out.select("file", F.col("timestamp").alias("ts"), F.col("`BLOCK0:ZONE1|R|C`").alias("value")).where("value is not null")
+    return out.select("file", F.col("timestamp").alias("ts"), F.col("`BLOCK0:ZONE1|R|C`").alias("value"))
 
 
 def _aggregated(spark, sf_dir, request, func):
     ds, new, _ = aggregate.aggregate_variables(_one(spark, sf_dir), [request], func)
-    return ds.results.where(F.col("id") == new).where("value is not null"), ds.variables.where(F.col("id") == new)
+    return ds.results.where(F.col("id") == new), ds.variables.where(F.col("id") == new)
 
 
-@query("select ts, 100 as id, cast(sum(cast(value as decimal(18,2))) as double) as value from m1 where id in (1, 4, 7, 10) group by ts")
+@query("select ts, 100 as id, coalesce(cast(sum(cast(value as decimal(18,2))) as double), 0) as value from m1g where id in (1, 4, 7, 10) group by ts")
 def aggregate_sum(spark, sf_dir):
     rows, _ = _aggregated(spark, sf_dir, Variable("monthly", None, "A", "J"), "sum")
     return rows.select("ts", "id", F.col("value").cast("decimal(18,2)").cast("double").alias("value"))
 
 
-@query("select ts, round(avg(value), 6) as value from m1 where id in (3, 6, 9, 12) group by ts")
+@query("select ts, round(avg(value), 6) as value from m1g where id in (3, 6, 9, 12) group by ts")
 def aggregate_mean(spark, sf_dir):
     rows, _ = _aggregated(spark, sf_dir, Variable("monthly", None, "R", "C"), "mean")
     return rows.select("ts", F.round("value", 6).alias("value"))
 
 
-@query("""select ts, max(case when id = 201 then value * 3600 else value end) as value, 'J' as units, 'Custom Key - max' as key, 'Custom Type' as type from h where id in (201, 202) group by ts""")
+@query("""select ts, max(case when id = 201 then value * 3600 else value end) as value, 'J' as units, 'Custom Key - max' as key, 'Custom Type' as type from hg where id in (201, 202) group by ts""")
 def aggregate_energy_rate(spark, sf_dir):
     ds, new, _ = aggregate.aggregate_variables(_one(spark, sf_dir), [Variable("hourly", "SITE", "click", "W"), Variable("hourly", "SITE", "error", "J")], "max")
     head = ds.variables.where(F.col("id") == new).select("id", "units", "key", "type")
-    return ds.results.where(F.col("id") == new).where("value is not null").join(F.broadcast(head), "id").select("ts", "value", "units", "key", "type")
+    return ds.results.where(F.col("id") == new).join(F.broadcast(head), "id").select("ts", "value", "units", "key", "type")
 
 
-@query("""select "table", ts, key, units, round(case when units = 'J' then sum(value) else avg(value) end, 4) as value from (
-  select 'monthly' as "table", * from m1 union all select 'daily', * from d1) x join (select id, type as key, units from v where file_id = 1 and "table" in ('monthly', 'daily')) w using (id) group by 1, 2, 3, 4""")
+@query("""select cast(g.new_id as int) as id, x."table", x.ts, x.row_ix, w.type as key, w.units, round(case when w.units = 'J' then coalesce(sum(x.value), 0) else avg(x.value) end, 4) as value from (
+  select 'monthly' as "table", *, cast(null as bigint) as row_ix from m1g union all select 'daily', *, null from d1g union all select 'hourly', *, null from hg union all select 'parts', null, id, value, row_ix from pg) x
+ join (select id, "table", type, units from v where file_id = 1) w using (id)
+ join (select "table", type, row_number() over (order by table_pos, min(id)) as new_id from v where file_id = 1 and not is_simple and id <> 401 group by "table", table_pos, type) g on g."table" = x."table" and g.type = w.type
+ where w."table" = x."table" group by 1, 2, 3, 4, 5, 6""")
 def totals(spark, sf_dir):
     ds = derive.totals(_one(spark, sf_dir))
-    rows = ds.results.where("table in ('daily', 'monthly')").join(F.broadcast(ds.variables.select("table", "id", "key", "units")), ["table", "id"])
-    # a sum of no values is 0 and a mean null; only steps with values are compared
-    return rows.where("value is not null and value <> 0").select("table", "ts", "key", "units", F.round("value", 4).alias("value"))
+    rows = ds.results.join(F.broadcast(ds.variables.select("table", "id", "key", "units")), ["table", "id"])  # a row a group
+    return rows.select("id", "table", "ts", F.when(F.col("ts").isNull(), F.col("row_ix")).alias("row_ix"), "key", "units", F.round("value", 4).alias("value"))
 
 
 @query("""select p_partkey as id, case when p_brand = 'Brand#1' then 'Windows' when split_part(p_type, ' ', 1) = 'ECONOMY' then 'Meter' else split_part(p_type, ' ', 1) end as group_key,
@@ -240,11 +252,14 @@ def totals_grouping(spark, sf_dir):
     return derive.grouped(head).select("id", "group_key", "group_type")
 
 
-@query("select a.ts, key, type, round(a.value - b.value, 2) as value from m1 a join m2 b on a.id = b.id and a.ts = b.ts join v on v.id = a.id and file_id = 1 and \"table\" = 'monthly'")
+@query("""select cast(n.new_id as int) as id, w."table", x.ts, w.key, w.type, round(x.value, 2) as value from (
+  select a.ts, a.id, a.value - b.value as value from m1g a join m2g b on a.id = b.id and a.ts = b.ts union all select a.ts, a.id, a.value - b.value from d1g a join d2g b on a.id = b.id and a.ts = b.ts) x
+ join (select * from v where file_id = 1 and "table" in ('daily', 'monthly')) w using (id)
+ join (select id, row_number() over (order by id <= 100, id) - 1 as new_id from (select distinct a.id from m1 a join m2 b on a.id = b.id and a.ts = b.ts union select distinct a.id from d1 a join d2 b on a.id = b.id and a.ts = b.ts)) n using (id)""")
 def diff(spark, sf_dir):
     ds = derive.diff(load(spark, sf_dir), 1, 2)
-    rows = ds.results.where("table = 'monthly'").join(F.broadcast(ds.variables.where("table = 'monthly'").select("id", "key", "type")), "id")
-    return rows.where("value is not null").select("ts", "key", "type", F.round("value", 2).alias("value"))
+    rows = ds.results.join(F.broadcast(ds.variables.select("table", "id", "key", "type")), ["table", "id"])  # a row a variable
+    return rows.select("id", "table", "ts", "key", "type", F.round("value", 2).alias("value"))
 
 
 @query("""select 'monthly' as "table", count(*) as "rows", true as day, true as n_days from (select unnest(generate_series(min(ts), max(ts), interval 1 month)) as ts from m1)
@@ -310,12 +325,15 @@ def year_wrap(spark, sf_dir):
     return tl.wrapped_year(rows, 2002, ["o_custkey"], "o_orderkey").select("o_orderkey", "year")
 
 
-@query("select ts, cast(day(last_day(ts)) as int) as n_days from (select cast(unnest(generate_series(min(ts), max(ts), interval 1 month)) as timestamp) as ts from m1)")
+@query("select \"table\", ts, n_days from (select 'monthly' as \"table\", ts, cast(day(last_day(ts)) as int) as n_days from m1t union all select 'annual', ts, case when year(ts) % 4 = 0 and (year(ts) % 100 <> 0 or year(ts) % 400 = 0) then 366 else 365 end from m1t union all select 'runperiod', ts, cast(date_diff('day', (select min(ts) from m1t), last_day(ts)) + 1 as int) from m1t)")
 def n_days_monthly(spark, sf_dir):
-    steps = _one(spark, sf_dir).steps.where("table = 'monthly'")
-    w = Window.partitionBy("file_id", "table").orderBy("row_ix")
-    cumulative = F.sum("n_days").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return steps.withColumn("c", cumulative).select("ts", tl.n_days(F.col("table"), F.col("ts"), F.col("c"), w).alias("n_days"))
+    """Days of steps of each kind from days counted since the first stamp, as files give them."""
+    steps = _one(spark, sf_dir).steps.where("table = 'monthly'").select("row_ix", "ts")
+    start = steps.agg(F.min("ts").alias("start"))
+    rows = steps.crossJoin(F.broadcast(start)).withColumn("c", F.datediff(F.last_day("ts"), "start") + 1)  # one row
+    rows = rows.withColumn("table", F.explode(F.array(*[F.lit(t) for t in ("monthly", "annual", "runperiod")])))
+    w = Window.partitionBy("table").orderBy("row_ix")
+    return rows.select("table", "ts", tl.n_days(F.col("table"), F.col("ts"), F.col("c"), w).alias("n_days"))
 
 
 @query("select 'monthly' as \"table\", ts, case when rn = 1 then (select min(ts) from h) else ts end as fixed from (select *, row_number() over (order by ts) as rn from (select cast(unnest(generate_series(min(ts), max(ts), interval 1 month)) as timestamp) as ts from m1))")
@@ -334,12 +352,12 @@ def interval_kinds(spark, sf_dir):
     return u.step_kinds(_one(spark, sf_dir).steps).select("table", "step_s", "is_hourly", "is_daily", "is_timestep")
 
 
-@query("select 100 as id, 'TWICE' as key, ts, value * 2 as value from m1 where id = 1")
+@query("select 100 as id, 'TWICE' as key, ts, value * 2 as value from m1g where id = 1")
 def insert_variable(spark, sf_dir):
     ds = _one(spark, sf_dir)
     rows = ds.results.where("table = 'monthly' and id = 1").select("row_ix", (F.col("value") * 2).alias("value"))
     ds, new, var = mutate.insert_variable(ds, Variable("monthly", "TWICE", "A", "J"), rows)
-    return ds.results.where(F.col("id") == new).where("value is not null").select("id", F.lit(var.key).alias("key"), "ts", "value")
+    return ds.results.where(F.col("id") == new).select("id", F.lit(var.key).alias("key"), "ts", "value")
 
 
 @query("select \"table\", id, case when \"table\" = 'hourly' and type = 'view' then 'PLACE' else key end as key, type, units from v where file_id = 1")
@@ -348,17 +366,17 @@ def rename_variable(spark, sf_dir):
     return ds.variables.select(*_HEAD)
 
 
-@query("select \"table\", id, ts, value from (select 'monthly' as \"table\", * from m1 union all select 'hourly', * from h) where not (\"table\" = 'monthly' and id in (1, 4, 7, 10)) and id <> 203")
+@query("""select "table", id, ts, value from (select 'monthly' as "table", * from m1g union all select 'hourly', * from hg union all select 'daily', * from d1g union all select 'orders', * from og union all select 'parts', null, id, value from pg) where not ("table" = 'monthly' and id in (1, 4, 7, 10)) and id <> 203""")
 def remove_variables(spark, sf_dir):
     ds = mutate.remove_variables(_one(spark, sf_dir), [Variable("monthly", None, "A", None), Variable("hourly", None, "purchase", None)])
-    return ds.results.where("table in ('monthly', 'hourly') and value is not null").select("table", "id", "ts", "value")
+    return ds.results.select("table", "id", "ts", "value")
 
 
-@query("select \"table\", ts, value from (select 'hourly' as \"table\", id, ts, value + 1 as value from h where id = 205)")
+@query("select \"table\", ts, value from (select 'hourly' as \"table\", id, ts, value + 1 as value from hg where id = 205)")
 def update_values(spark, sf_dir):
     ds = _one(spark, sf_dir)
     rows = ds.results.where("id = 205").select("row_ix", (F.col("value") + 1).alias("value"))
-    return mutate.update_values(ds, "hourly", 205, rows).results.where("id = 205 and value is not null").select("table", "ts", "value")
+    return mutate.update_values(ds, "hourly", 205, rows).results.where("id = 205").select("table", "ts", "value")
 
 
 @query('select file_id, "table", count(*) as n from v group by 1, 2')
@@ -372,11 +390,11 @@ def range_detect(spark, sf_dir):
     return fetch.range_index(steps).select("start", "stop", "step", "is_range")
 
 
-@query("select id, key, ts, value from o join v using (id) where is_simple and key in ('1-URGENT', '5-LOW')")
+@query("select id, key, ts, value from og join v using (id) where is_simple and key in ('1-URGENT', '5-LOW')")
 def simple_table(spark, sf_dir):
     ds = _one(spark, sf_dir)
     out = get_results(ds, [SimpleVariable("orders", "1-urgent", None), SimpleVariable("orders", "5-low", None)], layout="long")
-    return out.where("value is not null").select("id", "key", "ts", "value")
+    return out.select("id", "key", "ts", "value")
 
 
 @query("select p_partkey as row_ix, p_type as text, p_retailprice as value from part", model_sql=False)
