@@ -162,7 +162,7 @@ def _sets(batch: pa.RecordBatch, text: str, n: int):
 
 
 _LEAST_BITS = 512
-_WIDE, _FEW, _MANY = 64, 8, 4096
+_WIDE, _FEW, _MANY = 64, 8, 2048
 
 
 def _sketches(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.ListArray:

@@ -491,4 +491,5 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.size("deleted_lines").cast("long").alias("n_deleted"), "deleted_lines", "text")
+    gone = F.array_join(F.col("deleted_lines").cast("array<string>"), ",")
+    return dedup_lines(docs).select("doc_id", F.size("deleted_lines").cast("long").alias("n_deleted"), gone.alias("deleted"), "text")

@@ -58,6 +58,25 @@ select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(k.m, w.doc_id) as comp
 from w left join n using (doc_id) left join k on k.a = w.doc_id left join d on d.a = w.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_chat_format": _OP3, "op5_jaccard_join": _OP5}
+# Not by suffixes: of each line the shortest run of five words that begins or ends there,
+# as text; the union of those that have been before is that of all repeated runs.
+_OP9 = r"""
+with a as (select doc_id, string_split(text, chr(10)) as a from documents where text is not null),
+l as (select doc_id, a, unnest(range(len(a))) as i from a),
+w as (select doc_id, a, i, len(regexp_extract_all(a[i + 1], '[^\x20\x09-\x0D]+')) as n from l),
+r as (select *, sum(n) over (partition by doc_id order by i) as c, sum(n) over (partition by doc_id order by i) - n as b from w),
+up as (select doc_id, c * 1000000 + i as k, i from r),
+down as (select doc_id, b * 1000000 + i as k, i from r),
+f as (select x.doc_id, x.a, x.i as s, up.i as e from (select doc_id, a, i, (b + 5) * 1000000 as k from r) x asof join up on x.doc_id = up.doc_id and x.k <= up.k),
+g as (select x.doc_id, x.a, down.i as s, x.i as e from (select doc_id, a, i, (c - 5) * 1000000 + 999999 as k from r where c >= 5) x asof join down on x.doc_id = down.doc_id and x.k >= down.k),
+u as (select distinct doc_id, s, e, array_to_string(a[s + 1:e + 1], chr(10)) as t from (select * from f union all select * from g)),
+m as (select *, min((doc_id, s)) over (partition by t) as first from u),
+d as (select distinct doc_id, unnest(range(s, e + 1)) as i from m where (doc_id, s) <> first),
+k as (select r.doc_id, count(d.i) as n_deleted, coalesce(string_agg(cast(d.i as varchar), ',' order by d.i), '') as deleted,
+             coalesce(string_agg(r.a[r.i + 1], chr(10) order by r.i) filter (d.i is null), '') as text from r left join d on d.doc_id = r.doc_id and d.i = r.i group by 1)
+select doc_id, coalesce(n_deleted, 0) as n_deleted, coalesce(deleted, '') as deleted, k.text from documents left join k using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op9_line_dedup": _OP9, "op3_chat_format": _OP3, "op5_jaccard_join": _OP5}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
