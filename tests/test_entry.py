@@ -37,6 +37,11 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["ts", "key", "type", "units", "value"]
 
 
-@pytest.mark.parametrize("name", ["lookup_wildcard", "date_slice", "global_max", "rate_to_energy_monthly", "align_files", "totals", "diff", "aggregate_energy_rate", "missing_step_fill", "forward_fill_parse", "year_wrap"])
+QUERIES = """lookup_wildcard date_slice global_max rate_to_energy_monthly align_files totals diff aggregate_energy_rate missing_step_fill forward_fill_parse year_wrap
+ eso_hourly eso_peaks eso_long_steps header_parse sqlite_values sqlite_steps csv_values csv_header csv_texts row_classifier workbook_values storage_values storage_archive storage_files storage_change
+ units_all steps_an_hour aggregate_all guards local_min wide_with_ids_and_days totals_valid duplicates_found column_order annual_days names_and_ids insert_special file_changes file_delegates progress_sections diff_special_unequal simple_part_match""".split()
+
+
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, duck, name):
     assert plain(entry.queries()[name](spark, SF).toPandas()) == plain(duck.execute(entry.oracle_sql()[name]).df())

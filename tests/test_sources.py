@@ -210,3 +210,48 @@ def test_results_of_a_path(spark, tmp_path):
     write_eso(tmp_path / "a.eso")
     out = get_results(str(tmp_path / "a.eso"), Variable("daily", None, None, None), loader=lambda p, **o: reader.load(spark, p, **o))
     assert [round(r[2], 3) for r in out.orderBy("timestamp").collect()] == [value(9, n) for n in range(3)]
+
+
+def test_files_of_a_session(spark, tmp_path):
+    from gridlark.sources.files import Files
+
+    files, root = Files(spark), f"file:{tmp_path}/a"
+    files.write(f"{root}/x/y.txt", b"one")
+    files.write(f"{root}/x/y.txt", b"two")
+    assert files.read(f"{root}/x/y.txt") == b"two" and files.names(f"{root}/x") == ["y.txt"]
+    files.move(f"{root}/x", f"{root}/z")
+    files.copy(f"{root}/z/y.txt", f"{root}/w.txt")
+    assert [p.rsplit("/", 1)[-1] for p in files.walk(root)] == ["w.txt", "y.txt"] and files.names(f"{root}/x") == []
+    files.delete(root)
+    assert not files.exists(root)
+
+
+def test_text_file_in_parts(spark, tmp_path):
+    """A folder of parts reads like the one file that they are."""
+    from simulation import write_eso
+
+    from gridlark.sources import reader
+
+    write_eso(tmp_path / "one.eso")
+    lines = (tmp_path / "one.eso").read_text().splitlines()
+    (tmp_path / "parts.eso").mkdir()
+    for n, a in enumerate(range(0, len(lines), 37)):
+        (tmp_path / "parts.eso" / f"part-{n:03}.txt").write_text("\n".join(lines[a : a + 37]) + "\n")
+    rows = lambda p: sorted(map(str, reader.load(spark, str(tmp_path / p)).results.select("table", "id", "row_ix", "ts", "value").collect()))
+    assert rows("one.eso") == rows("parts.eso")
+
+
+def test_sheet_in_splits(spark, tmp_path):
+    """Rows keep their places however the file is cut."""
+    from gridlark.sources import reader
+
+    rows = ["key,A,B", "type,x,y", "units,J,W", "range,,"] + [f"{i},{i * 2},{i * 3}" for i in range(3000)]
+    (tmp_path / "s.csv").write_text("\n".join(rows) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        ds = reader.load(spark, str(tmp_path / "s.csv"))
+        assert ds.steps.where("row_ix <> range_ix").count() == 0 and ds.steps.count() == 3000
+        assert ds.results.where("id = 1 and value <> row_ix * 2").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
