@@ -98,9 +98,9 @@ def processed(ds: Dataset, variables, start_date=None, end_date=None, output_typ
         if output_type.startswith("local"):
             if ds.peaks.where(F.col("table") == name).limit(1).count() == 0:
                 raise PeaksNotIncluded(f"table {name} has no peaks")
-            df = fetch.local_peaks(ds, name, ids, output_type == "local_max", start_date, end_date).join(F.broadcast(head), ["file_id", "id"]).withColumn("row_ix", F.lit(None).cast("long"))
+            df = fetch.local_peaks(ds, name, ids, output_type == "local_max", start_date, end_date).join(ds.with_size(head), ["file_id", "id"]).withColumn("row_ix", F.lit(None).cast("long"))
         elif output_type.startswith("global"):
-            df = fetch.global_peak(fetch.values(ds, name, ids, start_date, end_date), output_type == "global_max").withColumnRenamed("ts", "peak_ts").join(F.broadcast(head), ["file_id", "id"]).withColumn("row_ix", F.lit(0).cast("long")).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+            df = fetch.global_peak(fetch.values(ds, name, ids, start_date, end_date), output_type == "global_max").withColumnRenamed("ts", "peak_ts").join(ds.with_size(head), ["file_id", "id"]).withColumn("row_ix", F.lit(0).cast("long")).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
         else:
             df = fetch.values(ds, name, ids, start_date, end_date).withColumn("peak_ts", peak_ts)
             if rate_to_energy:
@@ -135,26 +135,41 @@ def wide(ds: Dataset, long: DataFrame, formatter: TableFormatter, peaks: bool) -
         day = ds.steps.select("file_id", "table", "row_ix", F.col("day").alias("__day"))
         rows = rows.join(day, ["file_id", "table", "row_ix"], "left").withColumn("day", fetch.weekday(F.col("ts"), F.col("__day")))
         index.append("day")
-    columns, seen = [], set()
+    # which column the values of a variable go to: a row a variable
+    kinds = ("value", "timestamp") if peaks else (None,)
+    owner, order, places = {}, [], []
     for h in heads:
-        mine = (F.col("table") == h["table"]) & (F.col("id") == h["id"])
-        same = F.lit(True) if by_row else F.col("file_id") == h["file_id"]
-        for data, source in (("value", F.col("value")), ("timestamp", F.col("peak_ts"))) if peaks else ((None, F.col("value")),):
+        level = (h["table"], h["key"], h["type"], h["units"], h["id"] if formatter.include_id else None)
+        for data in kinds:
             name = label(formatter, h, names.get(h["file_id"]), data)
-            if by_row:
-                level = (F.col("table") == h["table"]) & F.col("key").eqNullSafe(h["key"]) & F.col("type").eqNullSafe(h["type"]) & F.col("units").eqNullSafe(h["units"])
-                mine = level & (F.col("id") == h["id"]) if formatter.include_id else level
-            if name in seen:
+            if name not in owner:
+                owner[name] = level
+                order.append((name, data))
+            elif not by_row or owner[name] != level:
                 continue
-            seen.add(name)
-            if data == "timestamp" and formatter.timestamp_format != "default":
-                source = stamp_text(source, formatter.timestamp_format)
-            columns.append(F.max(F.when(mine & same, source)).alias(name))
-    stamp = F.min("ts").alias("timestamp")
-    out = rows.groupBy(*index).agg(stamp, *columns)
-    if formatter.timestamp_format != "default":
-        return out.drop("timestamp").withColumnRenamed("at", "timestamp")
-    return out.drop("at")
+            places.append((h["file_id"], h["table"], h["id"], name, data or "value"))
+    to = ds.spark.createDataFrame(places, "file_id int, table string, id int, __name string, __data string")
+    rows = rows.join(F.broadcast(to) if len(places) <= 1_000_000 else to, ["file_id", "table", "id"])
+    default = formatter.timestamp_format == "default"
+    # stamps of rows are as good as their texts, unless a format makes texts of several alike
+    by = [*index, *(["ts"] if default else [])]
+    parts = []
+    for data, source in (("value", F.col("value")), ("timestamp", F.col("peak_ts") if default else stamp_text(F.col("peak_ts"), formatter.timestamp_format))):
+        mine = [n for n, d in order if (d or "value") == data]
+        if mine:
+            # a pivot goes through the rows once, whatever the number of columns
+            parts.append(rows.where(F.col("__data") == data).withColumn("__v", source).groupBy(*by).pivot("__name", mine).agg(F.max("__v")))
+    out = parts[0]
+    if len(parts) > 1:
+        other = parts[1].toDF(*[f"__{c}" if c in by else c for c in parts[1].columns])
+        same = F.lit(True)
+        for c in by:
+            same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+        out = out.join(other, same)
+    columns = [F.col(f"`{n}`") for n, _ in order]
+    lead = [F.col("file")] if by_row else []
+    day = [F.col("day")] if formatter.include_day else []
+    return out.select(*lead, *day, (F.col("ts") if default else F.col("at")).alias("timestamp"), *columns)
 
 
 def get_results(files: Dataset | Sequence[Dataset], variables, start_date=None, end_date=None, output_type: str = "standard", part_match: bool = False, table_formatter: TableFormatter | None = None, units_system: str = "SI", rate_units: str = "W", energy_units: str = "J", rate_to_energy: bool = False, layout: str = "wide", loader=None, **load_kwargs) -> DataFrame | None:

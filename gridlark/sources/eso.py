@@ -11,9 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import re
-import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +20,7 @@ from gridlark import model
 from gridlark.dataset import Dataset
 from gridlark.functions.timeline import occurrence_stamp
 from gridlark.sources.assemble import assemble, is_sizing, stamped
+from gridlark.sources.files import workspace
 from gridlark.sources.progress import StatusTracker
 
 _END_OF_HEADER, _END = "End of Data Dictionary", "End of Data"
@@ -181,9 +180,12 @@ def read_eso(spark: SparkSession, path: str, year: int | None = None, ignore_pea
     # what follows the end mark (counts of the program) is no data
     last = text.where(F.col("line") == _END).agg(F.min(F.struct("blk", "mid")).alias("m")).first()["m"]
     body = body.where(_before((last["blk"], last["mid"])))
-    # every part of the Dataset is made of these rows: parsed once, kept on executors;
-    # the mark keeps a file that has changed since from being taken for this one
-    rows = with_steps(body, highest).withColumn("read", F.lit(uuid.uuid4().hex)).persist(StorageLevel.MEMORY_AND_DISK)
+    # every part of the Dataset is made of these rows: parsed once, into a table that
+    # outlives executors and changes of the file
+    parsed = f"{workspace(spark)}/lines"
+    rows = with_steps(body, highest)
+    rows.write.parquet(parsed)
+    rows = spark.read.schema(rows.schema).parquet(parsed)
     blank, bad = rows.agg(F.count_if(F.col("line") == ""), F.count_if((F.col("line") != "") & (F.col("no").isNull() | (F.size("f") < 2)))).first()
     if blank:
         raise model.BlankLineError(f"{path} has {blank} blank lines")
@@ -195,7 +197,8 @@ def read_eso(spark: SparkSession, path: str, year: int | None = None, ignore_pea
     order = Window.partitionBy("env", "table").orderBy("blk", "mid")
     steps = steps.withColumn("row_ix", (F.row_number().over(order) - 1).cast("long"))
     values = rows.where(F.col("no") > highest).select("env", F.col("no").alias("id"), F.col("step.blk").alias("blk"), F.col("step.mid").alias("mid"), "f")
-    values = values.join(F.broadcast(head.select("id", F.col("table").alias("of"))), "id", "left").join(steps.select("blk", "mid", "table", "row_ix"), ["blk", "mid"], "left")
+    of = head.select("id", F.col("table").alias("of"))
+    values = values.join(F.broadcast(of) if len(entries) <= 1_000_000 else of, "id", "left").join(steps.select("blk", "mid", "table", "row_ix"), ["blk", "mid"], "left")
     if values.where(F.col("of").isNull() | F.col("table").isNull() | (F.col("of") != F.col("table"))).limit(1).count():
         raise model.InvalidLineSyntax(f"{path} has values outside of their interval")
     out = []
