@@ -1,6 +1,7 @@
 """Joins, searches, dedup, decontamination, licenses and the pipeline against brute force."""
 
 import itertools
+import math
 import random
 import re
 from collections import defaultdict
@@ -527,6 +528,57 @@ def test_license_headers_and_texts(spark):
     assert {v for k, v in got.items() if k.startswith("z/")} == {None}
 
 
+def brute_license(texts, templates, least=0.75):
+    """By definition: the best cosine of any line or window of a template's length."""
+    words = [license_scan.terms_of(t or "") for t in texts]
+    vocab = {w for _, t in templates for w in license_scan.terms_of(t)}
+    n = len(texts)
+    idf = {w: min(license_scan.RARE, math.log((1 + n) / (1 + sum(w in x for x in map(set, words)))) + 1) for w in vocab}
+    rare = min(license_scan.RARE, math.log(1 + n) + 1)
+
+    def norm(span):
+        inside = defaultdict(int)
+        for w in span:
+            inside[w] += w in vocab
+        return math.sqrt(sum((c * idf[w]) ** 2 for w, c in inside.items() if w in vocab) + rare * rare * sum(w not in vocab for w in span))
+
+    out = []
+    for text, own in zip(texts, words, strict=True):
+        found = []
+        for name, t in templates:
+            want = license_scan.terms_of(t)
+            spans = [license_scan.terms_of(x) for x in (text or "").split("\n")] + [own[i : i + len(want)] for i in range(max(1, len(own) - len(want) + 1))]
+            for span in filter(None, spans):
+                dot = sum(want.count(w) * idf[w] ** 2 for w in span if w in vocab)
+                score = round(min(1.0, dot / norm(want) / norm(span)), 9)
+                if score >= least:
+                    found.append((t == license_scan.RESERVED, -score, name))
+        out.append((min(found)[2], -min(found)[1]) if found else (None, None))
+    return out
+
+
+def test_licenses_against_every_span(spark):
+    rng = random.Random(11)
+    templates = [t for t in license_scan.TEMPLATES if len(t[1]) < 120]
+    texts = []
+    for _ in range(120):
+        w = rng.choice(templates)[1].split()
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randint(0, 1)] = rng.choice([[], ["alpha"], ["license"], [w[k], "beta"]])
+            w = w or ["x"]
+        gap = lambda: [rng.choice(["alpha", "beta", "the", "of", "code"]) for _ in range(rng.randint(0, 9))]
+        joined = gap() + w + gap()
+        cut = rng.randrange(len(joined) + 1)
+        texts.append(" ".join(joined[:cut]) + rng.choice([" ", "\n", "\n# "]) + " ".join(joined[cut:]))
+    texts += [None, "", "\n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["score"]) for r in license_scan.scan(df, F.concat(F.lit("f/"), F.col("doc_id").cast("string")), templates=templates, texts=[]).collect()}
+    want = brute_license(texts, templates)
+    apart = [i for i, x in enumerate(want) if got[i][0] != x[0] or x[1] is not None and abs(got[i][1] - x[1]) > 1e-8]
+    assert not apart and sum(x[0] is not None for x in want) > 40
+
+
 def test_license_of_null_ids(spark):
     """A file with its own notice is one row, whatever its id, also beside a license file."""
     rows = [(None, "a/x.py", "Released under the MIT License."), (None, "a/y.py", ""), (1, "a/LICENSE", "Licensed under CC BY-NC 4.0."), (None, None, "Released under the MIT License.")]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -149,6 +150,42 @@ def test_shard_keeps_copies_together(spark):
         assert sum(r["shards"] == 1 for r in some) >= 0.95 * len(some)
 
 
+@pytest.mark.parametrize("law", ["rows", "bytes", "key"])
+def test_shard_row_by_row(spark, law):
+    """Against a walk round the ring that places one row after another."""
+    n = 6
+    df = spark.range(700).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), (F.col("id") % 41).cast("int")).alias("text"))
+    df = df.unionByName(spark.range(400).select((F.col("id") + 1000).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")))
+    spots = {r["doc_id"]: r["pos"] for r in df.select("doc_id", F.xxhash64(F.lit(17), F.col("doc_id") if law == "key" else F.col("text")).alias("pos")).collect()}
+    got = {r["doc_id"]: r for r in shard.shard(df, n, law).collect()}
+    where = shard.ring(n, 64)
+    arc = {d: next((i for i, (p, _) in enumerate(where) if p >= x), 0) for d, x in spots.items()}
+    if law == "key":
+        assert all(got[d]["shard"] == where[a][1] for d, a in arc.items())
+        return
+    weight = {d: got[d]["size"] if law == "bytes" else 1 for d in spots}
+    total = sum(weight.values())
+    room = [total / n if law == "bytes" else total // n + (s < total % n) for s in range(n)]
+    loads = [sum(weight[d] for d in spots if arc[d] == a) for a in range(len(where))]
+    dealt = [[] for _ in where]
+    for own in (True, False):  # full shards pass on to the next one with room
+        for a in range(len(where)):
+            for step in range(1 if own else len(where)):
+                s = where[(a + step) % len(where)][1]
+                give = min(loads[a] - sum(g for _, g in dealt[a]), room[s])
+                if give > 0:
+                    dealt[a].append((s, give))
+                    room[s] -= give
+    for a in range(len(where)):
+        mine = defaultdict(float)
+        for d in spots:
+            if arc[d] == a:
+                mine[got[d]["shard"]] += weight[d]
+        assert set(mine) <= {s for s, _ in dealt[a]}
+        slack = max(weight.values()) if law == "bytes" else 0
+        assert all(abs(sum(g for t, g in dealt[a] if t == s) - x) <= slack for s, x in mine.items())
+
+
 def test_shard_of_alike_rows(spark, monkeypatch):
     monkeypatch.setattr(shard, "_PIECE", 7)
     df = spark.createDataFrame([(1, "a")] * 100 + [(2, "b" * i) for i in range(20)], "doc_id long, text string")
