@@ -38,7 +38,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,8 +135,9 @@ def _table(schema: str, **columns) -> pa.Table:
 
 
 def _sorted(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Rows in order over partitions of about _ROWS, with the number `pid` of each."""
     n = max(8, -(-rows // _ROWS))
-    return stable(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
+    return stable(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("pid", F.spark_partition_id()))
 
 
 _SUFFIX = f"{_LINE}, b long, k int, live boolean"
@@ -189,7 +189,7 @@ def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ended = x["b2"] < 0
     x["b"] = x["b"] + s0 - g0
     edge = np.where(alone & ~ended, (s0 == 0) + 2 * (s0 == s0[-1]), 0)
-    yield from _table(_RANKED, **{c: x[c] for c in _names(_LINE)}, b=x["b"], live=~ended & (~alone | (edge > 0)), pid=np.full(n, TaskContext.get().partitionId()), carried=np.where(s0 == 0, 2, np.where(g0 == 0, 1, 0)), edge=edge).to_batches()
+    yield from _table(_RANKED, **{c: x[c] for c in _names(_LINE)}, b=x["b"], live=~ended & (~alone | (edge > 0)), pid=x["pid"], carried=np.where(s0 == 0, 2, np.where(g0 == 0, 1, 0)), edge=edge).to_batches()
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if n:
         keys = {c: x[c] for c in ("a", "b", "a2", "b2")}
         like = lambda m, at: [int(np.all([c == c[at] for c in list(keys.values())[:m]], axis=0).sum())]
-        yield from _table(_ENDS, pid=[TaskContext.get().partitionId()], n=[n], **{f"f{c}": v[:1] for c, v in keys.items()}, **{f"l{c}": v[-1:] for c, v in keys.items()}, fg=like(2, 0), fs=like(4, 0), lg=like(2, -1), ls=like(4, -1)).to_batches()
+        yield from _table(_ENDS, pid=x["pid"][:1], n=[n], **{f"f{c}": v[:1] for c, v in keys.items()}, **{f"l{c}": v[-1:] for c, v in keys.items()}, fg=like(2, 0), fs=like(4, 0), lg=like(2, -1), ls=like(4, -1)).to_batches()
 
 
 def _carries(ends: list) -> list[tuple[int, int, int, bool, bool]]:
@@ -225,14 +225,15 @@ def suffix_array(lines: DataFrame) -> DataFrame:
     lines = written(lines.dropDuplicates(["did", "tk", "pos"]))
     often = stable(lines.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
     # lines that so many texts have are known to all tasks (2,000 of them at most)
-    many = (often.agg(F.sum("n")).first()[0] or 0) // 2_000
+    n = often.agg(F.sum("n")).first()[0] or 0
+    many, total = n // 2_000, lines.count()
     common = F.col("a").isin([r["a"] for r in often.where(F.col("n") > many).select("a").collect()] if many else [])
     rare = lines.where(~common).join(often.select("a", F.lit(True).alias("live")), "a", "left")
     lines = rare.unionByName(lines.where(common).withColumn("live", F.lit(True)))
     live = F.coalesce("live", F.lit(False))
-    state = stable(lines.select(*_names(_LINE), F.lit(0).cast("long").alias("b"), F.when(live, 0).otherwise(-1).alias("k"), live.alias("live")))
-    done, k, n = [], 0, state.where("live").count()
-    total = state.count() if n else 0
+    # the state of a round is not stored: it is read once more for a count only
+    state = lines.select(*_names(_LINE), F.lit(0).cast("long").alias("b"), F.when(live, 0).otherwise(-1).alias("k"), live.alias("live"))
+    done, k = [], 0
     while n:
         asking = stable(state.groupBy(_bucket(total)).applyInArrow(_second(k), _ASKING))
         done.append(asking.where("role = 2 and k >= 0").select(*_names(_SUFFIX)))
@@ -243,11 +244,11 @@ def suffix_array(lines: DataFrame) -> DataFrame:
         again = (F.col("edge") == 0) | (F.col("edge").bitwiseAND(1) > 0) & F.col("back") | (F.col("edge").bitwiseAND(2) > 0) & F.col("on")
         live = F.col("live") & again
         ranked = ordered.mapInArrow(_ranks, _RANKED).join(near, "pid").select(*_names(_LINE), b.alias("b"), F.when(live, k + 1).otherwise(k).alias("k"), live.alias("live"))
-        state = stable(ranked.unionByName(asking.where("role = 1").select(*_names(_SUFFIX))))
-        k, n, total = k + 1, state.where("live").count(), state.count()
-    done.append(state.where("k >= 0"))
-    out = done[0]
-    for x in done[1:]:
+        idle = asking.where("role = 1").select(*_names(_SUFFIX))
+        state = ranked.unionByName(idle)
+        k, total, n = k + 1, n + idle.count(), ranked.where("live").count()
+    out = state.where("k >= 0")
+    for x in done:
         out = out.unionByName(x)
     return out
 
@@ -262,7 +263,7 @@ def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             last = batch.slice(batch.num_rows - 1)
     if last is not None:
-        yield pa.RecordBatch.from_arrays([*last.columns, pa.array([TaskContext.get().partitionId()], pa.int32())], [*last.schema.names, "pid"])
+        yield last
 
 
 def _neighbours(before: dict[int, dict]):
@@ -276,7 +277,7 @@ def _neighbours(before: dict[int, dict]):
         n = len(x["a"])
         if not n:
             return
-        p = before.get(TaskContext.get().partitionId())
+        p = before.get(int(x["pid"][0]))
         q = {c: np.concatenate([np.array([p[c] if p else x[c][0]], x[c].dtype), x[c][:-1]]) for c in ("did", "tk", "pos", "a", "b", "k", "prev")}
         alike = x["a"] == q["a"]
         alike[0] &= p is not None
@@ -375,8 +376,7 @@ _VIEW = "pid int, first int, least int, rest int, side int, did long, tk long, p
 def _scan(batches: Iterator[pa.RecordBatch], carried: dict | None = None):
     x = _whole(batches, _ARRAY)
     n = len(x["a"])
-    pid = TaskContext.get().partitionId()
-    left, right, after = carried.get(pid, ([], [], 0)) if carried else ([], [], 0)
+    left, right, after = carried[int(x["pid"][0])] if carried and n else ([], [], 0)
     extra = [*left, *right]
     did, tk, pos = (np.concatenate([np.array([e[i] for e in extra], np.int64), x[c].astype(np.int64)]) for i, c in enumerate(("did", "tk", "pos")))
     place = np.empty(len(did), np.int64)
@@ -395,7 +395,7 @@ def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(side, *e) for side, s in enumerate(stacks) for e in s]
         side, did, tk, pos, m = zip(*rows, strict=True)
         same = lambda v: [int(v)] * len(rows)
-        yield from _table(_VIEW, pid=same(TaskContext.get().partitionId()), first=same(x["lcp"][0]), least=same(x["lcp"].min()), rest=same(x["lcp"][1:].min(initial=2**31 - 1)), side=side, did=did, tk=tk, pos=pos, m=m).to_batches()
+        yield from _table(_VIEW, pid=same(x["pid"][0]), first=same(x["lcp"][0]), least=same(x["lcp"].min()), rest=same(x["lcp"][1:].min(initial=2**31 - 1)), side=side, did=did, tk=tk, pos=pos, m=m).to_batches()
 
 
 def _joined(views: list) -> dict[int, tuple[list, list, int]]:
@@ -431,7 +431,7 @@ _RUN = "did long, tk long, pos int, len int"
 def repeated_runs(lines: DataFrame) -> DataFrame:
     """`(did, tk, pos, len)`: for each line the longest run that begins there and has
     occurred before, if it has enough words."""
-    suffixes = suffix_array(lines)  # of checkpoints only
+    suffixes = suffix_array(lines)
     n = suffixes.count()
     ordered = _sorted(suffixes, n, "a", "b", "did", "tk", "pos")
     ends = sorted((r.asDict() for r in ordered.mapInArrow(_last, f"{_SUFFIX}, pid int").collect()), key=lambda r: r["pid"])  # a row a partition
