@@ -7,6 +7,7 @@ are written by Spark, as folders of parts in the order of their lines.
 from __future__ import annotations
 
 import sqlite3
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ union all select d, 290, 19, concat('19,', (select v from whole)) from dated whe
 def _once(spark: SparkSession, sf_dir: str, kind: str, make) -> str:
     """The path of a file, made once a session."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _MADE:
+    if key not in _MADE or not Files(spark).exists(_MADE[key]):
         path = f"{workspace(spark)}/{kind}"
         make(path)
         _MADE[key] = path
@@ -89,8 +90,10 @@ def sqlite(spark: SparkSession, sf_dir: str) -> str:
     def make(path: str) -> None:
         events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("timestampadd(day, -350, cast(ts as timestamp_ntz)) as ts", "event_type", "cast(value as decimal(18,2)) as value")
         rows = [(r["d"], r["h"], r["event_type"], float(r["v"])) for r in events.groupBy(F.col("ts").cast("date").alias("d"), (F.hour("ts") + 1).alias("h"), "event_type").agg(F.sum("value").alias("v")).collect()]
-        Files(spark).make(path.rsplit("/", 1)[0])
-        _database(path.removeprefix("file:"), rows)
+        with tempfile.TemporaryDirectory() as here:
+            _database(f"{here}/one.sql", rows)
+            with open(f"{here}/one.sql", "rb") as f:
+                Files(spark).write(path, f.read())
 
     return _once(spark, sf_dir, "one.sql", make)
 
