@@ -213,6 +213,23 @@ def test_nearest_recall_without_structure(spark):
     assert shares[1] < 0.75 * shares[0]
 
 
+def test_nearest_with_far_rows_put_in(spark):
+    """Rows that are farther than every answer change no answer, however many they are."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((500, 64))
+    q = x[:20]
+    away = np.linalg.lstsq(q, np.ones(20), rcond=None)[0]
+    side = rng.standard_normal((12_000, 64))
+    side -= side @ np.linalg.pinv(q) @ q
+    far = side / np.linalg.norm(side, axis=1)[:, None] - 0.3 * away / np.linalg.norm(away)
+    assert (far @ q.T < 0).all()
+    both = []
+    for v in (x, np.concatenate([x, far])):
+        df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+        both.append(sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, df.where("vec_id < 20"), block=4096).collect()))
+    assert len(both[0]) == 100 and both[0] == both[1]
+
+
 def test_nearest_of_hot_vectors(spark):
     """Copies of a vector fill a bucket of many cuts; the smallest ids answer."""
     rng = np.random.default_rng(3)
