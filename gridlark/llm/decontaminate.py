@@ -5,8 +5,8 @@ benchmark items become TF-IDF vectors over the benchmark's terms (other terms
 have no part in any product with an item); document frequencies count all
 documents, and a term that every document has still weighs something. A randomised
 SVD (range finder with power iterations, its products spread over the cluster) of
-the benchmark's passages and a bounded sample of the corpus's gives the latent
-space, in which vectors are whitened and the mean of the sample's passages that
+all passages of the benchmark and of all distinct texts of the corpus gives the latent
+space, in which vectors are whitened and the mean of the corpus's passages that
 are like no item is taken off; so the weight of an item does not fall with the
 number of its copies. A passage is a candidate if its cosine with an item's
 passage reaches `least_cosine` and it has half as much along the item as the item
@@ -18,7 +18,9 @@ names or, without one, its most telling terms (highest inverse document frequenc
 
 The benchmark is small by nature; the code takes at most `max_items` items and
 about `max_words` of their words at a time and goes through larger ones in blocks.
-The corpus is never shuffled: every passage is looked at where its text is read.
+To fit the space, texts are shuffled once, so that copies count once, and what their
+passages have of the benchmark's terms lies in a table until it is fitted. The search
+shuffles nothing: every passage is looked at where its text is read.
 
 Edge cases: null and empty texts match nothing; items without a word or without id
 are left out; items shorter than 8 words must occur as a whole; an empty benchmark
@@ -30,6 +32,7 @@ columns are ignored or kept as they are, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm import _text as tx
-from gridlark.llm._spark import free_names, stable
+from gridlark.llm._spark import free_names, shared_folder, stable
+from gridlark.sources.files import Files
 
 STEP, SPAN = 16, 4  # words of a block, blocks of a passage
 SPANS = (4, 2)  # of the passages that are looked up
@@ -112,16 +116,79 @@ def _frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, int]:
     return df, n
 
 
-def _sparse(vocab: np.ndarray, idf: np.ndarray, passages: list[np.ndarray]) -> list[tuple[bytes, int]]:
-    out = []
-    for w in passages:
-        at = lookup(vocab, w)
-        k, n = np.unique(at[at >= 0], return_counts=True)
-        v = n * idf[k]
-        norm = np.sqrt((v * v).sum())
-        if norm > 0:
-            out.append((k.astype("<i4").tobytes() + v.astype("<f4").tobytes(), len(w)))
-    return out
+@dataclass
+class Passages:
+    """Term counts of some passages, one after the other; words counts all words."""
+
+    size: np.ndarray  # distinct terms of each passage
+    words: np.ndarray
+    term: np.ndarray
+    n: np.ndarray
+
+    def sums(self, rows: np.ndarray, of_term: np.ndarray) -> np.ndarray:
+        """For each passage, the sum of its terms' rows times their weights."""
+        return np.add.reduceat(rows[self.term] * of_term[:, None], self.begins(), axis=0)
+
+    def begins(self) -> np.ndarray:
+        return np.cumsum(self.size) - self.size
+
+    def unit(self, idf: np.ndarray) -> np.ndarray:
+        """Weight of each term in its passage's unit vector."""
+        v = self.n * idf[self.term]
+        return v / np.repeat(np.sqrt(np.add.reduceat(v * v, self.begins())), self.size)
+
+    def add_product(self, out: np.ndarray, idf: np.ndarray, q: np.ndarray, weight: float = 1.0) -> None:
+        """Adds the sum over passages a of weight a' (a q)."""
+        y = self.unit(idf)
+        along = self.sums(q, y)
+        order = np.argsort(self.term, kind="stable")
+        term, row = self.term[order], np.repeat(np.arange(len(self.size)), self.size)[order]
+        s = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+        out[term[s]] += weight * np.add.reduceat(along[row] * y[order, None], s, axis=0)
+
+
+_MANY = 1_024  # passages held at once
+
+
+def _counted(passage: np.ndarray, at: np.ndarray, terms: int) -> Iterator[Passages]:
+    """From each word's passage (ascending) and term (-1: none); passages without terms are left out."""
+    use = at >= 0
+    key, n = tx.unique_counts(passage[use] * terms + at[use])
+    p, term = np.divmod(key, max(1, terms))
+    rows, size = tx.unique_counts(p)
+    words = np.bincount(passage)[rows]
+    ends = np.cumsum(size)
+    for a in range(0, len(rows), _MANY):
+        b = min(a + _MANY, len(rows))
+        some = slice(ends[a] - size[a], ends[b - 1])
+        yield Passages(size[a:b], words[a:b], term[some], n[some])
+
+
+# a passage has at most STEP * SPAN words, so a byte holds its counts
+_STORED = {"size": "u1", "words": "u1", "term": "<i4", "n": "u1"}
+
+
+def _stored(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
+    """The passages of all texts, `_MANY` or fewer in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            data, off = tx.raw(part.column("text"))
+            h, doc = tx.words(data, off, tx.PUNCT)
+            count = np.bincount(doc, minlength=len(off) - 1)
+            first_word = np.cumsum(count) - count
+            here = -(-count // (STEP * SPAN))
+            passage = (np.cumsum(here) - here)[doc] + (np.arange(len(h)) - first_word[doc]) // (STEP * SPAN)
+            for x in _counted(passage, lookup(vocab, h), len(vocab)):
+                yield pa.RecordBatch.from_arrays([pa.array([getattr(x, c).astype(kind).tobytes()], pa.binary()) for c, kind in _STORED.items()], list(_STORED))
+
+    return docs.mapInArrow(run, ", ".join(f"{c} binary" for c in _STORED))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Passages]:
+    for batch in batches:
+        for row in zip(*(batch.column(c) for c in _STORED), strict=True):
+            yield Passages(*(np.frombuffer(x.as_py(), kind).astype(np.int64) for x, kind in zip(row, _STORED.values(), strict=True)))
 
 
 _ROWS = 4_096  # of a matrix, sent at once
@@ -138,46 +205,35 @@ def _added(rows: pa.Table) -> pa.Table:
     return pa.table({"at": rows.column("at").slice(0, 1), "z": pa.array([total.tobytes()], pa.binary())})
 
 
-def latent_space(docs: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int = 64, sample: int = 2_000, n_docs: int = 0, rounds: int = 2, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def latent_space(docs: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int = 64, rounds: int = 2, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Whitened term vectors `(terms, rank)`, idf included, and the mean vector
-    of a word. `sample` bounds the corpus texts that the space is fitted on."""
+    of a word. Fitted on every distinct text."""
     spark = docs.sparkSession
-    vocab, terms = bench.vocab, len(bench.vocab)
-    share = min(1_000_000, int(1_000_000 * sample / max(1, n_docs)) + 1)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
-            for h in _hashes(part.column("text").to_pylist()):
-                rows = _sparse(vocab, idf, [h[a : a + STEP * SPAN] for a in range(0, len(h), STEP * SPAN)])
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int32())], ["x", "n"])
-
-    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).dropDuplicates(["text"])
-    own = _sparse(vocab, idf, [w for _, w in item_passages(bench)])
-    corpus = picked.mapInArrow(cut, "x binary, n int")
+    terms = len(bench.vocab)
+    path = f"{shared_folder(spark)}/passages-{uuid.uuid4().hex}"
+    _stored(docs.where("text is not null").dropDuplicates(["text"]), bench.vocab).write.parquet(path)
+    corpus = spark.read.schema(", ".join(f"{c} binary" for c in _STORED)).parquet(path)
+    items = [w for _, w in item_passages(bench)]
+    own = list(_counted(np.repeat(np.arange(len(items)), [len(w) for w in items]), lookup(bench.vocab, np.concatenate(items)), terms))
     # as many rows of the benchmark as of the corpus would be too many copies: weights do
-    both = corpus.withColumn("own", F.lit(False)).unionByName(spark.createDataFrame([(bytearray(x), n, True) for x, n in own], "x binary, n int, own boolean"))
-    both = stable(both.repartition(8))
-    sizes = {r["own"]: (r["rows"], r["words"]) for r in both.groupBy("own").agg(F.count("*").alias("rows"), F.sum("n").alias("words")).collect()}
-    weight = max(1.0, sizes.get(False, (0, 0))[0] / max(1, sizes.get(True, (1, 1))[0])) ** 0.5
+    weight = max(1.0, (corpus.agg(F.sum(F.length("size"))).first()[0] or 0) / len(items))
 
     def product(q: np.ndarray) -> np.ndarray:
         """Sum over rows a of a' (a q)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros((terms, q.shape[1]))
-            for batch in batches:
-                for x, mine in zip(batch.column("x").to_pylist(), batch.column("own").to_pylist(), strict=True):
-                    half = len(x) // 2
-                    k, v = np.frombuffer(x[:half], "<i4"), np.frombuffer(x[half:], "<f4").astype(float)
-                    y = (v / np.sqrt((v * v).sum())) * (weight if mine else 1.0)
-                    out[k] += y[:, None] * (y @ q[k])[None, :]
+            for x in _read(batches):
+                x.add_product(out, idf, q)
             yield from _cut_rows(out)
 
         # partial sums are added up where they are; the driver gets terms x rank numbers
         got = np.zeros((terms, q.shape[1]))
-        for r in both.mapInArrow(run, "at long, z binary").groupBy("at").applyInArrow(_added, "at long, z binary").collect():
+        for r in corpus.mapInArrow(run, "at long, z binary").groupBy("at").applyInArrow(_added, "at long, z binary").collect():
             z = np.frombuffer(r["z"]).reshape(-1, got.shape[1])
             got[r["at"] : r["at"] + len(z)] = z
+        for x in own:
+            x.add_product(got, idf, q, weight)
         return got
 
     wide = min(rank + 8, terms)
@@ -189,22 +245,23 @@ def latent_space(docs: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int =
     best = best[value[best] > 1e-9 * max(value.max(), 1e-300)]
     vectors = (q @ turn[:, best]) / np.sqrt(value[best])[None, :]
     # of an item in most texts the plain mean would hold so much that nothing is left
-    known = np.stack([vectors[at].T @ (n * idf[at]) for _, w in item_passages(bench) for at, n in [np.unique(lookup(vocab, w), return_counts=True)]])
+    known = np.concatenate([x.sums(vectors, x.n * idf[x.term]) for x in own])
     known /= np.maximum(np.linalg.norm(known, axis=1), 1e-12)[:, None]
 
     def calm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, words = np.zeros(vectors.shape[1]), 0
-        for batch in batches:
-            for x, n, mine in zip(*(batch.column(c).to_pylist() for c in ("x", "n", "own")), strict=True):
-                half = len(x) // 2
-                z = vectors[np.frombuffer(x[:half], "<i4")].T @ np.frombuffer(x[half:], "<f4").astype(float)
-                if not mine and (known @ z).max(initial=0.0) < _LIKE * np.linalg.norm(z):
-                    total += z
-                    words += n
+        for x in _read(batches):
+            z = x.sums(vectors, x.n * idf[x.term])
+            for a in range(0, len(z), 128):
+                some = z[a : a + 128]
+                like = (some @ known.T).max(1).clip(0) < _LIKE * np.linalg.norm(some, axis=1)
+                total += some[like].sum(0)
+                words += int(x.words[a : a + 128][like].sum())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([words], pa.int64())], ["z", "n"])
 
-    parts = both.mapInArrow(calm, "z binary, n long").collect()  # 8 rows of rank numbers
-    return vectors * idf[:, None], sum(np.frombuffer(r["z"]) for r in parts) / max(1, sum(r["n"] for r in parts))
+    parts = corpus.mapInArrow(calm, "z binary, n long").collect()  # rank numbers for each split of the table
+    Files(spark).delete(path)
+    return vectors * idf[:, None], sum((np.frombuffer(r["z"]) for r in parts), np.zeros(len(best))) / max(1, sum(r["n"] for r in parts))
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -350,7 +407,7 @@ def _leaks(docs: DataFrame, bench: Benchmark, rank: int, least_cosine: float, le
         return docs.sparkSession.createDataFrame([], schema)
     freq, n_docs = _frequencies(docs.select("text"), bench.vocab)
     idf = np.log((1 + n_docs) / (1 + freq)) + 1
-    finder = Finder(bench, idf, *latent_space(docs.select("text"), bench, idf, rank, n_docs=n_docs), least_cosine, least_lcs, least_answer)
+    finder = Finder(bench, idf, *latent_space(docs.select("text"), bench, idf, rank), least_cosine, least_lcs, least_answer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):

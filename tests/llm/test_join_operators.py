@@ -418,6 +418,39 @@ def test_leaks_at_any_share(spark, share):
     assert got <= want and len(got) >= 0.9 * len(want) and want
 
 
+def test_latent_space_is_of_all_texts(spark, monkeypatch):
+    """The space and the mean are those of every distinct text, against plain matrices."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    items = [" ".join(rng.sample(words, 20)) for _ in range(3)]
+    texts = [" ".join(rng.choices([*words, "x", "y"], k=rng.randint(1, 200))) for _ in range(300)]
+    texts += items + ["", "x y", None] + [texts[0]] * 2500
+    fitted = []
+
+    class Spy(decontaminate.Finder):
+        def __init__(self, bench, idf, vectors, mean, *least):
+            fitted.append((bench, idf, vectors, mean))
+            super().__init__(bench, idf, vectors, mean, *least)
+
+    monkeypatch.setattr(decontaminate, "Finder", Spy)
+    decontaminate.leaks(docs(spark, texts), spark.createDataFrame([*enumerate(items)], "item_id long, text string"))
+    (bench, idf, vectors, mean), = fitted
+
+    def counts(text):
+        at = decontaminate.lookup(bench.vocab, decontaminate._hashes([text])[0])
+        return [(np.bincount(at[a : a + 64][at[a : a + 64] >= 0], minlength=len(bench.vocab)) * idf, len(at[a : a + 64])) for a in range(0, len(at), 64)]
+
+    rows = [(v, n) for t in {t for t in texts if t} for v, n in counts(t) if v.any()]
+    own = np.stack([v for t in items for v, _ in counts(t)])
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    v = np.stack([v for v, _ in rows])
+    gram = unit(v).T @ unit(v) + len(v) / len(own) * unit(own).T @ unit(own)
+    white = vectors / idf[:, None]
+    assert np.allclose(white.T @ gram @ white, np.eye(white.shape[1]), atol=1e-8)
+    like = (unit(v @ white) @ unit(own @ white).T).max(1) < 0.5
+    assert np.allclose(mean, (v @ white)[like].sum(0) / sum(n for (_, n), k in zip(rows, like, strict=True) if k))
+
+
 def test_leaks_odd(spark):
     item = " ".join(f"w{i}" for i in range(25))
     rows = [(None, f"head {item}"), (None, "clean text of no one"), (1, item), (1, "another text with this id"), (2, "x " * 200_000 + item + " y" * 1000), (3, None)]
