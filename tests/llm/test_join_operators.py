@@ -418,8 +418,10 @@ def test_leaks_at_any_share(spark, share):
     assert got <= want and len(got) >= 0.9 * len(want) and want
 
 
-def test_latent_space_is_of_all_texts(spark, monkeypatch):
-    """The space and the mean are those of every distinct text, against plain matrices."""
+@pytest.mark.parametrize("stage", [False, True])
+def test_latent_space_is_of_all_texts(spark, monkeypatch, tmp_path, stage):
+    """The space and the mean are those of every distinct text, against plain matrices;
+    in the operator and in the stage of the pipeline."""
     rng = random.Random(2)
     words = [f"w{i}" for i in range(40)]
     items = [" ".join(rng.sample(words, 20)) for _ in range(3)]
@@ -433,7 +435,12 @@ def test_latent_space_is_of_all_texts(spark, monkeypatch):
             super().__init__(bench, idf, vectors, mean, *least)
 
     monkeypatch.setattr(decontaminate, "Finder", Spy)
-    decontaminate.leaks(docs(spark, texts), spark.createDataFrame([*enumerate(items)], "item_id long, text string"))
+    given = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    if stage:
+        given.write.parquet(f"{tmp_path}/benchmark.parquet")
+        corpus_pipeline.no_leaks(spark, docs(spark, texts), str(tmp_path))
+    else:
+        decontaminate.leaks(docs(spark, texts), given)
     (bench, idf, vectors, mean), = fitted
 
     def counts(text):
