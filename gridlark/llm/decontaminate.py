@@ -18,9 +18,10 @@ names or, without one, its most telling terms (highest inverse document frequenc
 
 The benchmark is small by nature; the code takes at most `max_items` items and
 about `max_words` of their words at a time and goes through larger ones in blocks.
-To fit the space, texts are shuffled once, so that copies count once, and what their
-passages have of the benchmark's terms lies in a table until it is fitted. The search
-shuffles nothing: every passage is looked at where its text is read.
+To count and to fit, texts are shuffled once, each with the number of its copies, and read
+once: documents of each term are counted, and what the passages have of the benchmark's
+terms lies in a table until the space is fitted. The search shuffles nothing: every
+passage is looked at where its text is read.
 
 Edge cases: null and empty texts match nothing; items without a word or without id
 are left out; items shorter than 8 words must occur as a whole; an empty benchmark
@@ -81,6 +82,29 @@ def lookup(vocab: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(vocab[at] == h, at, -1)
 
 
+class Index:
+    """`lookup` in one vocabulary: the top bits of a hash lead to its place."""
+
+    def __init__(self, vocab: np.ndarray):
+        self.vocab = vocab
+        bits = (4 * len(vocab)).bit_length()
+        self.shift = np.uint64(64 - bits)
+        first = np.searchsorted(vocab >> self.shift, np.arange(1 << bits, dtype=np.uint64))
+        self.crowded = np.diff(np.append(first, len(vocab))) > 1
+        # beyond the last hash any will do: none there is equal
+        self.first = np.minimum(first, max(0, len(vocab) - 1)).astype(np.int32)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.vocab):
+            return np.full(len(h), -1)
+        slot = (h >> self.shift).astype(np.int64)
+        at = self.first[slot].astype(np.int64)
+        at[self.vocab[at] != h] = -1
+        rest = np.flatnonzero(self.crowded[slot] & (at < 0))
+        at[rest] = lookup(self.vocab, h[rest])
+        return at
+
+
 def _slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from tx.chunks(batch, text)
@@ -91,31 +115,6 @@ def item_passages(bench: Benchmark) -> list[tuple[int, np.ndarray]]:
     return [(i, w[a : a + size]) for i, w in enumerate(bench.words) for a in range(0, max(1, len(w) - size // 2), size // 2)]
 
 
-def _frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, int]:
-    """Documents that have each term, and how many there are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(vocab), np.int64), 0
-        for part in _slices(batches):
-            data, off = tx.raw(part.column("text"))
-            h, doc = tx.words(data, off, tx.PUNCT)
-            at = lookup(vocab, h)
-            seen = tx.unique(doc[at >= 0] * len(vocab) + at[at >= 0])
-            total += np.bincount(seen % len(vocab), minlength=len(vocab))
-            n += part.num_rows
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["term", "n"])
-
-    df, n = np.zeros(len(vocab)), 0
-    # bounded by the benchmark's vocabulary
-    for r in docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if r["term"] < 0:
-            n = r["n"]
-        else:
-            df[r["term"]] = r["n"]
-    return df, n
-
-
 @dataclass
 class Passages:
     """Term counts of some passages, one after the other; words counts all words."""
@@ -125,10 +124,6 @@ class Passages:
     term: np.ndarray
     n: np.ndarray
 
-    def sums(self, rows: np.ndarray, of_term: np.ndarray) -> np.ndarray:
-        """For each passage, the sum of its terms' rows times their weights."""
-        return np.add.reduceat(rows[self.term] * of_term[:, None], self.begins(), axis=0)
-
     def begins(self) -> np.ndarray:
         return np.cumsum(self.size) - self.size
 
@@ -137,14 +132,74 @@ class Passages:
         v = self.n * idf[self.term]
         return v / np.repeat(np.sqrt(np.add.reduceat(v * v, self.begins())), self.size)
 
-    def add_product(self, out: np.ndarray, idf: np.ndarray, q: np.ndarray, weight: float = 1.0) -> None:
-        """Adds the sum over passages a of weight a' (a q)."""
-        y = self.unit(idf)
-        along = self.sums(q, y)
-        order = np.argsort(self.term, kind="stable")
-        term, row = self.term[order], np.repeat(np.arange(len(self.size)), self.size)[order]
-        s = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-        out[term[s]] += weight * np.add.reduceat(along[row] * y[order, None], s, axis=0)
+
+_DENSE = 512  # terms
+
+
+class Common:
+    """The terms that most documents have."""
+
+    def __init__(self, idf: np.ndarray):
+        self.terms = np.argsort(idf, kind="stable")[:_DENSE]
+        self.column = np.full(len(idf), -1)
+        self.column[self.terms] = np.arange(len(self.terms))
+
+
+class Matrix:
+    """Passages by terms: common terms in dense columns, all others sparse."""
+
+    def __init__(self, x: Passages, of_term: np.ndarray, common: Common):
+        self.common = common.terms
+        row, column = np.repeat(np.arange(len(x.size)), x.size), common.column[x.term]
+        some = column >= 0
+        self.dense = np.zeros((len(x.size), len(self.common)))
+        self.dense[row[some], column[some]] = of_term[some]
+        self.row, self.term, self.rest = row[~some], x.term[~some], of_term[~some, None]
+
+    def times(self, m: np.ndarray) -> np.ndarray:
+        out = self.dense @ m[self.common]
+        if len(self.row):
+            s = _runs(self.row)
+            out[self.row[s]] += _sums(m, self.term, s, self.rest)
+        return out
+
+    def add_transposed(self, out: np.ndarray, z: np.ndarray, weight: float) -> None:
+        """Adds weight times the product of the transposed matrix and z."""
+        out[self.common] += weight * (self.dense.T @ z)
+        if len(self.row):
+            order = np.argsort(self.term, kind="stable")
+            term = self.term[order]
+            s = _runs(term)
+            out[term[s]] += weight * _sums(z, self.row[order], s, self.rest[order])
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+
+
+def _sums(rows: np.ndarray, at: np.ndarray, begins: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Sum of the rows `at`, times their weights, of each run: first ones, second ones
+    and so on of all runs at once, as runs are short."""
+    size = np.diff(np.append(begins, len(at)))
+    order = np.argsort(-size, kind="stable")
+    begin, size = begins[order], size[order]
+    total = np.zeros((len(begin), rows.shape[1]), rows.dtype)
+    for k in range(size[0]):
+        some = begin[: np.searchsorted(-size, -k, "left")] + k
+        x = rows[at[some]]
+        if weight is not None:
+            x *= weight[some]
+        total[: len(some)] += x
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
+def _add_product(out: np.ndarray, x: Passages, idf: np.ndarray, common: Common, q: np.ndarray, weight: float = 1.0) -> None:
+    """Adds the sum over passages a of weight a' (a q)."""
+    m = Matrix(x, x.unit(idf), common)
+    m.add_transposed(out, m.times(q), weight)
 
 
 _MANY = 1_024  # passages held at once
@@ -168,21 +223,34 @@ def _counted(passage: np.ndarray, at: np.ndarray, terms: int) -> Iterator[Passag
 _STORED = {"size": "u1", "words": "u1", "term": "<i4", "n": "u1"}
 
 
-def _stored(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
-    """The passages of all texts, `_MANY` or fewer in a row."""
+_SUMS = "at long, z binary"
+
+
+def _counts(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
+    """The passages of all distinct texts, `_MANY` or fewer in a row; and in rows of
+    `at` and `z` the documents that have each term and, after these, how many there are."""
+    names = [*_STORED, "at", "z"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, total = Index(vocab), np.zeros((len(vocab) + 1, 1))
         for part in _slices(batches):
             data, off = tx.raw(part.column("text"))
             h, doc = tx.words(data, off, tx.PUNCT)
+            at = find(h)
+            copies = np.asarray(part.column("copies"))
+            seen = tx.unique(doc[at >= 0] * len(vocab) + at[at >= 0])
+            total[:-1, 0] += np.bincount(seen % len(vocab), copies[seen // len(vocab)], len(vocab))
+            total[-1] += copies.sum()
             count = np.bincount(doc, minlength=len(off) - 1)
             first_word = np.cumsum(count) - count
             here = -(-count // (STEP * SPAN))
             passage = (np.cumsum(here) - here)[doc] + (np.arange(len(h)) - first_word[doc]) // (STEP * SPAN)
-            for x in _counted(passage, lookup(vocab, h), len(vocab)):
-                yield pa.RecordBatch.from_arrays([pa.array([getattr(x, c).astype(kind).tobytes()], pa.binary()) for c, kind in _STORED.items()], list(_STORED))
+            for x in _counted(passage, at, len(vocab)):
+                yield pa.RecordBatch.from_arrays([*(pa.array([getattr(x, c).astype(kind).tobytes()], pa.binary()) for c, kind in _STORED.items()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], names)
+        for rows in _cut_rows(total):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.binary()) for _ in _STORED), *rows.columns], names)
 
-    return docs.mapInArrow(run, ", ".join(f"{c} binary" for c in _STORED))
+    return docs.groupBy("text").agg(F.count("*").alias("copies")).mapInArrow(run, ", ".join(f"{c} binary" for c in _STORED) + f", {_SUMS}")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Passages]:
@@ -191,7 +259,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Passages]:
             yield Passages(*(np.frombuffer(x.as_py(), kind).astype(np.int64) for x, kind in zip(row, _STORED.values(), strict=True)))
 
 
-_ROWS = 4_096  # of a matrix, sent at once
+_ROWS = 256  # of a matrix, sent at once; added up by one task
 _LIKE = 0.5  # cosine with an item from which a passage has no part in the mean
 
 
@@ -205,14 +273,19 @@ def _added(rows: pa.Table) -> pa.Table:
     return pa.table({"at": rows.column("at").slice(0, 1), "z": pa.array([total.tobytes()], pa.binary())})
 
 
-def latent_space(docs: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int = 64, rounds: int = 2, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def _total(rows: DataFrame, terms: int, wide: int) -> np.ndarray:
+    """Sum of matrices cut into rows. They are added up where they are; the driver gets one."""
+    out = np.zeros((terms, wide))
+    for r in rows.groupBy("at").applyInArrow(_added, _SUMS).collect():
+        z = np.frombuffer(r["z"]).reshape(-1, wide)
+        out[r["at"] : r["at"] + len(z)] = z
+    return out
+
+
+def latent_space(corpus: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int = 64, rounds: int = 2, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Whitened term vectors `(terms, rank)`, idf included, and the mean vector
-    of a word. Fitted on every distinct text."""
-    spark = docs.sparkSession
-    terms = len(bench.vocab)
-    path = f"{shared_folder(spark)}/passages-{uuid.uuid4().hex}"
-    _stored(docs.where("text is not null").dropDuplicates(["text"]), bench.vocab).write.parquet(path)
-    corpus = spark.read.schema(", ".join(f"{c} binary" for c in _STORED)).parquet(path)
+    of a word. Fitted on all passages of `corpus`, those of every distinct text."""
+    terms, common = len(bench.vocab), Common(idf)
     items = [w for _, w in item_passages(bench)]
     own = list(_counted(np.repeat(np.arange(len(items)), [len(w) for w in items]), lookup(bench.vocab, np.concatenate(items)), terms))
     # as many rows of the benchmark as of the corpus would be too many copies: weights do
@@ -224,16 +297,12 @@ def latent_space(docs: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros((terms, q.shape[1]))
             for x in _read(batches):
-                x.add_product(out, idf, q)
+                _add_product(out, x, idf, common, q)
             yield from _cut_rows(out)
 
-        # partial sums are added up where they are; the driver gets terms x rank numbers
-        got = np.zeros((terms, q.shape[1]))
-        for r in corpus.mapInArrow(run, "at long, z binary").groupBy("at").applyInArrow(_added, "at long, z binary").collect():
-            z = np.frombuffer(r["z"]).reshape(-1, got.shape[1])
-            got[r["at"] : r["at"] + len(z)] = z
+        got = _total(corpus.mapInArrow(run, _SUMS), terms, q.shape[1])
         for x in own:
-            x.add_product(got, idf, q, weight)
+            _add_product(got, x, idf, common, q, weight)
         return got
 
     wide = min(rank + 8, terms)
@@ -245,13 +314,13 @@ def latent_space(docs: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int =
     best = best[value[best] > 1e-9 * max(value.max(), 1e-300)]
     vectors = (q @ turn[:, best]) / np.sqrt(value[best])[None, :]
     # of an item in most texts the plain mean would hold so much that nothing is left
-    known = np.concatenate([x.sums(vectors, x.n * idf[x.term]) for x in own])
+    known = np.concatenate([Matrix(x, x.n * idf[x.term], common).times(vectors) for x in own])
     known /= np.maximum(np.linalg.norm(known, axis=1), 1e-12)[:, None]
 
     def calm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, words = np.zeros(vectors.shape[1]), 0
         for x in _read(batches):
-            z = x.sums(vectors, x.n * idf[x.term])
+            z = Matrix(x, x.n * idf[x.term], common).times(vectors)
             for a in range(0, len(z), 128):
                 some = z[a : a + 128]
                 like = (some @ known.T).max(1).clip(0) < _LIKE * np.linalg.norm(some, axis=1)
@@ -260,7 +329,6 @@ def latent_space(docs: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int =
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([words], pa.int64())], ["z", "n"])
 
     parts = corpus.mapInArrow(calm, "z binary, n long").collect()  # rank numbers for each split of the table
-    Files(spark).delete(path)
     return vectors * idf[:, None], sum((np.frombuffer(r["z"]) for r in parts), np.zeros(len(best))) / max(1, sum(r["n"] for r in parts))
 
 
@@ -314,11 +382,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out
 
 
+# held at once
+_PAIRS = 1 << 22  # of passages and items
+_STRETCH = 1 << 19  # words of candidates
+
+
 class Finder:
     """Candidate search and check on the texts of a batch."""
 
     def __init__(self, bench: Benchmark, idf: np.ndarray, vectors: np.ndarray, mean: np.ndarray, least_cosine: float, least_lcs: float, least_answer: float):
-        self.bench, self.least = bench, (least_cosine, least_lcs, least_answer)
+        self.bench, self.least, self.index = bench, (least_cosine, least_lcs, least_answer), Index(bench.vocab)
         self.vectors, self.mean = vectors.astype(np.float32), mean.astype(np.float32)
         self.live = self.vectors.any(1)
         own = item_passages(bench)
@@ -328,8 +401,12 @@ class Finder:
         self.targets = (z / np.maximum(norm, 1e-12)[:, None]).astype(np.float32).T.copy()
         # a passage that holds an item, or all that its words can, has that much along it
         self.need = [(0.5 * norm * np.minimum(1, STEP * k / np.array([len(w) for _, w in own]))).astype(np.float32) for k in SPANS]
-        self.items = [w.tolist() for w in bench.words]
-        self.counted = [np.unique(w, return_counts=True) for w in bench.words]
+        self.items, self.size = [w.tolist() for w in bench.words], np.array([len(w) for w in bench.words])
+        # how often each item has each of its terms, by a hash of both
+        term, count = zip(*(tx.unique_counts(lookup(bench.vocab, w)) for w in bench.words), strict=True)
+        key = self.pair(np.repeat(np.arange(len(term)), [len(x) for x in term]), np.concatenate(term))
+        order = np.argsort(key)
+        self.pairs, self.count = Index(key[order]), np.concatenate(count)[order]
         self.answers = []
         for w, a in zip(bench.words, bench.answers, strict=True):
             terms = tx.unique(w if a is None else a)
@@ -337,32 +414,43 @@ class Finder:
                 terms = terms[np.argsort(-idf[lookup(bench.vocab, terms)], kind="stable")][: max(1, len(terms) * 3 // 10)]
             self.answers.append(set(terms.tolist()))
 
-    def blocks(self, h: np.ndarray, doc: np.ndarray, first_word: np.ndarray, first_block: np.ndarray) -> np.ndarray:
+    def pair(self, item: np.ndarray, term: np.ndarray) -> np.ndarray:
+        return tx.mix((item * len(self.bench.vocab) + term).astype(np.uint64))
+
+    def blocks(self, at: np.ndarray, doc: np.ndarray, first_word: np.ndarray, first_block: np.ndarray) -> np.ndarray:
         """Centred latent sums of blocks of STEP words."""
-        gid = first_block[doc] + (np.arange(len(h)) - first_word[doc]) // STEP
-        at = lookup(self.bench.vocab, h)
+        gid = first_block[doc] + (np.arange(len(at)) - first_word[doc]) // STEP
+        sums = np.bincount(gid, minlength=first_block[-1])[:, None].astype(np.float32) * -self.mean
         use = at >= 0
         use[use] = self.live[at[use]]
-        sums = np.zeros((first_block[-1], self.vectors.shape[1]), np.float32)
-        if use.any():
-            g, at = gid[use], at[use]
-            s = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            sums[g[s]] = np.add.reduceat(self.vectors[at], s, axis=0)
-        sums -= np.bincount(gid, minlength=len(sums))[:, None].astype(np.float32) * self.mean
+        g, at = gid[use], at[use]
+        if len(g):
+            begins = _runs(g)
+            sums[g[begins]] += _sums(self.vectors, at, begins)
         return sums
 
-    def shared(self, item: int, text: np.ndarray) -> int:
-        """Words that an item and a text have in common; no subsequence has more."""
-        terms, count = self.counted[item]
-        at = np.searchsorted(terms, text)
-        at[at == len(terms)] = 0
-        return int(np.minimum(np.bincount(at[terms[at] == text], minlength=len(terms)), count).sum())
+    def shared(self, item: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Words that each item and its stretch of the terms have in common; no subsequence has more."""
+        out, ends, a = np.zeros(len(item), np.int64), np.cumsum(hi - lo), 0
+        while a < len(item):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _STRETCH, "right")))
+            size = (hi - lo)[a:b]
+            of = np.repeat(np.arange(a, b), size)
+            term = at[np.arange(len(of)) + np.repeat(lo[a:b] - (np.cumsum(size) - size), size)]
+            of, term = of[term >= 0], term[term >= 0]
+            found = self.pairs(self.pair(item[of], term))
+            key, n = tx.unique_counts(of[found >= 0] * len(self.count) + found[found >= 0])
+            of, found = np.divmod(key, len(self.count))
+            out += np.bincount(of, np.minimum(n, self.count[found]), len(item)).astype(np.int64)
+            a = b
+        return out
 
     def find(self, column: pa.Array) -> list[tuple[int, int, float, int, int, int]]:
         """(text, item, cosine, lcs, begin, end) of each text and item in it."""
         least_cosine, least_lcs, least_answer = self.least
         data, off = tx.raw(column)
         h, doc = tx.words(data, off, tx.PUNCT)
+        at = self.index(h)
         n = len(off) - 1
         count = np.bincount(doc, minlength=n)
         nb = -(-count // STEP)
@@ -370,7 +458,7 @@ class Finder:
         first_block = np.concatenate([[0], np.cumsum(nb)])
         if not first_block[-1]:
             return []
-        sums = self.blocks(h, doc, first_word, first_block)
+        sums = self.blocks(at, doc, first_word, first_block)
         bdoc = np.repeat(np.arange(n), nb)
         place = np.arange(len(sums)) - first_block[bdoc]
         best: dict[tuple[int, int], tuple[int, float, int, int]] = {}
@@ -382,22 +470,24 @@ class Finder:
                 ok = place[begins] + k < nb[bdoc[begins]]
                 z[ok] += sums[begins[ok] + k]
             norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)
-            for a in range(0, len(z), 4096):
-                along = z[a : a + 4096] @ self.targets
-                for flat in np.flatnonzero((along >= need) & (along >= least_cosine * norm[a : a + 4096, None])):
-                    p, t = divmod(int(flat), along.shape[1])
-                    d, i = int(bdoc[begins[a + p]]), int(self.of_item[t])
+            step = min(4096, max(1, _PAIRS // len(self.of_item)))
+            for a in range(0, len(z), step):
+                along = z[a : a + step] @ self.targets
+                p, t = np.divmod(np.flatnonzero(along >= need), along.shape[1])
+                far = along[p, t] >= least_cosine * norm[a + p]
+                p, t = p[far], t[far]
+                of, item = bdoc[begins[a + p]], self.of_item[t]
+                size, begin = self.size[item], place[begins[a + p]] * STEP
+                lo = first_word[of] + np.maximum(0, begin - size)
+                hi = np.minimum(first_word[of + 1], first_word[of] + begin + STEP * span + size)
+                for j in np.flatnonzero(self.shared(item, at, lo, hi) >= least_lcs * size).tolist():
+                    d, i, start = int(of[j]), int(item[j]), int(lo[j] - first_word[of[j]])
                     old = best.get((d, i))
                     if old and old[0] == len(self.items[i]):
                         continue
-                    at, size = int(place[begins[a + p]]) * STEP, len(self.items[i])
-                    lo = max(0, at - size)
-                    text = h[first_word[d] + lo : min(first_word[d + 1], first_word[d] + at + STEP * span + size)]
-                    if self.shared(i, text) < least_lcs * size:
-                        continue
-                    found = _verified(self.items[i], self.answers[i], text.tolist(), at - lo, STEP * span, least_lcs, least_answer)
+                    found = _verified(self.items[i], self.answers[i], h[lo[j] : hi[j]].tolist(), int(begin[j]) - start, STEP * span, least_lcs, least_answer)
                     if found and (old is None or found[0] > old[0]):
-                        best[d, i] = (found[0], float(along[p, t] / norm[a + p]), lo + found[1], lo + found[2])
+                        best[d, i] = (found[0], float(along[p[j], t[j]] / norm[a + p[j]]), start + found[1], start + found[2])
         return [(d, i, v[1], v[0], v[2], v[3]) for (d, i), v in sorted(best.items())]
 
 
@@ -405,9 +495,15 @@ def _leaks(docs: DataFrame, bench: Benchmark, rank: int, least_cosine: float, le
     schema = "doc_id long, item_id long, cosine double, lcs int, ratio double, begin long, end long"
     if not bench.ids:
         return docs.sparkSession.createDataFrame([], schema)
-    freq, n_docs = _frequencies(docs.select("text"), bench.vocab)
-    idf = np.log((1 + n_docs) / (1 + freq)) + 1
-    finder = Finder(bench, idf, *latent_space(docs.select("text"), bench, idf, rank), least_cosine, least_lcs, least_answer)
+    spark, terms = docs.sparkSession, len(bench.vocab)
+    path = f"{shared_folder(spark)}/passages-{uuid.uuid4().hex}"
+    counts = _counts(docs.select("text"), bench.vocab)
+    counts.write.parquet(path)
+    counts = spark.read.schema(counts.schema).parquet(path)
+    total = _total(counts.where("at is not null").select("at", "z"), terms + 1, 1)[:, 0]
+    idf = np.log((1 + total[-1]) / (1 + total[:-1])) + 1
+    finder = Finder(bench, idf, *latent_space(counts.where("at is null").select(*_STORED), bench, idf, rank), least_cosine, least_lcs, least_answer)
+    Files(spark).delete(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):

@@ -2,9 +2,11 @@
 
 import itertools
 import math
+import os
 import random
 import re
-from collections import defaultdict
+import uuid
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -458,6 +460,62 @@ def test_latent_space_is_of_all_texts(spark, monkeypatch, tmp_path, stage):
     assert np.allclose(mean, (v @ white)[like].sum(0) / sum(n for (_, n), k in zip(rows, like, strict=True) if k))
 
 
+def test_texts_are_read_twice(spark, tmp_path):
+    """Once to count and to fit, once to search; frequencies count every copy."""
+    log = str(tmp_path)
+
+    def seen(batches):
+        open(f"{log}/{uuid.uuid4().hex}", "w").close()
+        yield from batches
+
+    item = " ".join(f"w{i}" for i in range(25))
+    df = docs(spark, [item, f"head {item}", "clean text of no one", None, item]).coalesce(1).mapInArrow(seen, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.leaks(df, bench).collect()} == {0, 1, 4}
+    assert len(os.listdir(log)) == 2
+    given = decontaminate.read_benchmark([(7, "w1 head nobody")])
+    rows = decontaminate._counts(df.select("text"), given.vocab).where("at is not null").select("at", "z")
+    total = decontaminate._total(rows, len(given.vocab) + 1, 1)[:, 0]
+    at = decontaminate.lookup(given.vocab, given.words[0])
+    assert [*total[at], total[-1]] == [3, 1, 0, 5]
+
+
+def test_products_of_passages(monkeypatch):
+    """Dense and sparse columns together are the plain matrix."""
+    monkeypatch.setattr(decontaminate, "_DENSE", 7)
+    rng = np.random.default_rng(4)
+    n = np.where(rng.random((300, 60)) < rng.random(60), rng.integers(1, 4, (300, 60)), 0)
+    n[n.sum(1) == 0, 3] = 1
+    row, term = np.nonzero(n)
+    x = decontaminate.Passages(np.bincount(row), n.sum(1), term, n[row, term])
+    idf, q = rng.random(60) + 0.5, rng.standard_normal((60, 9))
+    a, got = n * idf, np.zeros((60, 9))
+    common = decontaminate.Common(idf)
+    assert np.allclose(decontaminate.Matrix(x, x.n * idf[x.term], common).times(q), a @ q)
+    decontaminate._add_product(got, x, idf, common, q, 2.0)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    assert np.allclose(got, 2 * a.T @ (a @ q))
+
+
+def test_index_and_shared_words(monkeypatch):
+    """Hashes by their top bits, against binary search, full places too; shared words
+    of many stretches, against multisets."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 1000):
+        vocab = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64) >> np.uint64(n % 3 * 9))
+        h = np.concatenate([vocab, vocab + np.uint64(1), rng.integers(0, 1 << 64, 999, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        assert (decontaminate.Index(vocab)(h) == decontaminate.lookup(vocab, h)).all()
+    monkeypatch.setattr(decontaminate, "_STRETCH", 100)
+    words = lambda k: " ".join(f"w{i}" for i in rng.integers(0, 30, k))
+    bench = decontaminate.read_benchmark([(i, words(k)) for i, k in enumerate((3, 10, 25, 60))])
+    finder = decontaminate.Finder(bench, np.ones(len(bench.vocab)), rng.random((len(bench.vocab), 4)), np.zeros(4), 0.1, 0.7, 0.6)
+    text = decontaminate._hashes([words(400) + " x y"])[0]
+    item, lo = rng.integers(0, 4, 50), rng.integers(0, 400, 50)
+    hi = np.minimum(len(text), lo + rng.integers(0, 120, 50))
+    want = [(Counter(bench.words[i].tolist()) & Counter(text[a:b].tolist())).total() for i, a, b in zip(item, lo, hi, strict=True)]
+    assert finder.shared(item, finder.index(text), lo, hi).tolist() == want
+
+
 def test_leaks_odd(spark):
     item = " ".join(f"w{i}" for i in range(25))
     rows = [(None, f"head {item}"), (None, "clean text of no one"), (1, item), (1, "another text with this id"), (2, "x " * 200_000 + item + " y" * 1000), (3, None)]
