@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm import _text as tx
-from gridlark.llm._spark import components, free_names, semi_join, stable
+from gridlark.llm._spark import components, free_names, lean, semi_join, stable
 
 U = np.uint64
 _C1, _C2, _C3, _C4 = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
@@ -187,6 +187,7 @@ def shingle_counts(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataF
     """`(doc_id, rk, n_shingles, node, sketch)`; rk is a hash of id and text, node null
     for the empty set."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some, doc, h, size, node in _sets(batch, "text", n):
@@ -230,6 +231,7 @@ def _lists(docs: DataFrame, text_col: str, n: int, scheme: Scheme, ranges: int)
         cut = [(np.searchsorted(r, present), np.searchsorted(r, present, "right"), x) for r, x in cols]
         return pa.RecordBatch.from_arrays([pa.array(present, pa.int32())] + [pa.array([x[i:j].tobytes() for i, j in zip(a, b, strict=True)], pa.binary()) for a, b, x in cut], ["rng", "keys", "nodes", "wide", "wild"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held = [], [], 0
         for batch in batches:
@@ -244,6 +246,7 @@ def _lists(docs: DataFrame, text_col: str, n: int, scheme: Scheme, ranges: int)
         if held:
             yield emit(keys, nodes)
 
+    @lean
     def merge(rows: pa.Table) -> pa.Table:
         def joined(name):
             return np.frombuffer(b"".join(x.as_py() for x in rows.column(name)), np.uint64)
@@ -273,6 +276,7 @@ def _possible(scheme: Scheme):
     """Edges of spanning forests of what can link in each list, by sketches."""
     num, den = scheme.num, scheme.den
 
+    @lean
     def run(rows: pa.Table) -> pa.Table:
         key, node, size = (rows.column(x).to_numpy() for x in ("a", "node", "size"))
         sketch = [x.values.to_numpy().view(np.uint64) for x in rows.column("sketch")]
@@ -304,6 +308,8 @@ def _candidate_edges(docs: DataFrame, text_col: str, n: int, scheme: Scheme, ran
     lists = stable(_lists(docs, text_col, n, scheme, ranges).distinct())
     num, den = scheme.num, scheme.den
     of = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+
+    @lean
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
@@ -371,6 +377,7 @@ def _verify(scheme: Scheme):
             np.fill_diagonal(link, False)
         return link
 
+    @lean
     def run(rows: pa.Table) -> pa.Table:
         comp, node, blk = (rows.column(x).to_numpy() for x in ("comp", "node", "blk"))
         copies, bi, bj = rows.column("copies").to_numpy(), rows.column("bi")[0].as_py(), rows.column("bj")[0].as_py()
@@ -411,6 +418,7 @@ def _verify(scheme: Scheme):
 
 
 def _items(docs: DataFrame, n: int) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, doc, h, size, node in _sets(batch, "text", n):

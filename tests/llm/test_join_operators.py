@@ -1,5 +1,6 @@
 """Joins, searches, dedup, decontamination, licenses and the pipeline against brute force."""
 
+import ctypes
 import itertools
 import math
 import os
@@ -9,8 +10,11 @@ import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
+from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin as GroupedData
 
 import corpus_pipeline
 from gridlark.llm import ann, decontaminate, jaccard_join, license_scan, line_dedup
@@ -106,6 +110,38 @@ def test_jaccard_empty(spark):
     assert got == [(4, 2), (4, 2), (4, 2), (5, 0)]
 
 
+def test_jaccard_workers_keep_no_memory(spark, monkeypatch):
+    """What the join runs in Python workers gives freed memory back; they live on beside other stages."""
+    give_back = ctypes.CDLL(None).malloc_trim
+    ran = []
+    for kind, name in ((DataFrame, "mapInArrow"), (GroupedData, "applyInArrow")):
+        plain = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, run, schema, *a, plain=plain: ran.append((run, schema)) or plain(self, run, schema, *a))
+
+    def kept():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 5000, 250)) for _ in range(6000)]
+    rows = pa.record_batch({"doc_id": np.arange(6000), "rk": np.arange(6000), "text": texts})
+    jaccard_join.jaccard_components(docs(spark, texts[:3] + texts[:2])).collect()
+    of = {schema.split()[0]: run for run, schema in ran}
+    assert set(of) == {"doc_id", "rng", "kind", "u", "node"}
+    merge = next(run for run, schema in ran if schema == "kind int, a long, b long")
+    for run in (of["doc_id"], of["node"], of["rng"]):
+        pa.default_memory_pool().release_unused(), give_back(0)
+        before = kept()
+        for _ in run(iter([rows])):
+            pass
+        assert kept() - before < 32, run
+    lists = pa.Table.from_batches(list(of["rng"](iter([rows]))))
+    before = kept()
+    merge(lists)
+    assert kept() - before < 32
+
+
 def test_scheme_loses_no_pair():
     """Any two sets that link share a key, whatever their sizes and the boundary."""
     rng = np.random.default_rng(5)
