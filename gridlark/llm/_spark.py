@@ -9,9 +9,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -74,9 +77,14 @@ def lean(run: Callable) -> Callable:
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage by a Parquet table in the folder of checkpoints. It takes a quarter
     of a checkpoint's space or less, but its rows come back in any order."""
+    return written_at(df)[0]
+
+
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """`written`, and the table's folder, for who deletes it when it has been used."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +107,41 @@ def has_rows_below(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def running(df: DataFrame, order: list[Column], amount: str, rows: int, out: str = "before", per_range: int = 1_000_000) -> DataFrame:
+    """`df` with `out`: the sum of the long column `amount` over all rows before, in `order`.
+
+    Rows are dealt to ranges of the order of about `per_range` rows (`rows` is how many
+    there are), summed up in each, and the ranges' totals (a row each) are summed up
+    after that; no task has more than a range. Rows that tie in `order` come in any order.
+    """
+    pid, = free_names(df, "range")
+    schema = T.StructType([*df.schema.fields, T.StructField(pid, T.IntegerType()), T.StructField(out, T.LongType())])
+
+    def sums(batches):
+        number, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            x = np.asarray(b.column(b.schema.get_field_index(amount)).to_numpy(zero_copy_only=False), np.int64)
+            ends = total + np.cumsum(x)
+            if len(x):
+                total = int(ends[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(x), number, np.int32)), pa.array(ends - x)], names=[*b.schema.names, pid, out])
+
+    placed = written(df.repartitionByRange(max(1, -(-rows // per_range)), *order).sortWithinPartitions(*order).mapInArrow(sums, schema))
+    ranges = placed.groupBy(pid).agg(F.sum(amount).alias("all"))
+    ranges = ranges.select(pid, (F.sum("all").over(Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, 0)) - F.col("all")).alias("first"))
+    ranges = F.broadcast(ranges)  # a row a range
+    return placed.join(ranges, pid).withColumn(out, F.col(out) + F.col("first")).drop("first", pid)
+
+
+def copied(df: DataFrame, times: str, number: str, piece: int = 8_192) -> DataFrame:
+    """Every row as often as its long column `times` says (0: not), numbered from 0 in
+    the column `number`; great numbers are dealt out in pieces."""
+    k, = free_names(df, "piece")
+    df = df.where(F.col(times) > 0)
+    df = df.withColumn(k, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / piece))))
+    return df.withColumn(number, F.explode(F.sequence(F.col(k) * piece, F.least(F.col(times), (F.col(k) + 1) * piece) - 1))).drop(k)
+
+
 def semi_join(df: DataFrame, ids: DataFrame, key: str, bound: int = 2_000_000) -> DataFrame:
     """Rows of `df` whose key is in `ids`: broadcast while the checked count of
     ids stays under `bound`, a shuffled semi join beyond it."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from gridlark.llm.align import op12_alignment
 from gridlark.llm.ann import op1_ann
 from gridlark.llm.bpe import op7_bpe
 from gridlark.llm.chat import op3_chat_format
@@ -11,7 +12,9 @@ from gridlark.llm.jaccard_join import op5_jaccard_join
 from gridlark.llm.langid import op4_language_id
 from gridlark.llm.license_scan import op10_license_scan
 from gridlark.llm.line_dedup import op9_line_dedup
+from gridlark.llm.mixing import op11_mixing
 from gridlark.llm.quality import op6_quality
+from gridlark.llm.resample import op13_resample
 from gridlark.llm.shard import op8_sharding
 
 QUERIES = {
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_mixing": op11_mixing,
+    "op12_alignment": op12_alignment,
+    "op13_resample": op13_resample,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -77,6 +83,37 @@ k as (select r.doc_id, count(d.i) as n_deleted, coalesce(string_agg(cast(d.i as
 select doc_id, coalesce(n_deleted, 0) as n_deleted, coalesce(deleted, '') as deleted, k.text from documents left join k using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op9_line_dedup": _OP9, "op3_chat_format": _OP3, "op5_jaccard_join": _OP5}
+# The level is that of the first number of full sources (in order of limit over weight)
+# at which the next one is not full; the turn is the one of 32 that comes nearest.
+_OP11 = r"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, ('0x' || substr(sha256('11:' || doc_id), 1, 8))::bigint as h from documents),
+s as (select source, sum(size)::bigint as source_size, [5, 2, 1][(row_number() over (order by source is null, source) - 1) % 3 + 1] as w, 3::double * sum(size) as cap from d group by source),
+o as (select *, sum(cap) over (order by cap / w, w, source rows unbounded preceding) - cap as c, sum(w) over () - sum(w) over (order by cap / w, w, source rows unbounded preceding) + w as r, sum(source_size) over () as t from s),
+lv as (select arg_min((t - c) / r, (cap / w, w, source)) as level from o where (t - c) / r <= cap / w),
+g as (select source, source_size, least(cap, level * w) as target, case when source_size > 0 then least(cap, level * w) / source_size else 0 end as rate from s, lv),
+x as (select d.*, g.* exclude (source) from d join g on d.source is not distinct from g.source),
+y as (select x.*, k, case when ((h + k * 2654435761) % 4294967296 + 0.5::double) / 4294967296 < rate - floor(rate) then 1 else 0 end as extra from x, range(32) q(k)),
+e as (select source, k, abs(any_value(source_size) * floor(any_value(rate)) + sum(size * extra) - any_value(target)) as off from y group by all),
+b as (select source, arg_min(k, (off, k)) as k from e group by source)
+select doc_id, size, source_size, target, ((floor(rate) + extra) * size)::bigint as taken, y.source, (floor(rate) + extra)::bigint as copies from y join b on y.source is not distinct from b.source and y.k = b.k
+"""
+
+_OP13 = r"""
+with crc as (select list(c order by i) as t from (select i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c from range(256) r(i))),
+d as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from documents),
+q as (select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+v as (select w, xor(list_reduce(list_concat([4294967295], list_transform(range(len(hex(w)) // 2), lambda i: ('0x' || substr(hex(w), 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as b
+  from (select w from d union select w from q), crc),
+s as (select b, count(*) as s from d join v using (w) group by b),
+t as (select b, count(*) as t from q join v using (w) group by b),
+n as (select (select count(*) from d) as big, (select count(*) from q) as target),
+g as (select b, floor(1000 * ln((coalesce(t, 0) + 1)::double * (big + 10000)::double / ((s + 1)::double * (target + 10000)::double))) as gain from s left join t using (b), n),
+f as (select doc_id, count(*) as n, floor(sum(gain) / count(*))::bigint as weight from d join v using (w) join g using (b) group by doc_id),
+x as (select doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score from documents left join f using (doc_id)),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from x where n_features >= 20)
+select x.*, case when rank <= r.n * 10 // 100 then rank end as rank from x left join r using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op9_line_dedup": _OP9, "op3_chat_format": _OP3, "op5_jaccard_join": _OP5, "op11_mixing": _OP11, "op13_resample": _OP13}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
