@@ -45,9 +45,9 @@ def _sized(df: DataFrame, id_col: str, source_col: str, text_col: str, seed: int
     return df.withColumns({"_size": size, "_source": F.col(f"`{source_col}`").cast("string"), "_h": F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")})
 
 
-def _extra(h: Column, turn: Column, part: Column) -> Column:
-    """Whether the number of a document, turned, is below the fraction."""
-    return ((F.pmod(h + turn * F.lit(STEP), F.lit(2**32)) + 0.5) / 2.0**32) < part
+def _extra(turn: object) -> str:
+    """Whether the number of a document, turned, is below the fraction of its rate."""
+    return f"(pmod(_h + {turn} * {STEP}, 4294967296) + 0.5D) / 4294967296D < rate - floor(rate)"
 
 
 def shares(sources: DataFrame, weights: Sequence[int], cap: float, share: float, rows: int) -> DataFrame:
@@ -88,17 +88,15 @@ def _rates(narrow: DataFrame, weights: Sequence[int], cap: float, share: float,
     rows = sources.count()
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = stable(shares(sources, weights, cap, share, rows).withColumn("rate", rate))
-    part, whole = F.col("rate") - F.floor("rate"), F.floor("rate")
     met = _meet(narrow, sources, known)
-    sums = [F.sum(F.when(_extra(F.col("_h"), F.lit(t), part), F.col("_size")).otherwise(0)).alias(f"t{t}") for t in range(tries)]
-    off = lambda t: F.abs(F.col("source_size") * whole + F.col(f"t{t}") - F.col("target"))
-    best = F.array_min(F.array(*[F.struct(off(t).alias("off"), F.lit(t).alias("turn")) for t in range(tries)]))["turn"]
+    sums = [F.expr(f"sum(if({_extra(t)}, _size, 0)) as t{t}") for t in range(tries)]
+    offs = ", ".join(f"struct(abs(source_size * floor(rate) + t{t} - target) as off, {t} as turn)" for t in range(tries))
+    best = F.expr(f"array_min(array({offs})).turn")
     return stable(met.groupBy("_source", "source_size", "source_rows", "target", "rate").agg(*sums).withColumn("turn", best).select("_source", "source_size", "source_rows", "target", "rate", "turn"))
 
 
 def _copies() -> Column:
-    part = F.col("rate") - F.floor("rate")
-    return (F.floor("rate") + _extra(F.col("_h"), F.col("turn"), part).cast("long")).cast("long")
+    return F.expr(f"cast(floor(rate) + if({_extra('turn')}, 1, 0) as long)")
 
 
 def _names(df: DataFrame, *more: str) -> None:
