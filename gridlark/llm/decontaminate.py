@@ -39,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,13 +224,13 @@ def _counted(passage: np.ndarray, at: np.ndarray, terms: int) -> Iterator[Passag
 _STORED = {"size": "u1", "words": "u1", "term": "<i4", "n": "u1"}
 
 
-_SUMS = "at long, z binary"
+_SUMS = "at long, task long, z binary"
 
 
 def _counts(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
     """The passages of all distinct texts, `_MANY` or fewer in a row; and in rows of
     `at` and `z` the documents that have each term and, after these, how many there are."""
-    names = [*_STORED, "at", "z"]
+    names = [*_STORED, "at", "task", "z"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, total = Index(vocab), np.zeros((len(vocab) + 1, 1))
@@ -246,7 +247,7 @@ def _counts(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
             here = -(-count // (STEP * SPAN))
             passage = (np.cumsum(here) - here)[doc] + (np.arange(len(h)) - first_word[doc]) // (STEP * SPAN)
             for x in _counted(passage, at, len(vocab)):
-                yield pa.RecordBatch.from_arrays([*(pa.array([getattr(x, c).astype(kind).tobytes()], pa.binary()) for c, kind in _STORED.items()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array([getattr(x, c).astype(kind).tobytes()], pa.binary()) for c, kind in _STORED.items()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], names)
         for rows in _cut_rows(total):
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.binary()) for _ in _STORED), *rows.columns], names)
 
@@ -260,25 +261,33 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Passages]:
 
 
 _ROWS = 256  # of a matrix, sent at once; added up by one task
+_FAN = 64  # partial sums that one task adds up
 _LIKE = 0.5  # cosine with an item from which a passage has no part in the mean
 
 
 def _cut_rows(z: np.ndarray) -> Iterator[pa.RecordBatch]:
+    task = pa.array([TaskContext.get().partitionId()], pa.int64())
     for a in range(0, len(z), _ROWS):
-        yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([z[a : a + _ROWS].tobytes()], pa.binary())], ["at", "z"])
+        yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), task, pa.array([z[a : a + _ROWS].tobytes()], pa.binary())], ["at", "task", "z"])
 
 
-def _added(rows: pa.Table) -> pa.Table:
-    total = np.add.reduce([np.frombuffer(x.as_py()) for x in rows.column("z")])
-    return pa.table({"at": rows.column("at").slice(0, 1), "z": pa.array([total.tobytes()], pa.binary())})
+def _added(key: tuple, rows: pa.Table) -> pa.Table:
+    total = np.zeros(len(rows.column("z")[0].as_py()) // 8)
+    for x in rows.column("z"):
+        total += np.frombuffer(x.as_py())
+    return pa.table({"at": rows.column("at").slice(0, 1), "task": pa.array([key[1].as_py()], pa.int64()), "z": pa.array([total.tobytes()], pa.binary())})
 
 
 def _total(rows: DataFrame, terms: int, wide: int) -> np.ndarray:
-    """Sum of matrices cut into rows. They are added up where they are; the driver gets one."""
-    out = np.zeros((terms, wide))
-    for r in rows.groupBy("at").applyInArrow(_added, _SUMS).collect():
+    """Sum of matrices cut into rows. They are added up where they are, as a tree in which no
+    group has more than _FAN of the tasks' rows; the driver gets one."""
+    out, tasks = np.zeros((terms, wide)), rows.rdd.getNumPartitions()
+    while tasks > 1:
+        rows = rows.groupBy("at", F.floor(F.col("task") / _FAN).alias("node")).applyInArrow(_added, _SUMS)
+        tasks = -(-tasks // _FAN)
+    for r in rows.collect():
         z = np.frombuffer(r["z"]).reshape(-1, wide)
-        out[r["at"] : r["at"] + len(z)] = z
+        out[r["at"] : r["at"] + len(z)] += z
     return out
 
 
@@ -326,10 +335,10 @@ def latent_space(corpus: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int
                 like = (some @ known.T).max(1).clip(0) < _LIKE * np.linalg.norm(some, axis=1)
                 total += some[like].sum(0)
                 words += int(x.words[a : a + 128][like].sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([words], pa.int64())], ["z", "n"])
+        yield from _cut_rows(np.append(total, words)[None, :])
 
-    parts = corpus.mapInArrow(calm, "z binary, n long").collect()  # rank numbers for each split of the table
-    return vectors * idf[:, None], sum((np.frombuffer(r["z"]) for r in parts), np.zeros(len(best))) / max(1, sum(r["n"] for r in parts))
+    mean = _total(corpus.mapInArrow(calm, _SUMS), 1, vectors.shape[1] + 1)[0]
+    return vectors * idf[:, None], mean[:-1] / max(1.0, mean[-1])
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -500,7 +509,7 @@ def _leaks(docs: DataFrame, bench: Benchmark, rank: int, least_cosine: float, le
     counts = _counts(docs.select("text"), bench.vocab)
     counts.write.parquet(path)
     counts = spark.read.schema(counts.schema).parquet(path)
-    total = _total(counts.where("at is not null").select("at", "z"), terms + 1, 1)[:, 0]
+    total = _total(counts.where("at is not null").select("at", "task", "z"), terms + 1, 1)[:, 0]
     idf = np.log((1 + total[-1]) / (1 + total[:-1])) + 1
     finder = Finder(bench, idf, *latent_space(counts.where("at is null").select(*_STORED), bench, idf, rank), least_cosine, least_lcs, least_answer)
     Files(spark).delete(path)

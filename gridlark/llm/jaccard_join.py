@@ -58,7 +58,7 @@ class Scheme:
             raise ValueError("the threshold is over 0 and at most 1")
         self.num, self.den, self.boundary = num, den, boundary
         self.low, self.high = [1], []
-        while self.low[-1] < 1 << 26:
+        while self.low[-1] < 1 << 30:  # a string has fewer than 2^31 bytes, a word and what ends it two
             self.high.append(max(self.low[-1], int(self.low[-1] * 1.414)))
             self.low.append(self.high[-1] + 1)
         self.low = self.low[:-1]

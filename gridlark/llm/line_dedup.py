@@ -25,6 +25,7 @@ its own, is deleted where it occurs later, if it has `min_words` words or more.
 
 Edge cases: null texts stay null and have no lines; empty lines are lines of no
 words; rows that repeat (id and text) are one document and treated alike;
+a line is known by 128 bits (64, and 64 more where different lines share these);
 documents of one id and other texts are ordered by a hash of the text; null ids
 come first; very long texts are one row in each step; an empty table gives no rows;
 extra columns stay as they are, whatever their names, but for `deleted_lines`,
@@ -42,15 +43,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm import _text as tx
-from gridlark.llm._spark import free_names, stable, written
+from gridlark.llm._spark import free_names, stable, written, written_at
+from gridlark.sources.files import Files
 
 _BREAK = np.zeros(256, bool)
 _BREAK[10] = True
 _ROWS = 150_000  # of a partition or a bucket, about
+_CHECK = 0x5851F42D4C957F2D  # salt of the second hash
 
 
 def line_arrays(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """Of all lines: text, position, hash and number of words."""
+    """Of all lines: text, position, hash, number of words and a second, independent hash."""
     data, off = tx.raw(column)
     n = len(off) - 1
     breaks = np.flatnonzero(_BREAK[data]) if len(data) else np.zeros(0, np.int64)
@@ -65,10 +68,10 @@ def line_arrays(column: pa.Array) -> tuple[np.ndarray, ...]:
     starts = np.where(new, off[doc], np.concatenate([[0], ends[:-1] + 1]))
     first = np.flatnonzero(new)
     pos = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
-    h = tx.span_hashes(data, starts, ends, lower=False)
+    h, check = (tx.span_ids(data, starts, ends, lower=False, salt=k) for k in (0, _CHECK))
     s, _, _ = tx.spans(data, off, tx.SPACE)
     words = np.searchsorted(s, ends) - np.searchsorted(s, starts)
-    return doc, pos, h, words
+    return doc, pos, h, words, check
 
 
 def reach(doc: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,24 +90,24 @@ def reach(doc: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, n
 
 
 _LINE = "did long, tk long, pos int, a long, f int, prev long, tail int"
-
+_READ = f"{_LINE}, c long, pc long"
 
 def _lines(df: DataFrame, min_words: int) -> DataFrame:
     """A row a line: its hash `a`, the lines of the shortest run of enough words that
-    begins there `f`, the hash of the line before (of none, its own flipped) and how
-    many lines there are to the end of the text."""
+    begins there `f`, the hash of the line before (of none, its own flipped), how
+    many lines there are to the end of the text, and second hashes of both lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.chunks(batch, "text"):
-                doc, pos, h, words = line_arrays(part.column("text"))
+                doc, pos, h, words, c = line_arrays(part.column("text"))
                 f, _ = reach(doc, words, min_words)
-                prev = np.where(pos > 0, np.concatenate([h[:1], h[:-1]]), ~h)
+                prev, pc = (np.where(pos > 0, np.concatenate([x[:1], x[:-1]]), ~x) for x in (h, c))
                 tail = np.searchsorted(doc, doc, "right") - np.arange(len(doc))
                 at = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([part.column("did").take(at), part.column("tk").take(at), pa.array(pos, pa.int32()), pa.array(h.view(np.int64)), pa.array(f, pa.int32()), pa.array(prev.view(np.int64)), pa.array(tail, pa.int32())], _names(_LINE))
+                yield pa.RecordBatch.from_arrays([part.column("did").take(at), part.column("tk").take(at), pa.array(pos, pa.int32()), pa.array(h.view(np.int64)), pa.array(f, pa.int32()), pa.array(prev.view(np.int64)), pa.array(tail, pa.int32()), pa.array(c.view(np.int64)), pa.array(pc.view(np.int64))], _names(_READ))
 
-    return df.mapInArrow(run, _LINE)
+    return df.mapInArrow(run, _READ)
 
 
 def _names(schema: str) -> list[str]:
@@ -217,13 +220,26 @@ def _carries(ends: list) -> list[tuple[int, int, int, bool, bool]]:
     return out
 
 
+def _parted(lines: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Different lines that share a hash get others, made of both of theirs, wherever
+    they stand: as a line and as the one before."""
+    for first, second in (("a", "c"), ("prev", "pc")):
+        hit = mixed.select(F.col("a").alias("_mixed"), F.lit(True).alias("_hit"))
+        lines = lines.join(hit, F.col(first) == F.col("_mixed"), "left").withColumn(first, F.when(F.col("_hit"), F.xxhash64(first, second)).otherwise(F.col(first))).drop("_mixed", "_hit")
+    return written(lines)
+
+
 def suffix_array(lines: DataFrame) -> DataFrame:
     """The suffixes whose first line repeats, with their rank `(a, b)` and `k`: the
     first 2^k lines repeat, twice as many don't (or the text ends). Equal ranks are
     equal to the end of both texts."""
     spark = lines.sparkSession
-    lines = written(lines.dropDuplicates(["did", "tk", "pos"]))
-    often = stable(lines.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
+    lines, path = written_at(lines.dropDuplicates(["did", "tk", "pos"]))
+    counted = lambda: stable(lines.groupBy("a").agg(F.count("*").alias("n"), (F.min("c") < F.max("c")).alias("mixed")).where("n > 1"))
+    often = counted()
+    mixed = often.where("mixed").select("a")
+    if not mixed.isEmpty():
+        lines, often = (lines := _parted(lines, mixed)), counted()
     # lines that so many texts have are known to all tasks (2,000 of them at most)
     n = often.agg(F.sum("n")).first()[0] or 0
     many, total = n // 2_000, lines.count()
@@ -247,9 +263,10 @@ def suffix_array(lines: DataFrame) -> DataFrame:
         idle = asking.where("role = 1").select(*_names(_SUFFIX))
         state = ranked.unionByName(idle)
         k, total, n = k + 1, n + idle.count(), ranked.where("live").count()
-    out = state.where("k >= 0")
+    out = state.where("k >= 0") if k else spark.createDataFrame([], _SUFFIX)
     for x in done:
         out = out.unionByName(x)
+    Files(spark).delete(path)  # rounds end in checkpoints
     return out
 
 
@@ -453,22 +470,24 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     return array.mapInArrow(runs, _RUN)
 
 
-_GONE = "did long, tk long, gone array<int>"
+_GONE = "did long, tk long, gone array<int>, mark array<boolean>"
 
 
 def _united(rows: pa.Table) -> pa.Table:
-    """Sorted lines of the runs of each document of a bucket."""
+    """Sorted lines of the runs of each document of a bucket, and of each line up to the
+    last of them whether it is one."""
     did, tk, pos, size = _columns(rows, "did", "tk", "pos", "len")
     order = np.lexsort((pos, tk, did))
     did, tk, pos, end = did[order], tk[order], pos[order].astype(np.int64), (pos + size)[order].astype(np.int64)
     starts = np.flatnonzero(_change(did, tk))
-    gone = []
+    marks = []
     for a, b in itertools.pairwise([*starts, len(did)]):
         mark = np.zeros(int(end[a:b].max()) + 1, np.int64)
         np.add.at(mark, pos[a:b], 1)
         np.add.at(mark, end[a:b], -1)
-        gone.append(np.flatnonzero(np.cumsum(mark)).astype(np.int32))
-    return pa.table({"did": pa.array(did[starts]), "tk": pa.array(tk[starts]), "gone": pa.array(gone, pa.list_(pa.int32()))})
+        marks.append(np.cumsum(mark) > 0)
+    gone = [np.flatnonzero(m).astype(np.int32) for m in marks]
+    return pa.table({"did": pa.array(did[starts]), "tk": pa.array(tk[starts]), "gone": pa.array(gone, pa.list_(pa.int32())), "mark": pa.array(marks, pa.list_(pa.bool_()))})
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
@@ -480,11 +499,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     lines = _lines(df.where(text.isNotNull()).select(did.alias("did"), tk.alias("tk"), text.alias("text")), min_words)
     runs = stable(repeated_runs(lines))
     marks = runs.groupBy(_bucket(runs.count())).applyInArrow(_united, _GONE)
-    d, t, g = free_names(df, "did", "tk", "gone")
-    joined = df.join(marks.toDF(d, t, g), (did == F.col(d)) & (tk == F.col(t)), "left")
+    d, t, g, m = free_names(df, "did", "tk", "gone", "mark")
+    joined = df.join(marks.toDF(d, t, g, m), (did == F.col(d)) & (tk == F.col(t)), "left")
     # the text is split once, as the array that is filtered; places inside a lambda
-    # would have it split for each of them
-    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(g, i))
+    # would have it split for each of them. A line is one look at the marks.
+    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.coalesce(F.get(m, i), F.lit(False)))
     clean = F.when(F.col(g).isNull(), text).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns], F.coalesce(g, F.array().cast("array<int>")).alias("deleted_lines"))
 

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 import uuid
 from collections import Counter, defaultdict
 
@@ -17,7 +18,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin as GroupedData
 
 import corpus_pipeline
-from gridlark.llm import ann, decontaminate, jaccard_join, license_scan, line_dedup
+from gridlark.llm import _text, ann, decontaminate, jaccard_join, license_scan, line_dedup
 from gridlark.llm._spark import components
 from gridlark.llm.jaccard_join import Scheme
 
@@ -809,3 +810,68 @@ def test_pipeline_stages(spark, tmp_path):
     got = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == set(range(60)) and all(n > 0 for n in got.values())
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "jaccard_join", "decontaminate", "bpe"]
+
+
+# identity of texts --------------------------------------------------------------
+
+
+def thue_morse(n=10):
+    """Two strings of 2^n letters that every polynomial hash with an odd base modulo 2^64
+    takes for one."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_span_ids_are_those_of_bytes():
+    rng = np.random.default_rng(5)
+    parts = [bytes(rng.integers(0, 3, int(k)).astype(np.uint8)) for k in rng.integers(0, 40, 3000)] + [b"", b"a", b"a\0", b"A" * 8, b"a" * 8, b"a" * 9, *(x.encode() for x in thue_morse())]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(p) for p in parts])
+    starts = ends - [len(p) for p in parts]
+    for lower in (True, False):
+        ids = _text.span_ids(data, starts, ends, lower=lower)
+        seen = {}
+        for p, i in zip(parts, ids.tolist(), strict=True):
+            assert seen.setdefault(p.lower() if lower else p, i) == i
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_strings_of_equal_polynomials(spark):
+    a, b = thue_morse()
+    df = spark.createDataFrame([(1, f"one two three four {a}"), (2, f"one two three four {b}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["deleted_lines"] for r in line_dedup.dedup_lines(df).collect()} == {1: [], 2: []}
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    got = jaccard_join.jaccard_components(df, n=4, num=85, den=100).collect()
+    assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in got} == {(1, 1, 0), (2, 2, 0)}
+    words = decontaminate._hashes([a, b])
+    assert words[0][0] != words[1][0]
+
+
+def test_lines_that_share_a_hash(spark, monkeypatch):
+    """With a first hash of four values, the second one tells lines apart."""
+    rng = random.Random(6)
+    lines = [f"line {i} of some five words" for i in range(12)] + ["", "x"]
+    rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(1, 7)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "did long, text string").selectExpr("did", "did as tk", "text")
+    full = line_dedup._lines(df, 5)
+    weak = full.withColumn("a", F.pmod("a", F.lit(4))).withColumn("prev", F.when(F.col("pos") > 0, F.pmod("prev", F.lit(4))).otherwise(F.col("prev")))
+    of = lambda x: sorted(tuple(r) for r in line_dedup.repeated_runs(x).collect())
+    assert of(weak) == of(full) != []
+
+
+def test_many_lines_of_one_text(spark):
+    """Time grows with the lines, not with their square."""
+    text = "\n".join(["the same five words again"] * 30_000)
+    began = time.perf_counter()
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["text"] == "the same five words again" and len(got["deleted_lines"]) == 29_999
+    assert time.perf_counter() - began < 90
+
+
+def test_sums_are_a_tree(spark, monkeypatch):
+    """No task adds up more partial sums than the tree's fan."""
+    monkeypatch.setattr(decontaminate, "_FAN", 3)
+    rows = spark.createDataFrame([(at, t, np.array([1.0 * t, at]).tobytes()) for at in (0, 2) for t in range(20)], decontaminate._SUMS).repartition(20)
+    assert decontaminate._total(rows, 4, 1)[:, 0].tolist() == [190.0, 0.0, 190.0, 40.0]
