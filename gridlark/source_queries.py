@@ -14,7 +14,7 @@ from gridlark.model import SimpleVariable, Variable
 from gridlark.operators import aggregate, derive, lookup, mutate
 from gridlark.plans.results import TableFormatter, get_results
 from gridlark.queries import ORACLES, _one, query
-from gridlark.sources import eso, reader, sheet, store
+from gridlark.sources import chunks, eso, reader, sheet, store
 from gridlark.sources.files import workspace
 from gridlark.sources.progress import StatusTracker
 from gridlark.testmodel import load
@@ -255,6 +255,59 @@ def storage_change(spark, sf_dir):
     return box.load(0).results.where("table = 'monthly'").select("id", "ts", "value")
 
 
+def _chunked(spark, sf_dir, tables: str, chunk_bytes: int = 8_192, block_rows: int = 50) -> chunks.ChunkStore:
+    """Tables of file 1 in chunks, small ones, so that there are many."""
+    ds = _one(spark, sf_dir)
+    keep = lambda df: df.where(f"table in ({tables})")
+    box = chunks.ChunkStore(spark, workspace(spark), chunk_bytes, block_rows)
+    box.store(Dataset(ds.files, *(keep(df) for df in (ds.variables, ds.steps, ds.results, ds.texts, ds.peaks))))
+    return box
+
+
+@query("""select g.id, g.ts, case when g.id = 1 and month(g.ts) = 6 then coalesce(g.value, 0) + 1 else g.value end as value, g.value as value_before, true as few from m1g g where g.id <> 2
+ union all select 13, g.ts, coalesce(g.value, 0) * 2, null, true from m1g g where g.id = 1""")
+def storage_chunk_change(spark, sf_dir):
+    """Some values of a variable set, one variable put in and one dropped, by chunks: what
+    is stored now, what a reader of the version before still sees, and whether fewer
+    chunks were written than there are."""
+    box = _chunked(spark, sf_dir, "'monthly', 'hourly'")
+    first = box.version()
+    own = box.dataset(0, tables=["monthly"], ids=[1]).results.select("row_ix", F.month("ts").alias("m"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    _, put = box.put_variable(0, Variable("monthly", "TWICE", "A", "J"), own.select("row_ix", (F.col("value") * 2).alias("value")))
+    was = box.dataset(0, first, tables=["monthly"]).results
+    new = box.dataset(0, tables=["monthly"]).results
+    last = new.agg(F.max("id")).first()[0]
+    sets = box.set_values(0, "monthly", 1, own.where("m = 6").select("row_ix", (F.col("value") + 1).alias("value")))
+    drop = box.drop_variables(0, [2])
+    few = put.dropped == 0 and all(0 < x.written < x.before for x in (sets, drop))
+    now = box.load(0).results.where("table = 'monthly'").select(F.when(F.col("id") == last, 13).otherwise(F.col("id")).alias("id"), "row_ix", "ts", "value")
+    return now.join(was.select("id", "row_ix", F.col("value").alias("value_before")), ["id", "row_ix"], "left").select("id", "ts", "value", "value_before", F.lit(few).alias("few"))
+
+
+@query("""select 'results' as kind, 'monthly' as "table", (select count(*) from m1g) as n_rows, true as as_planned, true as within union all select 'results', 'daily', (select count(*) from d1g), true, true
+ union all select 'results', 'hourly', (select count(*) from hg), true, true union all select 'texts', 'parts', (select count(*) from part), true, true""")
+def storage_layout(spark, sf_dir):
+    """Rows of each table in chunks: as many chunks as planned, none above its size."""
+    limit = 16_384
+    ds = _one(spark, sf_dir)
+    box = chunks.ChunkStore(spark, workspace(spark), limit, 100)
+    plan = box.planned(ds).select("kind", "table", F.col("chunks").alias("planned"))
+    made = box.manifest(box.store(ds)).groupBy("kind", "table").agg(F.count("*").alias("chunks"), F.sum("rows").alias("n_rows"), F.max("bytes").alias("most"))
+    out = made.join(plan, ["kind", "table"], "full").where("kind = 'results' and table in ('monthly', 'daily', 'hourly') or kind = 'texts'")
+    return out.select("kind", "table", "n_rows", F.col("chunks").eqNullSafe(F.col("planned")).alias("as_planned"), (F.col("most") <= limit).alias("within"))
+
+
+@query("""select id, count(*) as n_rows, count(value) as n_values, round(sum(value), 2) as total, min(value) as least, arg_min(ts, (value, ts)) filter (value is not null) as least_ts, max(value) as most, arg_max(ts, (value, -epoch(ts))) filter (value is not null) as most_ts
+ from hg where ts between (select date_trunc('day', min(ts)) + interval 3 day + interval 5 hour from hg) and (select date_trunc('day', max(ts)) - interval 2 day + interval 7 hour from hg) group by id""")
+def peak_by_blocks(spark, sf_dir):
+    """Sums and peaks of a range of time from summaries of blocks of rows."""
+    box = _chunked(spark, sf_dir, "'hourly'", 65_536, 100)
+    steps = box.dataset(0).steps
+    a, b = steps.agg(F.date_trunc("day", F.min("ts")) + F.expr("interval '3 05' day to hour"), F.date_trunc("day", F.max("ts")) - F.expr("interval '1 17' day to hour")).first()
+    out = box.range_summary(0, a.replace(tzinfo=None), b.replace(tzinfo=None), tables=["hourly"])
+    return out.select("id", "n_rows", "n_values", F.round("total", 2).alias("total"), "least", "least_ts", "most", "most_ts")
+
+
 def _all_units() -> list[tuple[str, str, str, float, float]]:
     """(asked, from, to, factor, offset) of every conversion there is."""
     out = [("IP", k, *v) for k, v in u.conversions("IP").items()]

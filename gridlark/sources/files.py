@@ -80,6 +80,19 @@ class Files:
         data.close()
         self.move(p.toString(), path)
 
+    def put_new(self, path: str, content: bytes) -> None:
+        """Write beside and rename onto a name that must be free, else FileExistsError.
+        Distributed file systems refuse a rename onto what exists; on a local one it is
+        looked for just before."""
+        fs, p = self._at(f"{path}.{uuid.uuid4().hex}")
+        _, q = self._at(path)
+        data = fs.create(p, True)
+        data.write(bytearray(content))
+        data.close()
+        if fs.exists(q) or not fs.rename(p, q):
+            fs.delete(p, False)
+            raise FileExistsError(path)
+
 
 def workspace(spark: SparkSession) -> str:
     """A new folder that all executors see: below the session's folder of checkpoints
