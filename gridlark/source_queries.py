@@ -14,7 +14,7 @@ from gridlark.model import SimpleVariable, Variable
 from gridlark.operators import aggregate, derive, lookup, mutate
 from gridlark.plans.results import TableFormatter, get_results
 from gridlark.queries import ORACLES, _one, query
-from gridlark.sources import chunks, eso, reader, sheet, store
+from gridlark.sources import chunks, eso, eso_files, reader, sheet, store
 from gridlark.sources.files import workspace
 from gridlark.sources.progress import StatusTracker
 from gridlark.testmodel import load
@@ -88,6 +88,14 @@ def eso_file(spark, sf_dir):
     return _eso(spark, sf_dir).files.select("file_name", F.col("file_created").cast("timestamp_ntz").alias("file_created"), "file_type")
 
 
+@files("""select 'site=' || s.site as file_name, d as ts, v.value from (select distinct user_id % 200 as site from events) s cross join days
+ left join (select user_id % 200 as site, cast(date_trunc('day', cast(ts as timestamp) - interval 350 day) as timestamp) as ts, cast(sum(cast(value as decimal(18,2))) as double) as value from events group by 1, 2) v on v.site = s.site and v.ts = days.d""")
+def eso_many_files(spark, sf_dir):
+    """A folder of 200 files, read as one Dataset."""
+    ds = eso_files.read_eso_files(spark, testfiles.sites(spark, sf_dir), year=2023)
+    return ds.results.join(F.broadcast(ds.files.select("file_id", "file_name")), "file_id").select("file_name", "ts", "value")  # 200 rows
+
+
 def _envs(spark, sf_dir) -> list[Dataset]:
     path = testfiles.eso(spark, sf_dir, (("SUMMER", "SummerDesignDay"), ("RUN PERIOD 1", "")), "two.eso")
     return reader.load_all(spark, path, year=2023)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import calendar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,10 +27,16 @@ def start_year(steps: DataFrame, year: int | None) -> int:
     fine = tl.lowest_interval({r["table"] for r in steps.select("table").distinct().collect()} & set(SUBMONTHLY))
     if fine is None:
         return year if year is not None else tl.DESIGN_DAY_YEAR
-    own = tl.wrapped_year(steps.where(F.col("table") == fine), 0, ["table"], "row_ix", F.col("table") == "timestep")
-    first = own.orderBy("row_ix").select("month", "day_of_month", "day").first()
+    own = steps.where(F.col("table") == fine).withColumn("kind", F.col("day")).withColumn("day", F.col("day_of_month"))
+    own = tl.wrapped_year(own, 0, ["table"], "row_ix", F.col("table") == "timestep")
+    first = own.orderBy("row_ix").select("month", "day_of_month", "kind").first()
     leaps = {r["year"] for r in own.where("month = 2 and day_of_month = 29").select("year").distinct().collect()}
-    month, day, kind = first["month"], first["day_of_month"], first["day"]
+    return chosen_year(first["month"], first["day_of_month"], first["kind"], leaps, year)
+
+
+def chosen_year(month: int, day: int, kind: str | None, leaps: set[int], year: int | None) -> int:
+    """The first year of an environment that begins on this date and day type. leaps:
+    years, counted from the first one, that have a 29th of February."""
     if year is not None:
         tl.validate_year(year, month, day, kind, 0 in leaps)
         return year
@@ -47,13 +53,17 @@ def start_year(steps: DataFrame, year: int | None) -> int:
 def stamped(steps: DataFrame, year: int | None) -> DataFrame:
     """Raw steps `(file_id, table, row_ix, month, day_of_month, hour, end_minute, day,
     cumulative, given_year)` with ts and n_days."""
-    first = start_year(steps, year)
+    return dated(steps, start_year(steps, year))
+
+
+def dated(steps: DataFrame, first: int | Column) -> DataFrame:
+    """`stamped` from the first year on, which may differ by file."""
     raw = steps.withColumn("__day", F.col("day")).withColumn("day", F.col("day_of_month"))
-    dated = tl.wrapped_year(raw, first, ["file_id", "table"], "row_ix", F.col("table") == "timestep")
-    dated = dated.withColumn("year", F.when(F.col("table") == "annual", F.coalesce("given_year", "year")).otherwise(F.col("year")))
-    dated = dated.withColumn("ts", tl.interval_stamp(F.col("year"), F.col("month"), F.col("day"), F.col("hour"), F.col("end_minute"))).withColumn("day", F.col("__day"))
+    rows = tl.wrapped_year(raw, first, ["file_id", "table"], "row_ix", F.col("table") == "timestep")
+    rows = rows.withColumn("year", F.when(F.col("table") == "annual", F.coalesce("given_year", "year")).otherwise(F.col("year")))
+    rows = rows.withColumn("ts", tl.interval_stamp(F.col("year"), F.col("month"), F.col("day"), F.col("hour"), F.col("end_minute"))).withColumn("day", F.col("__day"))
     w = Window.partitionBy("file_id", "table").orderBy("row_ix")
-    fixed = tl.first_stamp_fixed(dated.select("file_id", "table", "row_ix", "ts", "day", "cumulative"))
+    fixed = tl.first_stamp_fixed(rows.select("file_id", "table", "row_ix", "ts", "day", "cumulative"))
     return fixed.withColumn("n_days", tl.n_days(F.col("table"), F.col("ts"), F.col("cumulative"), w)).select("file_id", "table", "row_ix", "ts", F.lit(None).cast("long").alias("range_ix"), F.lit(None).cast("string").alias("label"), "day", "n_days")
 
 

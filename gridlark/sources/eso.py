@@ -123,7 +123,7 @@ def _number(field: Column) -> Column:
 
 def step_rows(rows: DataFrame, highest: int) -> DataFrame:
     """Step lines as `(env, blk, mid, table, month, day_of_month, hour, end_minute,
-    day, cumulative, given_year)`."""
+    day, cumulative, given_year)`, with the number `fno` of the file where rows have one."""
     f = lambda i: F.get("f", F.lit(i))
     whole = lambda i: F.round(_number(f(i))).cast("int")
     no = F.col("no")
@@ -131,6 +131,7 @@ def step_rows(rows: DataFrame, highest: int) -> DataFrame:
     table = F.when(no == 2, F.when(hourly, "hourly").otherwise("timestep")).when(no == 3, "daily").when(no == 4, "monthly").when(no == 5, "runperiod").when(no == 6, "annual")
     one, zero = F.lit(1), F.lit(0)
     return rows.where(no.between(2, highest)).select(
+        *[c for c in ("fno",) if c in rows.columns],
         "env",
         "blk",
         "mid",

@@ -83,6 +83,31 @@ def eso(spark: SparkSession, sf_dir: str, environments: tuple[tuple[str, str], .
     return _once(spark, sf_dir, kind, make)
 
 
+_SITES = """
+with e as (select cast(timestampadd(day, -350, cast(ts as timestamp_ntz)) as date) as d, user_id % {sites} as site, cast(value as decimal(18,2)) as value from {events}),
+span as (select min(d) as a, max(d) as b from e),
+days as (select d, datediff(d, a) + 1 as n from (select explode(sequence(a, b)) as d, a from span)),
+sites as (select explode(sequence(0, {sites} - 1)) as site)
+select concat(site, '.eso') as site, cast(null as date) as d, pos as o, line from sites lateral view posexplode({head}) x as pos, line
+union all select concat(site, '.eso'), d, 0, concat('3,', n, ',', month(d), ',', day(d), ',0,', date_format(d, 'EEEE')) from sites cross join days
+union all select concat(site, '.eso'), d, 1, concat('12,', sum(value)) from e group by site, d
+union all select concat(site, '.eso'), date'9999-01-01', pos, line from sites lateral view posexplode({foot}) x as pos, line
+"""
+
+
+def sites(spark: SparkSession, sf_dir: str, n: int = 200) -> str:
+    """A folder of `n` text files, each with the daily sums of its users' events."""
+
+    def make(path: str) -> None:
+        top = [*_head()[:7], "12,1,SITE,Value [J] !Daily", "End of Data Dictionary", "1,RUN PERIOD 1,51.0,0.0,0.0,10.0"]
+        texts = lambda rows: f"array({', '.join(repr(x) for x in rows)})"
+        made = _SITES.replace("{sites}", str(n)).replace("{head}", texts(top)).replace("{foot}", texts(["End of Data", "Number of Records Written=1"]))
+        body = spark.sql(made, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+        body.repartition(8, "site").sortWithinPartitions("site", F.col("d").asc_nulls_first(), "o").select("site", "line").write.partitionBy("site").text(path)
+
+    return _once(spark, sf_dir, f"sites-{n}", make)
+
+
 def sqlite(spark: SparkSession, sf_dir: str) -> str:
     """A database with hourly and daily sums and a monthly and a run period's; such a
     file is made by one process, so the sums come to the driver."""
