@@ -148,6 +148,14 @@ def sqlite_values(spark, sf_dir):
 ORACLES["sqlite_values"] = ORACLES["sqlite_values"].replace("hs.value from hours", "round(hs.value, 6) as value from hours")
 
 
+@files("""select 'hourly' as "table", 7 as id, hours.ts, round(hs.value, 6) as value from hours left join hs on hs.ts = hours.ts and hs.id = 7
+ union all select 'daily', 13, d, round(ds.value, 6) from days left join ds on ds.ts = d and ds.id = 13""")
+def sqlite_pushed(spark, sf_dir):
+    """Two variables of one environment: no other rows leave the database."""
+    [ds] = reader.load_all(spark, testfiles.sqlite(spark, sf_dir), environments=["RUN PERIOD 1"], ids=[7, 13])
+    return ds.results.select("table", "id", "ts", F.round("value", 6).alias("value"))
+
+
 @files("""select "table", id, key, type, units from words where "table" not in ('annual', 'timestep')""")
 def sqlite_header(spark, sf_dir):
     return reader.load(spark, testfiles.sqlite(spark, sf_dir)).variables.select("table", "id", "key", "type", "units")
