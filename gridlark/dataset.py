@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridlark import model
 from gridlark.model import SimpleVariable, Variable
+from gridlark.operators.postings import Postings
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -81,6 +82,11 @@ class Dataset:
     def _header(self) -> list[Row]:
         return self.variables.orderBy("file_id", "table_pos", "table", "pos", "id").collect()
 
+    @cached_property
+    def postings(self) -> Postings:
+        """Posting lists of the header, in order of ids."""
+        return Postings(sorted(self.header(), key=lambda r: r["id"]))
+
     @cached_property
     def _dated(self) -> set[str]:
         """Tables whose rows have stamps."""

@@ -12,6 +12,7 @@ from gridlark.dataset import Dataset
 from gridlark.functions.units import rate_like, rate_to_energy, step_kinds
 from gridlark.model import CannotAggregateVariables, SimpleVariable, Variable
 from gridlark.operators import fetch, lookup, mutate
+from gridlark.operators.median import medians
 
 
 def _ordered(pick) -> Callable[[Column], Column]:
@@ -34,9 +35,17 @@ NAMED: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def row_wise(df: DataFrame, func: str | Callable) -> DataFrame:
-    """`(file_id, table, row_ix, ts, value)` over the variables of long rows."""
+#: Variables up to which the median of a row is taken from one buffer.
+MEDIAN_BUFFER = 100_000
+
+
+def row_wise(df: DataFrame, func: str | Callable, variables: int | None = None) -> DataFrame:
+    """`(file_id, table, row_ix, ts, value)` over the variables of long rows. `variables` is
+    how many there are, where it is known; medians of many or of an unknown number are
+    selected in passes instead of from a buffer, and are the same."""
     by = ["file_id", "table", "row_ix", "ts"]
+    if func == "median" and (variables is None or variables > MEDIAN_BUFFER):
+        return medians(df, by).select(*by, F.col("median").alias("value"))
     if callable(func):
         # only a caller's own function runs in Python, a batch of groups at a time
         @F.pandas_udf("double")
@@ -78,7 +87,7 @@ def aggregate_variables(ds: Dataset, variables, func: str | Callable, new_key: s
             raise CannotAggregateVariables(f"mixed units: {sorted(units)}")
         df = energy_of(ds, table, df)
         units = {u for u in units if u.startswith("J")}
-    made = row_wise(df, func)
+    made = row_wise(df, func, len(ids))
     key, kind = names(rows, func, new_key, new_type)
     simple = rows[0]["is_simple"]
     unit = units.pop()

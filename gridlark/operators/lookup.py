@@ -5,13 +5,14 @@ from __future__ import annotations
 import logging
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridlark.dataset import Dataset, with_ids
 from gridlark.functions.naming import unique_name
 from gridlark.model import DuplicateVariable, SimpleVariable, Variable
+from gridlark.operators.postings import HeaderIndex
 
 log = logging.getLogger(__name__)
 Request = Variable | SimpleVariable
@@ -29,19 +30,14 @@ def matches(request: Request, part_match: bool = False) -> Column:
     return out
 
 
-def hit(request: Request, row: Row, part_match: bool = False) -> bool:
-    """The same condition on an entry that has been read."""
-    if row["is_simple"] != isinstance(request, SimpleVariable):
-        return False
-    asked = [(str(v).lower(), (row[level] or "").lower()) for level, v in request._asdict().items() if v is not None]
-    return all(text in low if part_match else text == low for text, low in asked)
-
-
 def find(ds: Dataset, requests: Sequence[Request], part_match: bool = False) -> DataFrame:
     """`variables` rows of all requests with `req_no`; a row is given once for
-    each request that it matches. To be ordered by req_no and id."""
+    each request that it matches. To be ordered by req_no and id. Above a few requests
+    the posting lists are asked instead of every row."""
     if not requests:
         return ds.variables.where("false").withColumn("req_no", F.lit(0))
+    if len(requests) > 100:
+        return HeaderIndex(ds.variables).find(requests, part_match).withColumn("req_no", F.col("req_no").cast("int"))
     hit = F.filter(F.array(*[F.when(matches(r, part_match), F.lit(i)) for i, r in enumerate(requests)]), lambda x: x.isNotNull())
     return ds.variables.withColumn("req_no", F.explode(hit))
 
@@ -65,8 +61,7 @@ def table_ids(ds: Dataset, wanted: Sequence[Request | int] | Request | int, part
         return with_ids(by_id[w] for w in wanted)
     if not all(isinstance(w, Variable | SimpleVariable) for w in wanted):
         raise TypeError("variables are asked for by Variable, SimpleVariable or id, all of one kind")
-    head = sorted(ds.header(), key=lambda r: r["id"])
-    found = [(i, r) for i, w in enumerate(wanted) for r in head if hit(w, r, part_match)]
+    found = [(i, r) for i, w in enumerate(wanted) for r in ds.postings.find(w, part_match)]
     for i in sorted(set(range(len(wanted))) - {i for i, _ in found}):
         log.warning("not found: %s", wanted[i])
     return with_ids(r for _, r in found)

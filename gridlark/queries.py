@@ -12,7 +12,8 @@ from gridlark.dataset import Dataset
 from gridlark.functions import timeline as tl
 from gridlark.functions import units as u
 from gridlark.model import SimpleVariable, Variable
-from gridlark.operators import aggregate, derive, fetch, lookup, mutate
+from gridlark.operators import aggregate, derive, fetch, lookup, mutate, postings
+from gridlark.operators.median import medians
 from gridlark.plans.results import TableFormatter, get_results
 from gridlark.sources import eso
 from gridlark.testmodel import load
@@ -93,6 +94,31 @@ def table_id_map(spark, sf_dir):
     return spark.createDataFrame([(t, n, i) for t, ids in found.items() for n, i in enumerate(ids)], "table string, pos int, id int")
 
 
+@query("""select 'exact' as how, r.req_no, p.p_partkey as id from (select l_orderkey * 8 + l_linenumber as req_no, 'brand#' || (1 + l_suppkey % 25) as brand, case l_linestatus when 'O' then 'small' end as kind, cast(l_quantity as int) as size from lineitem where l_quantity <= 20) r
+  join part p on lower(p_brand) = r.brand and (r.kind is null or lower(p_type) = r.kind) and p_size = r.size
+ union all select 'part', r.req_no, p.p_partkey from (select cast(s_suppkey as bigint) as req_no, 'D#' || (s_suppkey % 30) as brand, case s_suppkey % 3 when 0 then 'all' when 1 then 'O' end as kind, cast(s_suppkey % 50 as varchar) as size from supplier) r
+  join part p on contains(lower(p_brand), lower(r.brand)) and (r.kind is null or contains(lower(p_type), lower(r.kind))) and contains(cast(p_size as varchar), r.size)""", model_sql=False)
+def lookup_index(spark, sf_dir):
+    """A header of all parts, asked by line items (exact) and by suppliers (by part)."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    header = read("part").select(F.lit(0).alias("file_id"), F.col("p_brand").alias("table"), F.lit(0).alias("table_pos"), F.col("p_partkey").cast("int").alias("id"), F.lit(0).alias("pos"), F.lit(False).alias("is_simple"), F.col("p_name").alias("key"), F.col("p_type").alias("type"), F.col("p_size").cast("string").alias("units"))
+    index = postings.HeaderIndex(header)
+    no, none = F.lit(False).alias("is_simple"), F.lit(None).cast("string").alias("key")
+    items = read("lineitem").where("l_quantity <= 20")
+    exact = items.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("req_no"), no, F.format_string("BRAND#%d", 1 + F.col("l_suppkey") % 25).alias("table"), none, F.when(F.col("l_linestatus") == "O", "Small").alias("type"), F.col("l_quantity").cast("int").cast("string").alias("units"))
+    n = F.col("s_suppkey")
+    part = read("supplier").select(n.cast("long").alias("req_no"), no, F.format_string("D#%d", n % 30).alias("table"), none, F.when(n % 3 == 0, "all").when(n % 3 == 1, "O").alias("type"), (n % 50).cast("string").alias("units"))
+    found = lambda how, asked: index.find(asked, how == "part").select(F.lit(how).alias("how"), "req_no", F.col("id").cast("long").alias("id"))
+    return found("exact", exact).unionByName(found("part", part))
+
+
+@query("""select l_returnflag, l_linestatus, max(n) as n, min(p) filter (i = (n - 1) // 2) as lower, min(p) filter (i = n // 2) as upper, min(p) filter (i = (n - 1) // 2) * 0.5::double + min(p) filter (i = n // 2) * 0.5::double as median
+ from (select l_returnflag, l_linestatus, l_extendedprice as p, row_number() over (partition by l_returnflag, l_linestatus order by l_extendedprice) - 1 as i, count(*) over (partition by l_returnflag, l_linestatus) as n from lineitem) group by 1, 2""", model_sql=False)
+def aggregate_median(spark, sf_dir):
+    """Exact medians of a few large groups."""
+    return medians(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
+
+
 @query("""select ts, key, type, 'kWh' as units, value * cast('0.000277777777777778e-3' as double) as value from m1g join v using (id)
  where file_id = 1 and "table" = 'monthly' and contains(key, 'BLOCK1') and units = 'J' and ts between timestamp '1996-04-10' and timestamp '1996-08-10'""")
 def date_slice(spark, sf_dir):
