@@ -140,8 +140,8 @@ def diff(ds: Dataset, first: int, second: int, file_id: int = 0) -> Dataset:
     pairs = [(r, i) for r in a.header() for i in other.get(tuple(r[c] for c in level), [])]
     small = len(pairs) <= 1_000_000
     ids = ds.spark.createDataFrame([(r["table"], r["id"], i) for r, i in pairs], "table string, id int, id_b int")
-    ra = a.results.select("table", "id", "row_ix", "ts", F.col("value").alias("x")).withColumn("at", _row_key("ts", "row_ix"))
-    rb = b.results.select("table", F.col("id").alias("id_b"), _row_key("ts", "row_ix").alias("at"), F.col("value").alias("y"))
+    ra = a.results.select("table", "id", "row_ix", "ts", F.col("value").alias("x")).withColumn("at", row_key("ts", "row_ix"))
+    rb = b.results.select("table", F.col("id").alias("id_b"), row_key("ts", "row_ix").alias("at"), F.col("value").alias("y"))
     rows = ra.join(F.broadcast(ids) if small else ids, ["table", "id"]).join(rb, ["table", "id_b", "at"]).select("table", "id", "id_b", "row_ix", "ts", (F.col("x") - F.col("y")).alias("value"))
     live = {(r["table"], r["id"], r["id_b"]) for r in rows.where("value is not null").select("table", "id", "id_b").distinct().collect()}
     kept = [(n, r, i) for n, (r, i) in enumerate((r, i) for r, i in pairs if (r["table"], r["id"], i) in live)]
@@ -157,7 +157,7 @@ def diff(ds: Dataset, first: int, second: int, file_id: int = 0) -> Dataset:
     return Dataset.of(ds.spark, files=files, variables=variables, results=results, steps=shared_steps(a, b, tables, file_id))
 
 
-def _row_key(ts: str, row_ix: str) -> Column:
+def row_key(ts: str, row_ix: str) -> Column:
     """What rows of two files are matched by: the stamp, else the place."""
     return F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.col(row_ix))
 
@@ -165,14 +165,14 @@ def _row_key(ts: str, row_ix: str) -> Column:
 def special_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     """Whether special columns of two files agree on the rows that both have:
     `(table, rows, day, n_days)`."""
-    x = a.select("table", _row_key("ts", "row_ix").alias("at"), "day", "n_days")
-    y = b.select("table", _row_key("ts", "row_ix").alias("at"), F.col("day").alias("day_b"), F.col("n_days").alias("n_days_b"))
+    x = a.select("table", row_key("ts", "row_ix").alias("at"), "day", "n_days")
+    y = b.select("table", row_key("ts", "row_ix").alias("at"), F.col("day").alias("day_b"), F.col("n_days").alias("n_days_b"))
     same = lambda c: (F.count_if(~F.col(c).eqNullSafe(F.col(f"{c}_b"))) == 0).alias(c)
     return x.join(y, ["table", "at"]).groupBy("table").agg(F.count("*").alias("rows"), same("day"), same("n_days"))
 
 
 def shared_steps(a: Dataset, b: Dataset, tables: DataFrame, file_id: int) -> DataFrame:
     agree = special_equal(a.steps, b.steps).select("table", F.col("day").alias("__d"), F.col("n_days").alias("__n"))
-    there = b.steps.select("table", _row_key("ts", "row_ix").alias("__at"))
-    rows = a.steps.withColumn("__at", _row_key("ts", "row_ix")).join(there, ["table", "__at"], "left_semi").join(tables, "table", "left_semi").join(agree, "table")
+    there = b.steps.select("table", row_key("ts", "row_ix").alias("__at"))
+    rows = a.steps.withColumn("__at", row_key("ts", "row_ix")).join(there, ["table", "__at"], "left_semi").join(tables, "table", "left_semi").join(agree, "table")
     return rows.withColumn("file_id", F.lit(file_id)).withColumn("day", F.when(F.col("__d"), F.col("day"))).withColumn("n_days", F.when(F.col("__n"), F.col("n_days"))).select(*a.steps.columns)

@@ -14,7 +14,7 @@ from gridlark.model import SimpleVariable, Variable
 from gridlark.operators import aggregate, derive, lookup, mutate
 from gridlark.plans.results import TableFormatter, get_results
 from gridlark.queries import ORACLES, _one, query
-from gridlark.sources import chunks, eso, eso_files, reader, sheet, store
+from gridlark.sources import aligned, chunks, eso, eso_files, reader, sheet, store
 from gridlark.sources.files import workspace
 from gridlark.sources.progress import StatusTracker
 from gridlark.testmodel import load
@@ -324,6 +324,20 @@ def peak_by_blocks(spark, sf_dir):
     return out.select("id", "n_rows", "n_values", F.round("total", 2).alias("total"), "least", "least_ts", "most", "most_ts")
 
 
+@query("""select w."table", x.ts, w.key, w.type, round(x.value, 2) as value from (
+  select a.ts, a.id, a.value - b.value as value from m1g a join m2g b on a.id = b.id and a.ts = b.ts union all select a.ts, a.id, a.value - b.value from d1g a join d2g b on a.id = b.id and a.ts = b.ts) x
+ join (select * from v where file_id = 1 and "table" in ('daily', 'monthly')) w using (id)
+ where id in (select a.id from m1 a join m2 b on a.id = b.id and a.ts = b.ts union select a.id from d1 a join d2 b on a.id = b.id and a.ts = b.ts)""")
+def diff_stored(spark, sf_dir):
+    """The difference of two files that are stored by row, in buckets."""
+    ds = load(spark, sf_dir)
+    box = aligned.AlignedStore(spark, workspace(spark), buckets=8)
+    for file in (1, 2):
+        box.store(ds, file)
+    out = box.diff(1, 2, 3)
+    return out.results.join(out.with_size(out.variables.select("table", "id", "key", "type")), ["table", "id"]).select("table", "ts", "key", "type", F.round("value", 2).alias("value"))
+
+
 def _all_units() -> list[tuple[str, str, str, float, float]]:
     """(asked, from, to, factor, offset) of every conversion there is."""
     out = [("IP", k, *v) for k, v in u.conversions("IP").items()]
