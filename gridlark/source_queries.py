@@ -11,7 +11,7 @@ from gridlark.functions import naming
 from gridlark.functions import timeline as tl
 from gridlark.functions import units as u
 from gridlark.model import SimpleVariable, Variable
-from gridlark.operators import aggregate, derive, lookup, mutate
+from gridlark.operators import aggregate, derive, gaps, lookup, mutate
 from gridlark.plans.results import TableFormatter, get_results
 from gridlark.queries import ORACLES, _one, query
 from gridlark.sources import aligned, chunks, eso, eso_files, reader, sheet, store
@@ -559,6 +559,35 @@ def progress_sections(spark, sf_dir):
     return spark.createDataFrame([(n, s) for n, (s, _) in enumerate(tracker.sections)], "n int, section string")
 
 
+@files("""select 'read lines' as section, 1 + 5 * (select count(*) from hours) + (select count(*) from hs) + (select count(*) from days) + (select count(*) from ds) + (select count(*) from months)
+  + (select count(distinct date_trunc('month', ts)) from e where event_type = 'click') + 4 as lines, true as all_tasks""")
+def progress_lines(spark, sf_dir):
+    """Lines of data that went through a load, as its tracker was told, and whether
+    every task of Spark that it saw came to an end."""
+    tracker = StatusTracker("load")
+    reader.load(spark, testfiles.eso(spark, sf_dir), year=2023, tracker=tracker)
+    last = {e.section: e for e in tracker.events if e.what == "tasks"}
+    done = bool(last) and all(e.done == e.maximum > 0 for e in last.values())
+    return spark.createDataFrame([(e.section, e.done, done) for e in tracker.events if e.what == "lines"], "section string, lines long, all_tasks boolean")
+
+
+@query("""select g.id, g.ts, d1.value, r.n_values, r.n_runs from (select id, ts from (select id from v where file_id = 1 and "table" = 'daily') i, d1t) g left join d1 using (id, ts)
+ left join (select id, count(*) as n_values, count(distinct ts - to_days(cast(n as int))) as n_runs from (select id, ts, row_number() over (partition by id order by ts) as n from d1) group by id) r using (id)""")
+def filled_from_runs(spark, sf_dir):
+    """Values and null rows of a table made from runs of what is reported, and how many
+    values and runs each variable has."""
+    ds = gaps.reported(_one(spark, sf_dir).table("daily"))
+    runs = gaps.runs(ds)
+    return gaps.filled(ds, runs).join(ds.with_size(gaps.counts(runs)), ["file_id", "table", "id"], "left").select("id", "ts", "value", "n_values", "n_runs")
+
+
+@files("""select id, ts, value from hs where value is not null""")
+def eso_reported(spark, sf_dir):
+    """A text file read without null rows: as many rows as values are reported."""
+    [ds] = eso.read_eso(spark, testfiles.eso(spark, sf_dir), year=2023, dense=False)
+    return ds.results.where("table = 'hourly'").select("id", "ts", "value")
+
+
 @query("""select 'daily' as "table", count(*) as "rows", false as day, true as n_days from (select unnest(generate_series(min(ts), max(ts), interval 1 day)) as ts from d1) join (select unnest(generate_series(min(ts), max(ts), interval 1 day)) as ts from d2) using (ts)
  union all select 'monthly', count(*), true, false from (select unnest(generate_series(min(ts), max(ts), interval 1 month)) as ts from m1) join (select unnest(generate_series(min(ts), max(ts), interval 1 month)) as ts from m2) using (ts)""")
 def diff_special_unequal(spark, sf_dir):

@@ -67,16 +67,21 @@ def dated(steps: DataFrame, first: int | Column) -> DataFrame:
     return fixed.withColumn("n_days", tl.n_days(F.col("table"), F.col("ts"), F.col("cumulative"), w)).select("file_id", "table", "row_ix", "ts", F.lit(None).cast("long").alias("range_ix"), F.lit(None).cast("string").alias("label"), "day", "n_days")
 
 
-def assemble(spark: SparkSession, files: DataFrame, header: DataFrame, steps: DataFrame, values: DataFrame, peaks: DataFrame | None = None) -> Dataset:
+def assemble(spark: SparkSession, files: DataFrame, header: DataFrame, steps: DataFrame, values: DataFrame, peaks: DataFrame | None = None, dense: bool = True) -> Dataset:
     """header: VARIABLES without table_pos; steps: stamped; values `(file_id, table,
-    id, row_ix, value)`. Every variable gets a row a step; all-null ones go."""
+    id, row_ix, value)`. Every variable gets a row a step, or, not `dense`, only those
+    with a value (`gaps` makes the others when they are wanted); all-null ones go."""
     live = steps.select("file_id", "table").distinct()
     header = header.join(live, ["file_id", "table"], "left_semi")
     order = Window.partitionBy("file_id").orderBy("first")
     tables = header.groupBy("file_id", "table").agg(F.min("pos").alias("first")).withColumn("table_pos", F.row_number().over(order) - 1).drop("first")
     variables = renamed_duplicates(header.join(tables, ["file_id", "table"]).select("file_id", "table", "table_pos", "id", "pos", "is_simple", "key", "type", "units"))
-    grid = steps.select("file_id", "table", "row_ix", "ts").join(variables.select("file_id", "table", "id"), ["file_id", "table"])
-    results = grid.join(values, ["file_id", "table", "id", "row_ix"], "left").select("file_id", "table", "id", "row_ix", "ts", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
+    if dense:
+        grid = steps.select("file_id", "table", "row_ix", "ts").join(variables.select("file_id", "table", "id"), ["file_id", "table"])
+        rows = grid.join(values, ["file_id", "table", "id", "row_ix"], "left")
+    else:
+        rows = values.join(steps.select("file_id", "table", "row_ix", "ts"), ["file_id", "table", "row_ix"]).where("value is not null and not isnan(value)")
+    results = rows.select("file_id", "table", "id", "row_ix", "ts", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
     out = {"files": files, "variables": variables, "steps": steps, "results": results}
     if peaks is not None:
         out["peaks"] = peaks

@@ -167,9 +167,9 @@ def peak_rows(values: DataFrame, steps: DataFrame) -> DataFrame:
     return rows.select("file_id", "table", "id", "ts", *[c.alias(n) for n, c in out.items()])
 
 
-def read_eso(spark: SparkSession, path: str, year: int | None = None, ignore_peaks: bool = True, tracker: StatusTracker | None = None) -> list[Dataset]:
+def read_eso(spark: SparkSession, path: str, year: int | None = None, ignore_peaks: bool = True, tracker: StatusTracker | None = None, dense: bool = True) -> list[Dataset]:
     """A Dataset of each environment, the last first; it has the bare file name,
-    the others `name - environment`."""
+    the others `name - environment`. Not `dense`, only reported values are rows."""
     tracker = tracker or StatusTracker("eso")
     tracker.section("read lines")
     text = lines(spark, path)
@@ -185,7 +185,8 @@ def read_eso(spark: SparkSession, path: str, year: int | None = None, ignore_pea
     # outlives executors and changes of the file
     parsed = f"{workspace(spark)}/lines"
     rows = with_steps(body, highest)
-    rows.write.parquet(parsed)
+    tracker.counted(rows).write.parquet(parsed)
+    tracker.settle()
     rows = spark.read.schema(rows.schema).parquet(parsed)
     blank, bad = rows.agg(F.count_if(F.col("line") == ""), F.count_if((F.col("line") != "") & (F.col("no").isNull() | (F.size("f") < 2)))).first()
     if blank:
@@ -216,5 +217,5 @@ def read_eso(spark: SparkSession, path: str, year: int | None = None, ignore_pea
         files = spark.createDataFrame([(0, path, name if n == 0 else f"{name} - {envs[env]}", created, "eso")], model.FILES)
         header = head.select(F.lit(0).alias("file_id"), "table", "id", "pos", F.lit(False).alias("is_simple"), "key", "type", "units")
         tracker.increment()
-        out.append(assemble(spark, files, header, dated, result, None if ignore_peaks else peak_rows(mine, dated)))
+        out.append(assemble(spark, files, header, dated, result, None if ignore_peaks else peak_rows(mine, dated), dense))
     return out

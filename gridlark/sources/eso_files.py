@@ -31,6 +31,7 @@ from gridlark.functions import timeline as tl
 from gridlark.sources.assemble import SUBMONTHLY, WEEKDAY, assemble, chosen_year, dated
 from gridlark.sources.eso import _END, _END_OF_HEADER, _number, header_entries, peak_rows, step_rows
 from gridlark.sources.files import workspace
+from gridlark.sources.progress import StatusTracker
 
 _KNOWN = 1_000_000  # rows of metadata that all tasks may be given
 _FILE = r"^(.*?\.[eE][sS][oO])(/.*)?$"
@@ -99,11 +100,14 @@ def _before(mark: str) -> Column:
     return F.struct("blk", "mid") < F.col(mark)
 
 
-def read_eso_files(spark: SparkSession, paths: str | Sequence[str], year: int | None = None, ignore_peaks: bool = True) -> Dataset:
+def read_eso_files(spark: SparkSession, paths: str | Sequence[str], year: int | None = None, ignore_peaks: bool = True, tracker: StatusTracker | None = None, dense: bool = True) -> Dataset:
     """One Dataset of all files and environments. `file_id` counts files by path and, in a
     file, environments from the last one, which has the bare file name; the others are
-    called `name - environment`. `year` holds for all; else each environment has its own."""
+    called `name - environment`. `year` holds for all; else each environment has its own.
+    Not `dense`, only reported values are rows."""
     paths = [paths] if isinstance(paths, str) else list(paths)
+    tracker = tracker or StatusTracker("eso")
+    tracker.section("read marks and dictionaries")
     at = workspace(spark)
     text, files, n_files = _lines(spark, paths)
     # marks of all files
@@ -131,7 +135,10 @@ def read_eso_files(spark: SparkSession, paths: str | Sequence[str], year: int |
     # data
     body = known.where((place > F.col("head")) & _before("tail") & (F.col("line") != _END))
     body = body.select("fno", "blk", "mid", "line", F.expr("try_cast(split(line, ',', 2)[0] as int)").alias("no"), "highest")
-    body.mapInArrow(_carry, _CARRIED).write.parquet(f"{at}/lines")
+    tracker.section("read lines")
+    tracker.counted(body.mapInArrow(_carry, _CARRIED)).write.parquet(f"{at}/lines")
+    tracker.settle()
+    tracker.section("assemble environments")
     rows = spark.read.schema(_CARRIED).parquet(f"{at}/lines")
     bad = F.col("no").isNull() | ~F.col("line").contains(",")
     _fault(model.BlankLineError, rows.where("line = ''"), files, "files with blank lines")
@@ -179,5 +186,5 @@ def read_eso_files(spark: SparkSession, paths: str | Sequence[str], year: int |
     base = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[eE][sS][oO]$", "")
     table = envs.join(marks.select("fno", "created"), "fno").select("file_id", F.col("file").alias("file_path"), F.when(F.col("is_last"), base).otherwise(F.concat(base, F.lit(" - "), "env_name")).alias("file_name"), F.col("created").alias("file_created"), F.lit("eso").alias("file_type"))
     header = head.join(_small(envs.select("fno", "file_id"), n_envs), "fno").select("file_id", "table", "id", "pos", F.lit(False).alias("is_simple"), "key", "type", "units")
-    return assemble(spark, table, header, stamped, result, None if ignore_peaks else peak_rows(values, stamped))
+    return assemble(spark, table, header, stamped, result, None if ignore_peaks else peak_rows(values, stamped), dense)
 

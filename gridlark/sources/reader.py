@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 
 from pyspark.sql import SparkSession
@@ -29,8 +30,9 @@ def load_all(spark: SparkSession, path: str, **options) -> list[Dataset]:
 
 def load(spark: SparkSession, path: str, tracker: StatusTracker | None = None, **options) -> Dataset:
     """A Dataset of one file; several environments need `load_all`. A tracker is told of
-    the sections of the work."""
-    with (tracker or StatusTracker("load")).task(f"load {os.path.basename(path)}"):
+    the sections of the work and of Spark's tasks."""
+    task = (tracker or StatusTracker("load")).task(f"load {os.path.basename(path)}")
+    with task, tracker.watching(spark) if tracker else contextlib.nullcontext():
         return _load(spark, path, tracker, **options)
 
 

@@ -41,7 +41,7 @@ QUERIES = """lookup_wildcard date_slice global_max rate_to_energy_monthly align_
  eso_hourly eso_peaks eso_long_steps header_parse sqlite_values sqlite_steps csv_values csv_header csv_texts row_classifier workbook_values storage_values storage_archive storage_files storage_change
  diff_stored lookup_exact table_id_map lookup_index aggregate_median
  storage_chunk_change storage_layout peak_by_blocks eso_many_files sqlite_pushed
- units_all steps_an_hour aggregate_all guards local_min wide_with_ids_and_days totals_valid duplicates_found column_order annual_days names_and_ids insert_special file_changes file_delegates progress_sections diff_special_unequal simple_part_match""".split()
+ units_all steps_an_hour aggregate_all guards local_min wide_with_ids_and_days totals_valid duplicates_found column_order annual_days names_and_ids insert_special file_changes file_delegates progress_sections progress_lines filled_from_runs eso_reported diff_special_unequal simple_part_match""".split()
 
 
 @pytest.mark.parametrize("name", QUERIES)
