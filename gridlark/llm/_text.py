@@ -144,24 +144,18 @@ def span_ids(data: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = True,
         return mix(out + size.astype(np.uint64) * U(0x632BE59BD9B4E019) + U(salt))
 
 
-def words(data: np.ndarray, off: np.ndarray, ends_word: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, ends_word: np.ndarray = SPACE, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, A to Z lower-cased, and the text it is in."""
     s, e, doc = spans(data, off, ends_word)
-    return span_ids(data, s, e), doc
+    return span_ids(data, s, e, salt=salt), doc
 
 
 _SLOT = [U(int(x) | 1) for x in np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 64, dtype=np.uint64)]
 LOW52 = U((1 << 52) - 1)
 
 
-def shingle_sets(h: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-word shingles of each text as sorted `(doc, 52-bit hash)`.
-
-    A text of fewer than n words has its whole sequence as one shingle; one
-    without words has none. At most 4096 texts at a time.
-    """
-    if n_docs > 4096:
-        raise ValueError("at most 4096 texts at a time")
+def _shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles, repeats included, and the text each is in."""
     count = np.bincount(doc, minlength=n_docs)
     with np.errstate(over="ignore"):
         if len(h) >= n:
@@ -181,5 +175,31 @@ def shingle_sets(h: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tuple[n
                     extra[i] += h[first[x] + k] * _SLOT[k]
                 extra[i] += U(int(count[x])) * _SLOT[63]
             g, d = np.concatenate([g, mix(extra)]), np.concatenate([d, short])
-        key = unique((d.astype(np.uint64) << U(52)) | (g & LOW52))
+    return g, d
+
+
+def _of_text(g: np.ndarray, d: np.ndarray, n_docs: int) -> np.ndarray:
+    if n_docs > 4096:
+        raise ValueError("at most 4096 texts at a time")
+    return (d.astype(np.uint64) << U(52)) | (g & LOW52)
+
+
+def shingle_sets(h: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-word shingles of each text as sorted `(doc, 52-bit hash)`.
+
+    A text of fewer than n words has its whole sequence as one shingle; one
+    without words has none. At most 4096 texts at a time.
+    """
+    key = unique(_of_text(*_shingles(h, doc, n_docs, n), n_docs))
     return (key >> U(52)).astype(np.int64), key & LOW52
+
+
+def shingle_checks(h: np.ndarray, second: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> np.ndarray:
+    """For each shingle of `shingle_sets` 64 bits more, from other hashes of the words."""
+    g, d = _shingles(h, doc, n_docs, n)
+    key = _of_text(g, d, n_docs)
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    more = _shingles(second, doc, n_docs, n)[0][order]
+    return np.maximum.reduceat(more, at) if len(at) else more

@@ -381,7 +381,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     and item in it, with the best passage; begin and end count words."""
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"))
-    given = benchmark.select(F.col(item_col).cast("long").alias("id"), F.lower(F.col(item_text).cast("string")).alias("text"), *([F.lower(F.col(answer_col).cast("string")).alias("answer")] if answer_col else []))
+    given = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.lower(F.col(f"`{item_text}`").cast("string")).alias("text"), *([F.lower(F.col(f"`{answer_col}`").cast("string")).alias("answer")] if answer_col else []))
     held = given.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("words")).first()
     blocks = max(-(-held["items"] // max_items), -(-held["words"] // max_words))
     out = spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs int, ratio double, begin long, end long")

@@ -27,15 +27,18 @@ Edge cases: null, empty and blank texts have the empty set and no link; null ids
 keep their row and their links (component_id null unless another id of the class is
 known); repeated rows are copies of each other; very long texts are sets like any,
 with a sketch that grows with them (a quarter byte a shingle); extra columns are
-ignored, whatever their names; an empty table gives no rows. Shingle
-identity is by a 52-bit hash within a pair of sets and 64 bits for whole sets.
+ignored, whatever their names; an empty table gives no rows. A set is known by
+64 bits and, where two sets share those, by 64 more from other hashes of its words;
+shingles within a pair of sets are known by 52 bits.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -145,8 +148,36 @@ class Scheme:
         return np.concatenate(keys), np.concatenate(owner)
 
 
-def _sets(batch: pa.RecordBatch, text: str, n: int):
-    """For slices of a batch: the slice, its sorted sets, their sizes and node ids."""
+_CHECK = 0x5851F42D4C957F2D  # salt of the second hashes
+
+
+@dataclass(frozen=True)
+class Naming:
+    """How sets get their node ids: `bits` of a hash, and for those ids that several
+    sets share (about the square of the number of sets in 2^65 at 64 bits) a second hash."""
+
+    bits: int = 64
+    shared: tuple[int, ...] = ()
+
+    def checks(self, data: np.ndarray, off: np.ndarray, n_docs: int, n: int, doc: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The second hash of each set, which doesn't depend on the first."""
+        h, of = tx.words(data, off)
+        c = tx.shingle_checks(h, tx.words(data, off, salt=_CHECK)[0], of, n_docs, n)
+        out = np.zeros(n_docs, np.uint64)
+        s = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+        if len(s):
+            with np.errstate(over="ignore"):
+                out[doc[s]] = tx.mix(np.add.reduceat(tx.mix(c ^ _C1), s) + size[doc[s]].astype(np.uint64) * _C2)
+        return out
+
+    def parted(self, node: np.ndarray, checks) -> np.ndarray:
+        hit = np.isin(node, np.array(self.shared, np.int64).view(np.uint64)) if self.shared else np.zeros(len(node), bool)
+        return np.where(hit, tx.mix(node ^ tx.mix(checks())), node) if hit.any() else node
+
+
+def _sets(batch: pa.RecordBatch, text: str, n: int, naming: Naming, checked: bool = False):
+    """For slices of a batch: the slice, its sorted sets, their sizes, node ids and, if
+    `checked`, second hashes."""
     for part in tx.chunks(batch, text):
         for a in range(0, part.num_rows, 4096):
             some = part.slice(a, 4096)
@@ -158,7 +189,9 @@ def _sets(batch: pa.RecordBatch, text: str, n: int):
                 s = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
                 with np.errstate(over="ignore"):
                     node[doc[s]] = tx.mix(np.add.reduceat(tx.mix(h ^ _C3), s) + size[doc[s]].astype(np.uint64) * _C4)
-            yield some, doc, h, size, node
+                node &= U((1 << naming.bits) - 1)
+            check = functools.cache(lambda: naming.checks(data, off, some.num_rows, n, doc, size))  # noqa: B023
+            yield some, doc, h, size, naming.parted(node, check), check() if checked else None
 
 
 _LEAST_BITS = 512
@@ -183,17 +216,17 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
-def shingle_counts(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """`(doc_id, rk, n_shingles, node, sketch)`; rk is a hash of id and text, node null
-    for the empty set."""
+def shingle_counts(docs: DataFrame, id_col: str, text_col: str, n: int, naming: Naming = Naming()) -> DataFrame:  # noqa: B008
+    """`(doc_id, rk, n_shingles, node, sketch, check)`; rk is a hash of id and text, node
+    null for the empty set, check another hash of the set."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some, doc, h, size, node in _sets(batch, "text", n):
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("rk"), pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0), _sketches(doc, h, size)], ["doc_id", "rk", "n_shingles", "node", "sketch"])
+            for some, doc, h, size, node, check in _sets(batch, "text", n, naming, checked=True):
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("rk"), pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0), _sketches(doc, h, size), pa.array(check.view(np.int64))], ["doc_id", "rk", "n_shingles", "node", "sketch", "check"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, rk long, n_shingles long, node long, sketch array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, rk long, n_shingles long, node long, sketch array<long>, check long")
 
 
 def _runs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -207,7 +240,7 @@ def _runs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, nodes, s, np.diff(np.append(s, len(keys)))
 
 
-def _lists(docs: DataFrame, text_col: str, n: int, scheme: Scheme, ranges: int) -> DataFrame:
+def _lists(docs: DataFrame, text_col: str, n: int, scheme: Scheme, ranges: int, naming: Naming) -> DataFrame:
     """Inverted lists of two nodes or more: `(kind, a, b)`.
 
     kind 0: nodes a and b are in a list of a few nodes; 1: list a has node b;
@@ -235,7 +268,7 @@ def _lists(docs: DataFrame, text_col: str, n: int, scheme: Scheme, ranges: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held = [], [], 0
         for batch in batches:
-            for some, doc, h, _, node in _sets(batch, "text", n):
+            for some, doc, h, _, node, _ in _sets(batch, "text", n, naming):
                 k, owner = scheme.keys(doc, h, some.num_rows)
                 keys.append(k)
                 nodes.append(node[owner])
@@ -302,10 +335,10 @@ def _possible(scheme: Scheme):
     return run
 
 
-def _candidate_edges(docs: DataFrame, text_col: str, n: int, scheme: Scheme, ranges: int, nodes: DataFrame) -> DataFrame:
+def _candidate_edges(docs: DataFrame, text_col: str, n: int, scheme: Scheme, ranges: int, nodes: DataFrame, naming: Naming) -> DataFrame:
     """Edges `(u, v)` that join all nodes which have a key in common and can link
     by their sizes and sketches (lists too long for that: all their nodes)."""
-    lists = stable(_lists(docs, text_col, n, scheme, ranges).distinct())
+    lists = stable(_lists(docs, text_col, n, scheme, ranges, naming).distinct())
     num, den = scheme.num, scheme.den
     of = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
@@ -417,11 +450,11 @@ def _verify(scheme: Scheme):
     return run
 
 
-def _items(docs: DataFrame, n: int) -> DataFrame:
+def _items(docs: DataFrame, n: int, naming: Naming) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, doc, h, size, node in _sets(batch, "text", n):
+            for _, doc, h, size, node, _ in _sets(batch, "text", n, naming):
                 first = np.concatenate([[0], np.cumsum(size)])
                 at = np.flatnonzero(size)
                 yield pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array([h[first[i] : first[i + 1]].tobytes() for i in at], pa.binary())], ["node", "items"])
@@ -429,23 +462,31 @@ def _items(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, items binary").dropDuplicates(["node"])
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, bits: int = 64) -> DataFrame:
     """Link texts whose shingle sets have a Jaccard similarity of num/den or more.
 
     Returns one row a row of `docs`: doc_id, n_shingles, component_id (smallest
     doc_id reachable by links), n_links (other rows that link with it, copies
     included), node (id of the distinct set, null for the empty one), cluster (the
-    smallest node reachable) and rk (a hash of id and text).
+    smallest node reachable) and rk (a hash of id and text). `bits` is the length of a
+    set's first hash; the result does not depend on it.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    counted = stable(shingle_counts(docs, "doc_id", "text", n))
+    naming = Naming(bits)
+    counted = stable(shingle_counts(docs, "doc_id", "text", n, naming))
+    shared = counted.where("node is not null").groupBy("node").agg((F.min("check") < F.max("check")).alias("several")).where("several")
+    # next to none at 64 bits, whatever the table: see Naming
+    naming = Naming(bits, tuple(sorted(r["node"] for r in shared.collect())))
+    if naming.shared:
+        counted = stable(shingle_counts(docs, "doc_id", "text", n, naming))
+    counted = counted.drop("check")
     nodes = counted.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("rk").alias("rk"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     total = counted.agg(F.sum("n_shingles")).first()[0] or 0
     small = {r["n_shingles"]: r["n"] for r in counted.where("n_shingles between 1 and 64").groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
     scheme = Scheme.by_cost(num, den, small)
     ranges = max(8, math.ceil(total * 0.35 / 1_000_000))
     nodes = stable(nodes)
-    cluster = components(_candidate_edges(docs, "text", n, scheme, ranges, nodes))
+    cluster = components(_candidate_edges(docs, "text", n, scheme, ranges, nodes, naming))
     nodes = nodes.drop("sketch")
     members = stable(cluster.join(nodes, "node"))
     stats = members.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("size").alias("shingles"))
@@ -455,7 +496,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     single = placed.where("nb = 1").select(F.pmod(F.xxhash64("comp"), F.lit(groups)).alias("g"), F.lit(-1).alias("bi"), F.lit(-1).alias("bj"), "comp", "node", "blk", "copies")
     grid = placed.where("nb > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(F.col("comp").alias("g"), F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "comp", "node", "blk", "copies")
     # one row of each set is read again, also where no row of it has an id
-    items = _items(semi_join(docs.withColumn("rk", F.xxhash64("doc_id", "text")), members.select("rk"), "rk"), n)
+    items = _items(semi_join(docs.withColumn("rk", F.xxhash64("doc_id", "text")), members.select("rk"), "rk"), n, naming)
     found = stable(single.unionByName(grid).join(items, "node").groupBy("g", "bi", "bj").applyInArrow(_verify(scheme), "kind int, u long, v long, w long"))
     linked = components(found.where("kind = 0").select("u", "v"))
     least = linked.join(nodes, "node").groupBy("comp").agg(F.min("rep").alias("component_id"))
@@ -472,16 +513,18 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     """
     found = stable(jaccard_components(df, id_col, text_col, n, num, den).select("doc_id", "rk", "cluster"))
     best = found.where("cluster is not null").groupBy("cluster").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk")).alias("best"))
-    key, = free_names(df, "rk")
-    own = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    losers = stable(found.join(best, "cluster").where(F.col("rk") != F.col("best.rk")).select(F.col("rk").alias(key)).distinct())
-    repeated = stable(found.groupBy(F.col("rk").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key))
-    out = df.withColumn(key, own).join(losers, key, "left_anti")
+    key, who, hit, its = free_names(df, "rk", "who", "hit", "its")
+    number = F.col(f"`{id_col}`").cast("long")
+    # a row goes by its id and the hash, so a hash that two ids share takes no other row along
+    same = (F.col(key) == F.col(hit)) & F.col(who).eqNullSafe(F.col(its))
+    losers = stable(found.join(best, "cluster").where(F.col("rk") != F.col("best.rk")).select(F.col("rk").alias(hit), F.col("doc_id").alias(its)).distinct())
+    repeated = stable(found.groupBy(F.col("rk").alias(hit), F.col("doc_id").alias(its)).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    out = df.withColumns({key: F.xxhash64(number, F.col(f"`{text_col}`").cast("string")), who: number}).join(losers, same, "left_anti")
     if repeated.isEmpty():
         return out.select(*[F.col(f"`{c}`") for c in df.columns])
     # only rows of the same id and text have to meet
-    again = out.join(repeated, key, "left_semi").dropDuplicates([key])
-    return out.join(repeated, key, "left_anti").unionByName(again).select(*[F.col(f"`{c}`") for c in df.columns])
+    again = out.join(repeated, same, "left_semi").dropDuplicates([key, who])
+    return out.join(repeated, same, "left_anti").unionByName(again).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -197,7 +197,10 @@ def fit(learn: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, then lang_pred and score."""
+    """The columns `keep`, then lang_pred and score, whose names no kept column may have."""
+    clash = {c.lower() for c in keep} & {"lang_pred", "score"}
+    if clash:
+        raise ValueError(f"columns made would clash: {sorted(clash)}")
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
     kinds = [f"`{c}` {f.dataType.simpleString()}" for c, f in zip(keep, source.schema.fields, strict=False)]
 

@@ -116,7 +116,7 @@ def scan(df: DataFrame, path, text_col: str = "text", id_col: str = "doc_id", le
     templates = TEMPLATES if templates is None else templates
     texts = TEXTS if texts is None else texts
     vocab = sorted({t for _, x in [*templates, *texts] for t in terms_of(x)})
-    files = df.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
+    files = df.select(F.col(f"`{id_col}`").alias("doc_id"), path.alias("path"), F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("text"))
     words = lambda c: F.filter(F.split(c, _WORD), lambda t: t != "")
     known = files.select(F.explode(F.array_distinct(F.filter(F.split("text", _WORD), lambda t: t.isin(vocab)))).alias("term"))
     freq = {r["term"]: r["n"] for r in known.groupBy("term").agg(F.count("*").alias("n")).collect()}  # bounded by the templates

@@ -196,7 +196,7 @@ def _codes(v: np.ndarray) -> np.ndarray:
 
 
 def fit(df: DataFrame, text_col: str = "text", sample: int = 6_000) -> Scorer:
-    texts = df.select(F.col(text_col).cast("string").alias("text"))
+    texts = df.select(F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}

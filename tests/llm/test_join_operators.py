@@ -18,7 +18,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin as GroupedData
 
 import corpus_pipeline
-from gridlark.llm import _text, ann, decontaminate, jaccard_join, license_scan, line_dedup
+from gridlark.llm import _text, ann, decontaminate, jaccard_join, license_scan, line_dedup, quality
 from gridlark.llm._spark import components
 from gridlark.llm.jaccard_join import Scheme
 
@@ -861,6 +861,47 @@ def test_lines_that_share_a_hash(spark, monkeypatch):
     assert of(weak) == of(full) != []
 
 
+@pytest.mark.parametrize("bits", [1, 6])
+def test_sets_that_share_a_hash(spark, bits):
+    """With a first hash of few values, the second one tells sets apart."""
+    rng = random.Random(bits)
+    texts = [None, "", "one", "two", "three", "a b", "b a", "a b c d", "a b c e"]
+    for size in (6, 30, 90):
+        base = [rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(size)]
+        texts += [" ".join(edited(rng, base, rng.choice((0, 0, 1, 2)))) for _ in range(8)]
+    texts += [" ".join(["x", "y"] * 9), " ".join(["x", "y"] * 5)]  # one set of two texts
+    df = docs(spark, texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_components(df, n=4, num=85, den=100, bits=bits).collect()}
+    assert got == brute_components(list(enumerate(texts)), 4, 85, 100)
+
+
+def test_second_hashes_are_those_of_sets():
+    """They depend on the set alone, not on the order or number of its shingles, and tell
+    sets apart that the first ones of a bit can't."""
+    texts = [b"x y x y x y x y", b"x y x y x y", b"one", b"two", b"a b c d e", b"a b c d f", b""]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    doc, _ = _text.shingle_sets(*_text.words(data, off), len(texts), 2)
+    check = jaccard_join.Naming().checks(data, off, len(texts), 2, doc, np.bincount(doc, minlength=len(texts)))
+    assert check[0] == check[1] and check[6] == 0 and len(set(check.tolist())) == len(texts) - 1
+
+
+def test_names_with_dots(spark):
+    """Columns of any name can be the text and the id."""
+    item = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, f"{item}\nReleased under the MIT License"), (2, "quiet fields lie under the wind, and rain comes slowly."), (3, None)]
+    df = spark.createDataFrame(rows, "`the.id` long, `the.text` string")
+    names = {"id_col": "the.id", "text_col": "the.text"}
+    assert {r["doc_id"]: r["license"] for r in license_scan.scan(df, F.lit("a/b"), **names).collect()} == {1: "MIT", 2: None, 3: None}
+    bench = spark.createDataFrame([(7, item, "word3")], "`its.id` long, `its.text` string, `its.answer` string")
+    found = decontaminate.leaks(df, bench, **names, item_col="its.id", item_text="its.text", answer_col="its.answer").collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(1, 7)]
+    assert decontaminate.drop_leaks(df, bench.toDF("item_id", "text", "answer"), **names).count() == 2
+    kept = quality.keep_good(df, "the.text")
+    assert kept.columns == df.columns and {r["the.id"] for r in kept.collect()} <= {1, 2}
+    assert jaccard_join.one_of_each(df, **names).count() == 3
+    assert line_dedup.dedup_lines(df, **names).columns == ["the.id", "the.text", "deleted_lines"]
+
+
 def test_many_lines_of_one_text(spark):
     """Time grows with the lines, not with their square."""
     text = "\n".join(["the same five words again"] * 30_000)
