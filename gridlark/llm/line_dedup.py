@@ -11,7 +11,7 @@ its own, is deleted where it occurs later, if it has `min_words` words or more.
   that ends there, is done. This goes on until none is left. Sorts are range
   partitioned and break ties by position, so a line that a third of all documents
   has is spread over many tasks; ranks come from what is counted along the sorted
-  rows, for which partitions pass on a few numbers each.
+  rows, for which partitions pass on a few numbers each, as rows of a table.
 * **Common prefixes.** The suffixes whose first line repeats, sorted by rank, are
   the suffix array. Of neighbours in it the longest common prefix is known where
   they end alike or share one line only. Where the lines before both are the same, it
@@ -39,11 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm import _text as tx
-from gridlark.llm._spark import free_names, stable, written, written_at
+from gridlark.llm._spark import free_names, has_rows_below, stable, written, written_at
 from gridlark.sources.files import Files
 
 _BREAK = np.zeros(256, bool)
@@ -205,19 +205,36 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _table(_ENDS, pid=x["pid"][:1], n=[n], **{f"f{c}": v[:1] for c, v in keys.items()}, **{f"l{c}": v[-1:] for c, v in keys.items()}, fg=like(2, 0), fs=like(4, 0), lg=like(2, -1), ls=like(4, -1)).to_batches()
 
 
-def _carries(ends: list) -> list[tuple[int, int, int, bool, bool]]:
-    """For each partition, rows of its first group and of its first equal suffixes in
-    partitions before, and whether its first and last ones have equal ones there."""
-    out, g, s = [], 0, 0
-    ends = sorted(ends, key=lambda r: r["pid"])
-    key = lambda r, at: tuple(r[f"{at}{c}"] for c in ("a", "b", "a2", "b2"))
-    for j, r in enumerate(ends):
-        before = key(ends[j - 1], "l") if j else None
-        back = before == key(r, "f")
-        g, s = g if before and before[:2] == key(r, "f")[:2] else 0, s if back else 0
-        out.append((r["pid"], g, s, back, j + 1 < len(ends) and key(ends[j + 1], "f") == key(r, "l")))
-        g, s = (g if r["fg"] == r["n"] else 0) + r["lg"], (s if r["fs"] == r["n"] else 0) + r["ls"]
-    return out
+def _carries(ends: DataFrame) -> DataFrame:
+    """For each partition `pid`, rows of its first group (g) and of its first equal
+    suffixes (s) in partitions before, and whether its first (back) and last ones (on)
+    have equal ones there. Windows over a row a partition."""
+    along = Window.orderBy("pid")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    prior = lambda c: F.lag(c).over(along)
+    meets = lambda *keys: F.coalesce(F.forall(F.array(*[F.col(f"f{c}") == prior(f"l{c}") for c in keys]), lambda x: x), F.lit(False))
+    x = ends.select("*", meets("a", "b").alias("in_g"), meets("a", "b", "a2", "b2").alias("in_s"))
+    for c in ("g", "s"):
+        # rows that end like the last one do so from where their chain of partitions begins
+        x = x.withColumn("sum", F.sum(f"l{c}").over(upto))
+        begins = ~(F.col(f"in_{c}") & (F.col(f"f{c}") == F.col("n")))
+        x = x.withColumn("from", F.max(F.when(begins, F.col("sum") - F.col(f"l{c}"))).over(upto))
+        x = x.withColumn(c, F.when(F.col(f"in_{c}"), prior("sum") - prior("from")).otherwise(0)).drop("sum", "from")
+    return x.select("pid", "g", "s", F.col("in_s").alias("back"), F.coalesce(F.lead("in_s").over(along), F.lit(False)).alias("on"))
+
+
+#: Partitions up to which their carries (30 bytes each) are known to all tasks.
+_CARRIED = 200_000
+
+
+def _with_carries(ranked: DataFrame, near: DataFrame) -> DataFrame:
+    """Rows with the carries of their partition. With many partitions only rows that
+    need one, those of a first group or an edge, meet them in a shuffled join."""
+    if has_rows_below(near, _CARRIED):
+        return ranked.join(F.broadcast(near), "pid")
+    needs = (F.col("carried") > 0) | (F.col("edge") > 0)
+    rest = ranked.where(~needs).select("*", *[F.lit(0).cast("long").alias(c) for c in ("g", "s")], *[F.lit(False).alias(c) for c in ("back", "on")])
+    return ranked.where(needs).join(near, "pid").select(*rest.columns).unionByName(rest)
 
 
 def _parted(lines: DataFrame, mixed: DataFrame) -> DataFrame:
@@ -254,12 +271,11 @@ def suffix_array(lines: DataFrame) -> DataFrame:
         asking = stable(state.groupBy(_bucket(total)).applyInArrow(_second(k), _ASKING))
         done.append(asking.where("role = 2 and k >= 0").select(*_names(_SUFFIX)))
         ordered = _sorted(asking.where("role = 0"), n, "a", "b", "a2", "b2", "did", "tk", "pos")
-        carry = _carries(ordered.mapInArrow(_ends, _ENDS).collect())  # a row a partition
-        near = F.broadcast(spark.createDataFrame(carry, "pid int, g long, s long, back boolean, on boolean"))
+        near = stable(_carries(ordered.mapInArrow(_ends, _ENDS)))
         b = F.col("b") + F.when(F.col("carried") == 2, F.col("g") - F.col("s")).when(F.col("carried") == 1, F.col("g")).otherwise(0)
         again = (F.col("edge") == 0) | (F.col("edge").bitwiseAND(1) > 0) & F.col("back") | (F.col("edge").bitwiseAND(2) > 0) & F.col("on")
         live = F.col("live") & again
-        ranked = ordered.mapInArrow(_ranks, _RANKED).join(near, "pid").select(*_names(_LINE), b.alias("b"), F.when(live, k + 1).otherwise(k).alias("k"), live.alias("live"))
+        ranked = _with_carries(ordered.mapInArrow(_ranks, _RANKED), near).select(*_names(_LINE), b.alias("b"), F.when(live, k + 1).otherwise(k).alias("k"), live.alias("live"))
         idle = asking.where("role = 1").select(*_names(_SUFFIX))
         state = ranked.unionByName(idle)
         k, total, n = k + 1, n + idle.count(), ranked.where("live").count()
@@ -274,36 +290,49 @@ _PLACED = "did long, tk long, pos int, a long, b long, f int, lcp int, qdid long
 _ASK, _LESS = -1, -2
 
 
-def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last = None
+_RIM = f"{_SUFFIX}, pid int, side int"
+_SEEN = ("did", "tk", "pos", "a", "b", "k", "prev")
+
+
+def _rim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's first (side 0) and last row (1)."""
+    first = last = None
     for batch in batches:
         if batch.num_rows:
-            last = batch.slice(batch.num_rows - 1)
-    if last is not None:
-        yield last
+            first, last = first or batch.slice(0, 1), batch.slice(batch.num_rows - 1)
+    for side, row in enumerate((first, last)):
+        if row is not None:
+            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([side], pa.int32())], _names(_RIM))
 
 
-def _neighbours(before: dict[int, dict]):
-    """Each suffix with the one before it in the array and their common prefix where
-    it is known at once: none, one line, or all of equal suffixes. Else `_LESS`, one
+def _placed(x: dict, q: dict) -> pa.Table:
+    """Suffixes `x` with those before them in the array, `q`, and their common prefix
+    where it is known at once: none, one line, or all of equal suffixes. Else `_LESS`, one
     less than that of the line before, or `_ASK`: it takes a comparison of up to span
     lines."""
+    k = np.minimum(x["k"], q["k"])
+    less = (x["prev"] == q["prev"]) & (x["pos"] > 0) & (q["pos"] > 0)
+    lcp = np.where(x["a"] != q["a"], 0, np.where(x["b"] == q["b"], x["tail"], np.where(k == 0, 1, np.where(less, _LESS, _ASK))))
+    return _table(_PLACED, **{c: x[c] for c in ("did", "tk", "pos", "a", "b", "f")}, lcp=lcp, qdid=q["did"], qtk=q["tk"], qpos=q["pos"], span=2 << k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _whole(batches, _SUFFIX)
-        n = len(x["a"])
-        if not n:
-            return
-        p = before.get(int(x["pid"][0]))
-        q = {c: np.concatenate([np.array([p[c] if p else x[c][0]], x[c].dtype), x[c][:-1]]) for c in ("did", "tk", "pos", "a", "b", "k", "prev")}
-        alike = x["a"] == q["a"]
-        alike[0] &= p is not None
-        k = np.minimum(x["k"], q["k"])
-        less = (x["prev"] == q["prev"]) & (x["pos"] > 0) & (q["pos"] > 0)
-        lcp = np.where(~alike, 0, np.where(x["b"] == q["b"], x["tail"], np.where(k == 0, 1, np.where(less, _LESS, _ASK))))
-        yield from _table(_PLACED, **{c: x[c] for c in ("did", "tk", "pos", "a", "b", "f")}, lcp=lcp, qdid=q["did"], qtk=q["tk"], qpos=q["pos"], span=2 << k).to_batches()
 
-    return run
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All suffixes of a partition but its first one, with the one before."""
+    x = _whole(batches, _SUFFIX)
+    if len(x["a"]) > 1:
+        yield from _placed({c: v[1:] for c, v in x.items()}, {c: x[c][:-1] for c in _SEEN}).to_batches()
+
+
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First suffixes of partitions; what comes before the very first one is null."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        x = {c: t.column(c).to_numpy() for c in _names(_SUFFIX)}
+        there = t.column("qa").is_valid().to_numpy()
+        q = {c: t.column(f"q{c}").fill_null(0).to_numpy() for c in _SEEN}
+        # a suffix that none comes before shares nothing with it
+        q["a"] = np.where(there, q["a"], ~x["a"])
+        yield from _placed(x, q).to_batches()
 
 
 def _places(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
@@ -451,9 +480,9 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     suffixes = suffix_array(lines)
     n = suffixes.count()
     ordered = _sorted(suffixes, n, "a", "b", "did", "tk", "pos")
-    ends = sorted((r.asDict() for r in ordered.mapInArrow(_last, f"{_SUFFIX}, pid int").collect()), key=lambda r: r["pid"])  # a row a partition
-    before = {x["pid"]: y for y, x in itertools.pairwise(ends)}
-    placed = stable(ordered.mapInArrow(_neighbours(before), _PLACED))
+    along = Window.orderBy("pid", "side")  # two rows a partition
+    firsts = ordered.mapInArrow(_rim, _RIM).select(*_names(_RIM), *[F.lag(c).over(along).alias(f"q{c}") for c in _SEEN]).where("side = 0").drop("pid", "side")
+    placed = stable(ordered.mapInArrow(_neighbours, _PLACED).unionByName(firsts.mapInArrow(_firsts, _PLACED)))
     # columns of their own, as a cogroup can't tell apart those that both sides have
     asked = placed.where(F.col("lcp") == _ASK).select(*[F.col(c).alias(f"_{c}") for c in ("did", "tk", "pos", "qdid", "qtk", "qpos", "span")])
     by = lambda df, *c: df.groupBy(_bucket(n, *c))

@@ -351,10 +351,33 @@ def test_suffix_array(spark, monkeypatch, rows):
     assert all(x[2] <= y[2] and (x[:2] == y[:2]) == (x[2] == y[2]) for x, y in itertools.pairwise(got))
 
 
-@pytest.mark.parametrize("rows", [8, 60])
-def test_longest_earlier_runs(spark, monkeypatch, rows):
+def test_carries_row_by_row(spark):
+    """What partitions hand on, against a walk along them."""
+    rng = random.Random(8)
+    ends = []
+    for pid in range(0, 300, 2):
+        n = rng.randint(1, 4)
+        rows = sorted(rng.choices([(0, 0, 0, 0), (0, 0, 0, 1), (0, 1, 0, 0), (1, 0, 0, 0)], [9, 2, 1, 1], k=n))
+        first, last = rows[0], rows[-1]
+        like = lambda key, m, rows=rows: sum(r[:m] == key[:m] for r in rows)
+        ends.append((pid, n, *first, *last, like(first, 2), like(first, 4), like(last, 2), like(last, 4)))
+    x = spark.createDataFrame(ends, line_dedup._ENDS).repartition(4)
+    want, g, s = [], 0, 0
+    for j, (pid, n, *keys) in enumerate(ends):
+        first, last, (fg, fs, lg, ls) = keys[:4], keys[4:8], keys[8:]
+        before = ends[j - 1][6:10] if j else None
+        after = list(ends[j + 1][2:6]) if j + 1 < len(ends) else None
+        g, s = g if before and list(before[:2]) == first[:2] else 0, s if before and list(before) == first else 0
+        want.append((pid, g, s, before is not None and list(before) == first, after == last))
+        g, s = (g if fg == n else 0) + lg, (s if fs == n else 0) + ls
+    assert sorted(tuple(r) for r in line_dedup._carries(x).collect()) == want and max(w[1] for w in want) > 4
+
+
+@pytest.mark.parametrize(("rows", "carried"), [(8, 200_000), (8, 3), (60, 200_000)])
+def test_longest_earlier_runs(spark, monkeypatch, rows, carried):
     """The longest run at each line that has been before, against a search of all."""
     monkeypatch.setattr(line_dedup, "_ROWS", rows)
+    monkeypatch.setattr(line_dedup, "_CARRIED", carried)
     rng = random.Random(rows)
     text = {i: [rng.choice("aab") for _ in range(rng.randint(1, 14))] for i in range(25)}
     base = [f"line {i}" for i in range(40)]
