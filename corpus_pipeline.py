@@ -17,7 +17,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on them, finds good."""
+    """Documents that the quality classifier, fitted on them, finds good. Null texts and
+    texts without a word go; a quality of exactly one half stays; repeated rows stay or
+    go together; no rows give none."""
     return quality.keep_good(docs)
 
 
@@ -42,12 +44,15 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found. Null and empty texts hold none and
+    stay; repeated rows stay or go together, null ids are like any; null items are found
+    nowhere; no rows give none."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, packed as little-endian unsigned 32-bit integers."""
+    """Ids of each text, packed as little-endian unsigned 32-bit integers: a row for each
+    row, repeated ones and those without id too; null and empty texts have no ids."""
     return bpe.bpe(docs, bpe.TOKENIZER, keep=["doc_id"], make=["n_tokens", "packed"])
 
 
