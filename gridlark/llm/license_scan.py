@@ -15,7 +15,8 @@ named like license files speak for their directory: a file without a license of
 own takes that of the nearest directory above it, found by an equi-join of its
 ancestor directories.
 
-Edge cases: null and empty texts have no license of their own but inherit; null
+Edge cases: null and empty texts and those without words have no license of their
+own but inherit, license files too; null
 paths inherit nothing; null ids are ids like any other; ties go to the license first
 by name, and among license files of a directory to the better score, then the first
 path; a license's whole text goes before a notice, which it may hold; rights that are only reserved count where nothing else is found; rows that
@@ -175,7 +176,7 @@ def scan(df: DataFrame, path, text_col: str = "text", id_col: str = "doc_id", le
     scored = whole.select("doc_id", "path", "words", "term", "at").unionByName(near).join(sought, "term").select("doc_id", "path", "license", "grade", "dots", F.filter(spans, possible).alias("spans"))
     scored = scored.select("doc_id", "path", "license", "grade", F.array_max(F.transform("spans", cosine)).alias("score")).where(F.col("score") >= least)
     name, folder = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"/?[^/]*$", "")
-    speaking = files.where(name.rlike(LICENSE_FILE)).select("doc_id", "path", coded("text").alias("words")).withColumn("square", square(F.col("words")))
+    speaking = files.where(name.rlike(LICENSE_FILE) & F.col("text").rlike("[a-z0-9]")).select("doc_id", "path", coded("text").alias("words")).withColumn("square", square(F.col("words")))
     product = lambda d: total(F.col("words"), lambda c: F.element_at(F.array(*[F.lit(x) for x in d]), c + 1))
     alike = lambda x: F.round(F.least(F.lit(1.0), product(vector(x)[2]) / F.sqrt("square")), 9)
     whole_texts = speaking.select("doc_id", "path", F.explode(F.array(*[F.struct(F.lit(n).alias("license"), F.lit(0).alias("grade"), alike(x).alias("score")) for n, x in texts])).alias("x")).select("doc_id", "path", "x.license", "x.grade", "x.score") if texts else None

@@ -762,6 +762,14 @@ def test_license_of_null_ids(spark):
     assert got == [("None", "MIT", "header"), ("a/LICENSE", "CC-BY-NC-4.0", "file"), ("a/x.py", "MIT", "header"), ("a/y.py", "CC-BY-NC-4.0", "inherited")]
 
 
+def test_license_files_without_words(spark):
+    """Empty, null and wordless license files say nothing; they inherit as other files do."""
+    rows = [(1, "LICENSE", "Released under the MIT License."), (2, "a/LICENSE", ""), (3, "b/COPYING", None), (4, "c/LICENSE.txt", " \n-- ***\n"), (5, "c/x.py", "x"), (6, "d/LICENSE", "\u4e2d\u6587")]
+    df = spark.createDataFrame(rows, "doc_id long, file string, text string")
+    got = {r["doc_id"]: (r["license"], r["via"], r["source_path"]) for r in license_scan.scan(df, F.col("file")).collect()}
+    assert got == {1: ("MIT", "file", "LICENSE")} | dict.fromkeys(range(2, 7), ("MIT", "inherited", "LICENSE"))
+
+
 # pipeline --------------------------------------------------------------------
 
 
