@@ -59,6 +59,19 @@ def test_every_request(spark, part_match):
     assert len(requests) > 100 and sorted((r["req_no"], r["file_id"], r["id"]) for r in lookup.find(ds, requests, part_match).collect()) == want
 
 
+@pytest.mark.parametrize("part_match", [False, True])
+def test_many_requests(spark, monkeypatch, part_match):
+    """Beyond the bound nothing of the header's or the requests' size goes to the driver,
+    whatever size is guessed; what asks for nothing is the only side that does."""
+    monkeypatch.setattr(postings, "BROADCAST", 2)
+    requests = every_request()
+    ds = a_dataset(spark, ENTRIES)
+    asked = spark.createDataFrame(postings.request_rows(requests), postings.REQUESTS)
+    found = postings.HeaderIndex(ds.variables).find(asked, part_match)
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1
+    assert sorted((r["req_no"], r["file_id"], r["id"]) for r in found.collect()) == compared(ENTRIES, requests, part_match)
+
+
 def test_nothing(spark):
     ds = a_dataset(spark, ENTRIES)
     none = a_dataset(spark, [])
