@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridlark.dataset import Dataset, with_ids
-from gridlark.functions.naming import unique_name
 from gridlark.model import DuplicateVariable, SimpleVariable, Variable
 from gridlark.operators.postings import HeaderIndex
 
@@ -69,24 +68,25 @@ def table_ids(ds: Dataset, wanted: Sequence[Request | int] | Request | int, part
 
 def renamed_duplicates(variables: DataFrame) -> DataFrame:
     """Header entries that repeat (case aside) get `key (1)`, `key (2)`, ... in
-    order of pos; a number whose name is taken already is passed over."""
-    low = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("key", "type", "units")]
-    w = Window.partitionBy("file_id", "table", *low).orderBy("pos", "id")
-    rows = variables.withColumn("__n", F.row_number().over(w) - 1)
-    repeats = rows.where("__n > 0").orderBy("file_id", "table", "pos", "id").collect()  # metadata
-    if not repeats:
-        return rows.drop("__n")
-    taken: dict[tuple, set[str]] = {}
-    for r in variables.select("file_id", "table", "key", "type", "units").collect():
-        taken.setdefault((r["file_id"], r["table"], (r["type"] or "").lower(), (r["units"] or "").lower()), set()).add((r["key"] or "").lower())
-    new = []
-    for r in repeats:
-        names = taken[r["file_id"], r["table"], (r["type"] or "").lower(), (r["units"] or "").lower()]
-        name = unique_name((r["key"] or "").lower(), names)
-        names.add(name)
-        new.append((r["file_id"], r["id"], (r["key"] or "") + name[len(r["key"] or "") :]))
-    fix = variables.sparkSession.createDataFrame(new, "file_id int, id int, __key string")
-    return rows.drop("__n").join(fix, ["file_id", "id"], "left").withColumn("key", F.coalesce("__key", "key")).drop("__key").select(*variables.columns)
+    order of pos; a number whose name is taken already is passed over.
+
+    Names made of different keys differ, so each key has numbers of its own: the nth
+    repeat gets the nth number that no entry of the header has taken. An entry that is
+    called `key (7)` comes among the repeats of `key`, where six numbers are before it,
+    and moves those after it on by one."""
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    of = ["file_id", "table", "__key", "__type", "__units"]
+    rows = variables.withColumns({"__key": low("key"), "__type": low("type"), "__units": low("units")})
+    numbered = r"(?s)\A(.*) \(([1-9][0-9]{0,17})\)\z"
+    taken = rows.where(F.col("__key").rlike(numbered)).select("file_id", "table", F.regexp_extract("__key", numbered, 1).alias("__key"), "__type", "__units", F.regexp_extract("__key", numbered, 2).cast("long").alias("__number")).distinct()
+    # free numbers below a taken one, so that it comes before the repeat that would have it
+    taken = taken.withColumn("__n", F.col("__number") - F.row_number().over(Window.partitionBy(*of).orderBy("__number")) + 1)
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*of).orderBy("pos", "id")) - 1)
+    both = rows.select(*of, "__n", F.lit(0).alias("__taken"), F.struct(*variables.columns).alias("__row")).unionByName(taken.select(*of, "__n", F.lit(1).alias("__taken")), allowMissingColumns=True)
+    passed = F.sum("__taken").over(Window.partitionBy(*of).orderBy("__n", F.desc("__taken")).rowsBetween(Window.unboundedPreceding, 0))
+    key = F.when(F.col("__n") == 0, F.col("__row.key")).otherwise(F.concat(F.coalesce("__row.key", F.lit("")), F.lit(" ("), (F.col("__n") + F.col("__passed")).cast("string"), F.lit(")")))
+    named = both.withColumn("__passed", passed).where("__taken = 0").select("__row.*", key.alias("__new"))
+    return named.withColumn("key", F.col("__new")).select(*variables.columns)
 
 
 def duplicates(variables: DataFrame) -> DataFrame:

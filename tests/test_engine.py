@@ -76,6 +76,30 @@ def test_duplicates(spark):
     assert set(e.value.duplicates) == {1, 3} and set(e.value.clean) == {0, 2, 4}
 
 
+def test_duplicates_without_the_driver(spark, monkeypatch):
+    """Names as `unique_name` gives them one after the other; no row comes to the driver."""
+    keys = ["A", "a (2)", None, "A", "a (1)", "", "A", "A (2)", "a", "a (1) (1)", "A (1)", "a (4)\n", "a (01)", "x (0)", "X (0)", "a", "A (5)", "x", "x", "", "a (2)", "a"] + ["b"] * 40
+    head = [(f, t, 0, 100 * f + i, len(keys) - i, False, k, "x" if i % 13 else None, "J") for f, t in ((1, "t"), (1, "u"), (2, "t")) for i, k in enumerate(keys, 50 * (t == "u"))]
+    low = lambda x: (x or "").lower()
+    names, seen, want = {}, set(), []
+    for h in head:
+        names.setdefault((h[0], h[1], low(h[7])), set()).add(low(h[6]))
+    for h in sorted(head, key=lambda h: (h[:2], h[4], h[3])):
+        group, key = (h[0], h[1], low(h[7])), h[6]
+        if (group, low(key)) in seen:
+            name = naming.unique_name(low(key), names[group])
+            names[group].add(name)
+            key = (key or "") + name[len(key or "") :]
+        seen.add((group, low(key)))
+        want.append((h[0], h[1], h[3], key))
+    df = spark.createDataFrame(head, model.VARIABLES)
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "collect", lambda self: pytest.fail("rows on the driver"))
+        out = lookup.renamed_duplicates(df)
+    assert out.columns == df.columns
+    assert sorted(map(str, out.select("file_id", "table", "id", "key").toPandas().replace({float("nan"): None}).itertuples(index=False, name=None))) == sorted(map(str, want))
+
+
 def test_catalog(ds):
     assert ds.table_names() == ["daily", "monthly", "simple"] and ds.is_simple("simple") and not ds.is_simple("daily")
     assert ds.levels("simple") == ("id", "table", "key", "units") and ds.ids("simple") == [9, 10]
