@@ -16,7 +16,7 @@ file that names the files' manifests. Nothing is ever written over:
 that they take before compression. Running sums over the cells cut the order (table, id,
 row) where a chunk is full, so no chunk has more than `chunk_bytes` (but a single row may),
 and the number of chunks is known before one is written. A task writes a chunk at a
-time; none has a table as a whole.
+time, small ones one after the other; none has a table as a whole.
 
 **Summaries.** Beside each chunk of results lies one with a row a cell: number of values,
 sum, least and largest and where these are first. Peaks and sums of a range of time come
@@ -52,6 +52,8 @@ MANIFEST = "kind string, table string, path string, id_low int, id_high int, row
 _CELL = "table string, cid int, block long, n long, bytes long, row_low long, row_high long"
 #: Of a cell of results: values (neither null nor NaN), their sum, the extremes and their first places.
 _SUMMARY = "n_values long, total double, least double, least_row long, least_ts timestamp_ntz, most double, most_row long, most_ts timestamp_ntz, ts_low timestamp_ntz, ts_high timestamp_ntz"
+#: Chunks of less share a task up to these bytes, before compression, while all cores have tasks.
+TASK_BYTES = 64 << 20
 _WIDTH = {"int": 4, "bigint": 8, "double": 8, "boolean": 1, "timestamp_ntz": 8, "timestamp": 8}
 
 
@@ -198,8 +200,11 @@ class ChunkStore:
                 self._chunked(short, chunks[kind], "block", _names(f"{_CELL}, {_SUMMARY}"), f"{path}/blocks")
 
     def _chunked(self, rows: DataFrame, chunks: int, last: str, columns: Sequence[str], path: str) -> None:
-        """A file a chunk: all of its rows are in one task, which has few chunks."""
-        rows.repartition(chunks, "chunk").sortWithinPartitions("chunk", "cid", last).select(*columns, "chunk").write.partitionBy("chunk").parquet(f"{self.root}/{path}")
+        """A file a chunk: all of its rows are in one task. Small chunks share tasks, which
+        write one after the other, so that tasks and what they fetch grow with the bytes."""
+        full = -(-chunks * self.chunk_bytes // TASK_BYTES)
+        tasks = min(chunks, max(full, 4 * self.spark.sparkContext.defaultParallelism))
+        rows.repartition(tasks, "chunk").sortWithinPartitions("chunk", "cid", last).select(*columns, "chunk").write.partitionBy("chunk").parquet(f"{self.root}/{path}")
 
     def _manifest_of(self, at: str, kept: DataFrame | None = None) -> tuple[str, int]:
         new = self.spark.read.schema(MANIFEST).parquet(f"{at}/manifest")

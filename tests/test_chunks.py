@@ -53,6 +53,17 @@ def test_layout_and_round_trip(spark, ds, tmp_path):
         box.load(0)
 
 
+def test_small_chunks_share_tasks(spark, ds, tmp_path):
+    box = chunks.ChunkStore(spark, str(tmp_path), chunk_bytes=500, block_rows=4)
+    box.store(ds)
+    found = [r["path"] for r in box.manifest(0).where("kind = 'results'").collect()]
+    files = [glob.glob(f"{tmp_path}/{p}/part-*.parquet") for p in found]
+    assert len(found) > 60 and all(len(f) == 1 for f in files)
+    tasks = {os.path.basename(f).split("-")[1] for f, in files}
+    assert 1 < len(tasks) <= 4 * spark.sparkContext.defaultParallelism < len(found)
+    assert box.load(0).results.count() == 800
+
+
 def test_changes_write_few_chunks(spark, ds, tmp_path):
     box = chunks.ChunkStore(spark, str(tmp_path), chunk_bytes=2000, block_rows=40)
     box.store(ds)
