@@ -1,6 +1,7 @@
 """Posting lists against every request compared with every entry."""
 
 import itertools
+import re
 import time
 
 import pytest
@@ -72,6 +73,27 @@ def test_many_requests(spark, monkeypatch, part_match):
     assert sorted((r["req_no"], r["file_id"], r["id"]) for r in found.collect()) == compared(ENTRIES, requests, part_match)
 
 
+@pytest.mark.parametrize("part_match", [False, True])
+def test_rows_of_a_request_lie_together(spark, monkeypatch, part_match):
+    """Many requests of a few conditions go by numbers, each once and with its rows one after
+    the other, though the shortest lists are longer than a block."""
+    monkeypatch.setattr(postings, "BROADCAST", 5)
+    rows = [(0, "hourly", 0, i, i, False, f"Zone {i % 4}", f"Kind {i % 5}", "J") for i in range(20)]
+    requests = [Variable(None, f"zone {n % 2}", "kind 3", None) for n in range(40)] + [Variable("none", None, None, None)]
+    requests += [Variable("hourly", None, None, None), SimpleVariable(None, None, None)]
+    asked = spark.createDataFrame(postings.request_rows(requests), postings.REQUESTS)
+    index = postings.HeaderIndex(spark.createDataFrame(rows, VARIABLES))
+    want = compared(rows, requests, part_match)
+    for block in (3, 100):
+        monkeypatch.setattr(postings, "BLOCK", block, raising=False)
+        df = index.find(asked, part_match)
+        found = [(r["req_no"], r["file_id"], r["id"]) for r in df.collect()]
+        assert sorted(found) == want
+        assert not re.search("hashpartitioning\\([^)]*want", df._jdf.queryExecution().executedPlan().toString())
+        together = [n for n, _ in itertools.groupby(n for n, _, _ in found if n < 40)]
+        assert len(together) == len(set(together)) == 40
+
+
 def test_nothing(spark):
     ds = a_dataset(spark, ENTRIES)
     none = a_dataset(spark, [])
